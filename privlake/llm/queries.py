@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .ngram_join import ngram_components
+from .packing import pack
+
+
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """A public tokenizer's file: in `folder`, or else where the installed package has it."""
+    import public_tokenizers
+
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +32,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), n=3, num=90)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 ids of the lower-casing word tokenizer."""
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_packing": op4_packing,
 }
 
 ORACLES = {
