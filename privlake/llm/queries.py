@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .langid import held_out, train_language_model
 from .ngram_join import ngram_components
 from .packing import pack
 
@@ -37,10 +38,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose crc32 of the id leaves 1 to 4 when divided by 5."""
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out("doc_id")
+    model = train_language_model(docs.where(~out))
+    return model.predict(docs.select("doc_id", out.alias("held_out"), "text")).drop("text")
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_packing": op4_packing,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES = {
