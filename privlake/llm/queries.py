@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .langid import held_out, train_language_model
+from .line_templates import drop_recurring_lines
 from .ngram_join import ngram_components
 from .packing import pack
 
@@ -28,6 +29,12 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose template recurs in ten documents or more."""
+    out = drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of 0.9 or more over sets of 3 words."""
     return ngram_components(_table(spark, sf_dir, "documents"), n=3, num=90)
@@ -48,6 +55,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_packing": op4_packing,
     "op9_language_id": op9_language_id,
@@ -67,4 +75,22 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op2_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, text, i - 1 AS i, list_transform(list_filter(string_split_regex(lines[i], '[ \t\r\f\x0B]+'), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks
+      FROM (SELECT doc_id, text, lines, unnest(range(1, len(lines) + 1)) AS i FROM d WHERE text IS NOT NULL)),
+k AS (SELECT *, array_to_string(toks, ' ') AS g, concat(len(toks), ' ', array_to_string(toks[1:3], ' ')) AS leaf FROM l WHERE len(toks) > 0),
+once AS (SELECT DISTINCT leaf, g, toks, text FROM k),
+full_leaf AS (SELECT leaf FROM once GROUP BY leaf HAVING count(*) >= 10),
+named AS (SELECT leaf, g, toks, count(*) AS docs FROM once WHERE leaf IN (SELECT leaf FROM full_leaf) GROUP BY ALL),
+places AS (SELECT leaf, g, docs, unnest(range(4, len(toks) + 1)) AS pos, toks FROM named),
+kept AS (SELECT leaf, pos, tok FROM (SELECT leaf, pos, docs, toks[pos] AS tok FROM places) WHERE tok <> '<*>' GROUP BY ALL HAVING sum(docs) >= 10),
+flags AS (SELECT p.leaf, p.g, list(p.pos) AS held FROM places p JOIN kept c ON p.leaf = c.leaf AND p.pos = c.pos AND p.toks[p.pos] = c.tok GROUP BY ALL),
+gen AS (SELECT n.leaf, n.g, list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN i <= 3 OR list_contains(coalesce(held, []), i) THEN toks[i] ELSE '<*>' END) AS tpl FROM named n LEFT JOIN flags f ON n.leaf = f.leaf AND n.g = f.g),
+shaped AS (SELECT leaf, g, array_to_string(tpl, ' ') AS tpl FROM gen WHERE len(list_filter(tpl, lambda t: t <> '<*>')) >= len(tpl) * 0.8),
+rec AS (SELECT tpl FROM (SELECT DISTINCT s.tpl, o.text FROM once o JOIN shaped s ON o.leaf = s.leaf AND o.g = s.g) GROUP BY tpl HAVING count(*) >= 10),
+gone AS (SELECT k.doc_id, list(k.i) AS dropped FROM k JOIN shaped s ON k.leaf = s.leaf AND k.g = s.g JOIN rec USING (tpl) GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN dropped IS NULL THEN coalesce(text, '') ELSE array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(dropped, i - 1)), lambda i: lines[i]), chr(10)) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
 }
