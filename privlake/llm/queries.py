@@ -10,6 +10,7 @@ from .langid import held_out, train_language_model
 from .line_templates import drop_recurring_lines
 from .ngram_join import ngram_components
 from .packing import pack
+from .unit_dedup import drop_repeated_units
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -45,6 +46,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines and sentences that stand earlier in any document."""
+    out = drop_repeated_units(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return out.select("doc_id", "n_units", "n_removed", "removed_chars", spans.alias("removed_spans"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose crc32 of the id leaves 1 to 4 when divided by 5."""
     docs = _table(spark, sf_dir, "documents")
@@ -58,6 +66,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_packing": op4_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
 }
 
