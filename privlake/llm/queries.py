@@ -10,6 +10,7 @@ from .langid import held_out, train_language_model
 from .line_templates import drop_recurring_lines
 from .ngram_join import ngram_components
 from .packing import pack
+from .suffix_dedup import drop_repeated_bytes
 from .unit_dedup import drop_repeated_units
 
 
@@ -61,6 +62,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs.select("doc_id", out.alias("held_out"), "text")).drop("text")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without bytes of strings of 200 bytes that also start elsewhere."""
+    out = drop_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -68,6 +75,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES = {
