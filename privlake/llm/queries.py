@@ -12,6 +12,7 @@ from .line_templates import drop_recurring_lines
 from .ngram_join import ngram_components
 from .packing import pack
 from .suffix_dedup import drop_repeated_bytes
+from .toxicity import train_toxicity_model
 from .unit_dedup import drop_repeated_units
 
 
@@ -56,6 +57,14 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from labels of those whose crc32 of the id does not leave 2 when divided by 4."""
+    docs, out = _table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    labels = _table(spark, sf_dir, "labels").where(~out).select("doc_id", "toxic")
+    model = train_toxicity_model(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return model.predict(docs.select("doc_id", out.alias("held_out"), "text")).drop("text")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines and sentences that stand earlier in any document."""
     out = drop_repeated_units(_table(spark, sf_dir, "documents"))
@@ -83,6 +92,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_packing": op4_packing,
     "op5_media_columns": op5_media_columns,
+    "op6_toxicity": op6_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
