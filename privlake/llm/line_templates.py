@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def _tokens(line: Column) -> Column:
     return F.split(F.btrim(general, F.lit(_BLANKS)), rf"[{_WS}]+")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_docs: int = 10, min_constant: float = 0.8, keep_first: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: Sequence[str] = (), depth: int = 3, min_docs: int = 10, min_constant: float = 0.8, keep_first: bool = False) -> DataFrame:
     """Documents without the lines whose template recurs in `min_docs` documents or more.
 
     The tree has a fixed depth: lines part by their number of tokens, then by their first `depth` tokens, where a token with a digit is a
@@ -28,7 +30,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     before tokens are looked at; copies of a line are counted before any join. All occurrences of a recurring template go, or, with
     `keep_first`, all but that of the smallest (id, line).
 
-    Result, a row per input row: `id_col`, text (the rest, joined by line feeds; null if it was null), n_lines, n_dropped. Blank lines stay.
+    Result, a row per input row: `id_col`, text (the rest, joined by line feeds; null if it was null), n_lines, n_dropped, and `columns`. Blank lines stay.
     Null text has no lines; empty text has one, blank. Documents are told apart by id and text. Other columns are not looked at. An empty
     table gives no rows. Lines and leaves are compared by 64-bit hashes.
     """
@@ -60,8 +62,9 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         first = found.groupBy("_template").agg(F.min(F.struct("_doc", "_line")).alias("_first"))
         found = found.join(first, "_template").where(~F.struct("_doc", "_line").eqNullSafe(F.col("_first")))
     dropped = found.groupBy(F.col("_doc").alias("_id"), F.col("_key").alias("_of")).agg(F.collect_set("_line").alias("_dropped"))
-    out = texts.join(dropped, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
+    whole = docs.select(F.struct(*columns).alias("_row") if columns else F.lit(None).alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_key"))
+    out = whole.join(dropped, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
     parts = F.split("_text", "\n")
     rest = F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_dropped", i)), "\n"))
     size = F.when(F.col("_text").isNull(), 0).otherwise(F.size(parts))
-    return out.select(F.col("_doc").alias(id_col), rest.alias("text"), size.cast("long").alias("n_lines"), F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"))
+    return out.select(F.col("_doc").alias(id_col), rest.alias("text"), size.cast("long").alias("n_lines"), F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"), *(F.col("_row")[c].alias(c) for c in columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .audio import HEADER, audio_columns
 from .decontaminate import decontaminate
+from .html_text import extract_text
 from .langid import held_out, train_language_model
 from .line_templates import drop_recurring_lines
 from .ngram_join import ngram_components
@@ -65,6 +66,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs.select("doc_id", out.alias("held_out"), "text")).drop("text")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines and sentences that stand earlier in any document."""
     out = drop_repeated_units(_table(spark, sf_dir, "documents"))
@@ -93,6 +99,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_media_columns": op5_media_columns,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
