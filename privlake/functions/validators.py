@@ -43,7 +43,7 @@ def verhoeff_valid(value: Column) -> Column:
 def luhn_valid(value: Column) -> Column:
     """13 to 19 digits, blanks aside, that pass the Luhn sum."""
     digits = F.regexp_replace(value, _BLANKS, "")
-    return digits.rlike(r"^[0-9]{13,19}\z") & F.luhn_check(digits)
+    return digits.rlike(r"^[0-9]{13,19}\z") & F.call_function("luhn_check", digits)
 
 
 def pan_valid(value: Column) -> Column:

@@ -21,8 +21,6 @@ EXTRACTION_VETO = B + r"(fill|submit|click|type into|complete the form)" + B
 ACTION_VERBS = B + r"(fill|submit|click|type|select|scroll|navigate|go to|open|press|check|upload|choose|enter)" + B
 READ_VERBS = B + r"(extract|scrape|read|list|summari[sz]e|show me|get the data|pull|copy)" + B
 SEPARATORS = (" and then ", " then ", " after that ", " followed by ", ";", " & then ")
-#: Times that a clause may be cut at a bare "and"; a clause with more of them stays whole from there on.
-MOST_ANDS = 8
 
 
 def _any(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -71,8 +69,8 @@ def _cut_at_and(clause: Column) -> Column:
 def decompose(task: Column) -> Column:
     """The task's clauses in order: structs kind (extract or action) and description; of extract clauses, the first only. Blank: none."""
     parts = F.array(F.trim(F.coalesce(task, F.lit(""))))
-    for s in SEPARATORS:
-        parts = F.flatten(F.transform(parts, lambda p, s=s: F.split(p, "(?i)" + s.replace(" ", "[ ]"))))
+    for pattern in ("(?i)" + s.replace(" ", "[ ]") for s in SEPARATORS):
+        parts = F.flatten(F.transform(parts, lambda p: F.split(p, pattern)))  # noqa: B023  used within the turn
         parts = F.filter(parts, lambda p: F.trim(p) != "")
     clauses = F.transform(F.flatten(F.transform(parts, _cut_at_and)), lambda c: F.trim(c))
     tasks = F.transform(F.filter(clauses, lambda c: c != ""), lambda c: F.struct(_kind(c).alias("kind"), c.alias("description")))
@@ -119,7 +117,7 @@ def data_source(label: Column, name: Column, id_: Column) -> Column:
     sure, fair = [], []
     for source, patterns in DATA_SOURCES:
         for p in patterns:
-            word = F.coalesce(F.get(F.filter(words, lambda w, p=p: w.rlike(p)), F.lit(0)), F.lit(""))
+            word = F.coalesce(F.get(F.filter(words, lambda w: w.rlike(p)), F.lit(0)), F.lit(""))  # noqa: B023  used within the turn
             strong = F.contains(F.lower(label), word)
             sure.append(F.when(context.rlike(p) & strong, F.struct(F.lit(source).alias("source"), F.lit(0.95).alias("confidence"))))
             fair.append(F.when(context.rlike(p), F.struct(F.lit(source).alias("source"), F.lit(0.85).alias("confidence"))))
