@@ -12,11 +12,13 @@ from .common import durable, small
 _WS = r" \t\r\f\x0B"
 _BLANKS = " \t\r\f\x0b"
 VARIABLE = "<*>"
+#: A position that lines of a leaf differ in, until templates are compared.
+DIFFERS = "<?>"
 
 
 def _tokens(line: Column) -> Column:
     """Tokens between white space; one that holds a digit is a variable. The look-behind keeps this linear in very long tokens."""
-    general = F.regexp_replace(line, rf"(?<![^{_WS}])[^{_WS}0-9]*+[0-9][^{_WS}]*+", VARIABLE)
+    general = F.when(line.rlike("[0-9]"), F.regexp_replace(line, rf"(?<![^{_WS}])[^{_WS}0-9]*+[0-9][^{_WS}]*+", VARIABLE)).otherwise(line)
     return F.split(F.btrim(general, F.lit(_BLANKS)), rf"[{_WS}]+")
 
 
@@ -26,7 +28,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The tree has a fixed depth: lines part by their number of tokens, then by their first `depth` tokens, where a token with a digit is a
     variable. Within a leaf, a token at a later position stays constant if lines of `min_docs` documents have it there; else that position
     is a variable too. A line's template is its leaf and the tokens so generalised; it counts only if at least `min_constant` of its tokens are
-    constant. Documents of equal text count once, so that copies alone make no line recur. Leaves with fewer documents than `min_docs` are left out
+    constant or hold digits, and at least half are constant. Documents of equal text count once, so that copies alone make no line recur. Leaves with fewer documents than `min_docs` are left out
     before tokens are looked at; copies of a line are counted before any join. All occurrences of a recurring template go, or, with
     `keep_first`, all but that of the smallest (id, line).
 
@@ -49,10 +51,12 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     places = named.select("_leaf", "_hash", "_docs", F.posexplode("_tokens").alias("_at", "_token")).where((F.col("_at") >= depth) & (F.col("_token") != VARIABLE))
     constant = places.groupBy("_leaf", "_at", "_token").agg(F.sum("_docs").alias("_docs")).where(F.col("_docs") >= min_docs).drop("_docs")
     held = places.drop("_docs").join(constant, ["_leaf", "_at", "_token"]).groupBy("_leaf", "_hash").agg(F.collect_set("_at").alias("_held"))
-    general = F.transform("_tokens", lambda t, i: F.when((i < depth) | F.array_contains(F.coalesce("_held", F.array().cast("array<int>")), i), t).otherwise(VARIABLE))
+    general = F.transform("_tokens", lambda t, i: F.when((i < depth) | (t == VARIABLE) | F.array_contains(F.coalesce("_held", F.array().cast("array<int>")), i), t).otherwise(DIFFERS))
     shaped = named.join(held, ["_leaf", "_hash"], "left").withColumn("_general", general)
-    fixed = F.size(F.filter("_general", lambda t: t != VARIABLE))
-    shaped = shaped.where(fixed >= F.size("_general") * min_constant).select("_leaf", "_hash", F.xxhash64("_general").alias("_template"))
+    size = F.size("_general")
+    alike, constant = F.size(F.filter("_general", lambda t: t != DIFFERS)), F.size(F.filter("_general", lambda t: ~t.isin(DIFFERS, VARIABLE)))
+    template = F.xxhash64(F.transform("_general", lambda t: F.when(t == DIFFERS, VARIABLE).otherwise(t)))
+    shaped = shaped.where((alike >= size * min_constant) & (constant * 2 >= size)).select("_leaf", "_hash", template.alias("_template"))
     recurring = once.join(shaped, ["_leaf", "_hash"]).select("_template", "_key").distinct().groupBy("_template").count().where(F.col("count") >= min_docs).select("_template")
     gone = small(durable(shaped.join(recurring, "_template", "left_semi")))
 

@@ -130,8 +130,8 @@ named AS (SELECT leaf, g, toks, count(*) AS docs FROM once WHERE leaf IN (SELECT
 places AS (SELECT leaf, g, docs, unnest(range(4, len(toks) + 1)) AS pos, toks FROM named),
 kept AS (SELECT leaf, pos, tok FROM (SELECT leaf, pos, docs, toks[pos] AS tok FROM places) WHERE tok <> '<*>' GROUP BY ALL HAVING sum(docs) >= 10),
 flags AS (SELECT p.leaf, p.g, list(p.pos) AS held FROM places p JOIN kept c ON p.leaf = c.leaf AND p.pos = c.pos AND p.toks[p.pos] = c.tok GROUP BY ALL),
-gen AS (SELECT n.leaf, n.g, list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN i <= 3 OR list_contains(coalesce(held, []), i) THEN toks[i] ELSE '<*>' END) AS tpl FROM named n LEFT JOIN flags f ON n.leaf = f.leaf AND n.g = f.g),
-shaped AS (SELECT leaf, g, array_to_string(tpl, ' ') AS tpl FROM gen WHERE len(list_filter(tpl, lambda t: t <> '<*>')) >= len(tpl) * 0.8),
+gen AS (SELECT n.leaf, n.g, list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN i <= 3 OR toks[i] = '<*>' OR list_contains(coalesce(held, []), i) THEN toks[i] ELSE '<?>' END) AS tpl FROM named n LEFT JOIN flags f ON n.leaf = f.leaf AND n.g = f.g),
+shaped AS (SELECT leaf, g, array_to_string(list_transform(tpl, lambda t: CASE WHEN t = '<?>' THEN '<*>' ELSE t END), ' ') AS tpl FROM gen WHERE len(list_filter(tpl, lambda t: t <> '<?>')) >= len(tpl) * 0.8 AND 2 * len(list_filter(tpl, lambda t: t NOT IN ('<?>', '<*>'))) >= len(tpl)),
 rec AS (SELECT tpl FROM (SELECT DISTINCT s.tpl, o.text FROM once o JOIN shaped s ON o.leaf = s.leaf AND o.g = s.g) GROUP BY tpl HAVING count(*) >= 10),
 gone AS (SELECT k.doc_id, list(k.i) AS dropped FROM k JOIN shaped s ON k.leaf = s.leaf AND k.g = s.g JOIN rec USING (tpl) GROUP BY k.doc_id)
 SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
