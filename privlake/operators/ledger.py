@@ -57,3 +57,10 @@ def verify(signals: DataFrame, *keys: str) -> DataFrame:
     mean = F.floor(mean * 1e6 + 0.5) / 1e6
     key = F.bool_or(F.col("type").isin("dom_diff", "error_check") & F.col("passed"))
     return signals.groupBy(*keys).agg(mean.alias("confidence"), ((mean > 0.6) & key).alias("success"))
+
+
+def changes(snapshots: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Whether a snapshot's text differs from the one before it, and by how many characters it has grown. Null text is empty; the first snapshot has nulls."""
+    now = F.coalesce(F.col(text), F.lit(""))
+    rows = snapshots.select(key, order, now.alias("_now"), F.lag(now).over(Window.partitionBy(key).orderBy(order)).alias("_before"))
+    return rows.select(key, order, (F.col("_now") != F.col("_before")).alias("changed"), (F.length("_now") - F.length("_before")).cast("long").alias("grown"))

@@ -76,3 +76,12 @@ def status_shares(spark, sf_dir):
 
     counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("o_orderstatus")), 6))
+
+
+_CHANGES = "SELECT conv_id, turn, length(text) <> length(before) OR text <> before AS changed, CAST(length(text) - length(before) AS BIGINT) AS grown FROM (SELECT conv_id, turn, coalesce(text, '') AS text, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"
+
+
+@query(_CHANGES)
+def state_changes(spark, sf_dir):
+    """Each snapshot against the one before it; nulls for the first."""
+    return l.changes(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
