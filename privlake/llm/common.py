@@ -5,13 +5,17 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast by hand only if its rows were counted and are at most this many.
 BROADCAST_ROWS = 20_000
+#: Edges that one task may join up by itself, if they were counted and are at most this many: a few MB. More go through rounds of shuffles.
+LOCAL_EDGES = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,14 +54,37 @@ def bitmap(hashes: DataFrame, column: str, power: int) -> bytes:
     return out.tobytes()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = top(u), top(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    if kind is not None:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], ["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 40, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, root) per node, root being its component's smallest node.
 
-    Large-star and small-star steps in turn. In each, a node's neighbours are tied to the smallest of them by a minimum per key, which
+    Up to `local_edges` distinct edges, which are counted first, are joined up in one task. Otherwise: large-star and small-star steps in turn. In each, a node's neighbours are tied to the smallest of them by a minimum per key, which
     is aggregated before the shuffle, and a join on that key, so a hub of any degree never becomes one array. Each round is cut off by a
     written table. Nulls are not allowed in edges; self-loops keep a lone node.
     """
     edges = durable(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    if edges.count() <= local_edges:
+        kind = dict(edges.dtypes)["u"]
+        return edges.coalesce(1).mapInArrow(_union_find, f"node {kind}, root {kind}")
     nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
     edges = edges.where("u < v")
     for _ in range(rounds):

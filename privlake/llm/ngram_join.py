@@ -23,8 +23,12 @@ COMMON_FROM = 16
 BLOCK = 1 << 21
 #: A prefix list of this many different sets is first tied to its hubs.
 HEAVY = 32
-#: 1 MB of bits before the look-up of common n-grams.
-POWER = 23
+#: Bits of the filters of documents and of n-grams, as powers of two: 2 and 16 MB whatever the tables' size.
+IDS = 24
+GRAMS = 27
+#: Rounds that tie long lists to hubs, and hubs of each list and size band in a round.
+ROUNDS = 2
+HUBS = 4
 
 
 def _sets(batch, data, offsets, n: int):
@@ -61,21 +65,38 @@ def _count(n: int, ranges: int):
     return run
 
 
-def _sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    keys = np.concatenate([np.frombuffer(k, np.uint32) for k in table["keys"].to_pylist()])
-    counts = np.concatenate([np.ones(len(k) // 4, np.uint32) if c is None else np.frombuffer(c, np.uint32) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)])
-    found, at = np.unique(keys, return_inverse=True)
-    total = np.bincount(at, counts, len(found)).astype(np.int64)
-    keep = total >= COMMON_FROM
-    return pa.table({"range": pa.array(np.full(keep.sum(), key[0].as_py()), pa.int32()), "key": pa.array(found[keep].astype(np.int64)), "docs": pa.array(total[keep])})
+def _sum(ranges: int):
+    """Rows (range, key, docs) of common n-grams, and one (range, bits) that marks all keys of the range that are in two documents or more."""
+    power = GRAMS - int(math.log2(ranges))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k, np.uint32) for k in table["keys"].to_pylist()])
+        counts = np.concatenate([np.ones(len(k) // 4, np.uint32) if c is None else np.frombuffer(c, np.uint32) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)])
+        found, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, counts, len(found)).astype(np.int64)
+        bits = np.zeros(1 << power, dtype=bool)
+        bits[found[total > 1] >> np.uint32(32 - power)] = True
+        keep = total >= COMMON_FROM
+        rows = int(keep.sum()) + 1
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pa.table({"range": pa.array(np.full(rows, key[0].as_py()), pa.int32()), "key": pa.array([None, *found[keep].tolist()], pa.int64()), "docs": pa.array([None, *total[keep].tolist()], pa.int64()), "bits": pa.array([packed] + [None] * (rows - 1), pa.binary())})
+
+    return run
 
 
 class _Order:
-    """The global order: n-grams outside the table by hash, then those in it by frequency and hash."""
+    """The global order: n-grams of one document by hash, then others outside the table by hash, then those in it by frequency and hash."""
 
     def __init__(self, value):
-        self.ranges, keys, docs = value
-        self.keys, self.docs = np.frombuffer(keys, np.uint64), np.frombuffer(docs, np.int64)
+        self.ranges, keys, docs, bits = value
+        self.keys, self.docs, self.bits = np.frombuffer(keys, np.uint64), np.frombuffer(docs, np.int64), np.frombuffer(bits, np.uint8)
+
+    def rank(self, s: np.ndarray) -> np.ndarray:
+        """0 for n-grams of one document only (or, rarely, 1), 1 for others outside the table, else their documents."""
+        again = tk.in_bits(s, self.bits, GRAMS)
+        out = again.astype(np.int64)
+        out[again] = np.maximum(1, self.common(s[again]))
+        return out
 
     def common(self, s: np.ndarray) -> np.ndarray:
         """Documents of those of `s` that are in the table; 0 for others."""
@@ -90,10 +111,10 @@ class _Order:
 def _order(texts: DataFrame, n: int):
     """Counts every n-gram of all documents; the table of the most frequent, cut off at the frequency at which it fits."""
     spark = texts.sparkSession
-    ranges = 1 << min(20, max(6, math.ceil(math.log2(32 * texts.rdd.getNumPartitions()))))
-    counts = durable(texts.mapInArrow(_count(n, ranges), "range int, keys binary, counts binary").groupBy("range").applyInArrow(_sum, "range int, key long, docs long"))
+    ranges = 1 << min(20, max(6, math.ceil(math.log2(32 * max(1, texts.rdd.getNumPartitions())))))
+    counts = durable(texts.mapInArrow(_count(n, ranges), "range int, keys binary, counts binary").groupBy("range").applyInArrow(_sum(ranges), "range int, key long, docs long, bits binary"))
     least, room = 1 << 62, COMMON
-    for docs, many in sorted(counts.groupBy(F.floor(F.log2("docs")).alias("d")).count().collect(), reverse=True):
+    for docs, many in sorted(counts.where("docs is not null").groupBy(F.floor(F.log2("docs")).alias("d")).count().collect(), reverse=True):
         room -= many
         if room < 0:
             break
@@ -101,11 +122,15 @@ def _order(texts: DataFrame, n: int):
     table = counts.where(F.col("docs") >= least).toArrow()
     key = (table["range"].to_numpy().astype(np.uint64) << tk.U64(32)) | table["key"].to_numpy().astype(np.uint64)
     by = np.argsort(key)
-    return spark.sparkContext.broadcast((ranges, key[by].tobytes(), table["docs"].to_numpy()[by].astype(np.int64).tobytes()))
+    width = (1 << GRAMS) // ranges // 8
+    again = bytearray(1 << (GRAMS - 3))
+    for r in counts.where("bits is not null").select("range", "bits").toArrow().to_pylist():
+        again[r["range"] * width : (r["range"] + 1) * width] = r["bits"]
+    return spark.sparkContext.broadcast((ranges, key[by].tobytes(), table["docs"].to_numpy()[by].astype(np.int64).tobytes(), bytes(again)))
 
 
 def _signs(n: int, order, num: int, den: int, id_type: pa.DataType):
-    """One row per document: set size, a 128-bit hash of the set and its prefix in the global order."""
+    """One row per document: set size, a 128-bit hash of the set, and those n-grams of its prefix in the global order that other documents have, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = _Order(order.value)
@@ -114,7 +139,7 @@ def _signs(n: int, order, num: int, den: int, id_type: pa.DataType):
                 sets = list(_sets(batch, data, offsets, n))
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 s = np.concatenate(sets)
-                docs = rank.common(s)
+                ranks = rank.rank(s)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
                 h = []
                 for mixed in (tk.mix(s + tk.U64(0x51ED270B)), tk.mix(s ^ tk.U64(0xA24BAED4963EE407))):
@@ -122,30 +147,36 @@ def _signs(n: int, order, num: int, den: int, id_type: pa.DataType):
                     np.cumsum(mixed, out=sums[1:])
                     h.append(np.diff(sums[cuts]).view(np.int64))
                 lengths = np.where(sizes > 0, sizes + (-num * sizes) // den + 1, 0)
-                prefixes = []
+                prefixes, places = [], []
                 for d, own in enumerate(sets):
-                    f = docs[cuts[d] : cuts[d + 1]]
-                    prefixes.append(own[np.argsort(f, kind="stable")[: lengths[d]]] if f.any() else own[: lengths[d]])
-                flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("_doc").cast(id_type), pa.array(sizes), pa.array(h[0]), pa.array(h[1]), lists], ["_doc", "_n", "_h1", "_h2", "_prefix"])
+                    f = ranks[cuts[d] : cuts[d + 1]]
+                    by = np.argsort(f, kind="stable")[: lengths[d]]
+                    alone = int(np.searchsorted(f[by], 1))
+                    prefixes.append(own[by[alone:]])
+                    places.append(np.arange(alone, len(by), dtype=np.int32))
+                offsets_ = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets_, pa.array(np.concatenate(x) if x else [], t)) for x, t in (([y.view(np.int64) for y in prefixes], pa.int64()), (places, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("_doc").cast(id_type), pa.array(sizes), pa.array(h[0]), pa.array(h[1]), *lists], ["_doc", "_n", "_h1", "_h2", "_prefix", "_pos"])
 
     return run
 
 
-def _segments(n: int, order):
-    """Rows (doc, h1, fragment, its n-grams): a set cut along the global order."""
+def _segments(n: int, order, wanted):
+    """Rows (doc, h1, fragment, its n-grams): a set cut along the global order, for documents whose id passes the filter. N-grams of one document are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = _Order(order.value)
-        for whole in batches:
+        rank, bits = _Order(order.value), np.frombuffer(wanted.value, dtype=np.uint8)
+        for every in batches:
+            whole = every.filter(pa.array(tk.in_bits(every.column("_id").to_numpy().view(np.uint64), bits, IDS)))
             for batch, data, offsets in tk.steps(whole, "_text"):
                 rows, fragments, flat, lengths, h1 = [], [], [], [], []
                 for d, s in enumerate(_sets(batch, data, offsets, n)):
                     if not len(s):
                         continue
                     sign = int(np.sum(tk.mix(s + tk.U64(0x51ED270B)), dtype=np.uint64).view(np.int64))
-                    f = np.where(rank.common(s) > 0, FRAGMENTS, (s >> tk.U64(61)).astype(np.int64))
+                    ranks = rank.rank(s)
+                    s = s[ranks > 0]
+                    f = np.where(ranks[ranks > 0] > 1, FRAGMENTS, (s >> tk.U64(61)).astype(np.int64))
                     by = np.argsort(f, kind="stable")
                     cuts = np.searchsorted(f[by], np.arange(FRAGMENTS + 2))
                     for k in np.flatnonzero(np.diff(cuts)):
@@ -162,7 +193,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Classes of documents whose sets of word n-grams have a Jaccard similarity of num / den or more, linked through any chain.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Equal sets are one class from the start, so copies are never
-    paired. All n-grams of all documents are counted once; the global order puts frequent ones last. Two sets can only link if they share
+    paired. All n-grams of all documents are counted once; the global order starts with those of one document and puts frequent ones last. Two sets can only link if they share
     one of the first n - ceil(n * num / den) + 1 in that order (their prefix). Long prefix lists are first tied to one set per size band;
     what that links is one component, within which no pair is needed any more. All other pairs that share a prefix n-gram are counted, and
     ruled out by size and by what can be left after the prefix. Pairs that remain are verified by fragments of the order: each fragment's
@@ -178,12 +209,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     order = _order(texts.select("_text"), n)
-    signs = durable(texts.mapInArrow(_signs(n, order, num, den, id_type), f"_doc {kind}, _n long, _h1 long, _h2 long, _prefix array<long>"))
+    signs = durable(texts.mapInArrow(_signs(n, order, num, den, id_type), f"_doc {kind}, _n long, _h1 long, _h2 long, _prefix array<long>, _pos array<int>"))
     one = signs.where("_n > 0 and _doc is not null").groupBy("_doc").agg(F.min(F.struct("_h1", "_h2")).alias("_h")).select("_doc", "_h._h1", "_h._h2")
     classes = durable(one.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_rep")))
-    reps = durable(signs.join(classes, (F.col("_doc") == F.col("_rep")) & (signs["_h1"] == classes["_h1"]) & (signs["_h2"] == classes["_h2"])).select("_rep", "_n", signs["_h1"], "_prefix").dropDuplicates(["_rep"]))
+    reps = durable(signs.join(classes, (F.col("_doc") == F.col("_rep")) & (signs["_h1"] == classes["_h1"]) & (signs["_h2"] == classes["_h2"])).select("_rep", "_n", signs["_h1"], "_prefix", "_pos").dropDuplicates(["_rep"]))
 
-    postings = reps.select(F.col("_rep").alias("a"), "_n", F.posexplode("_prefix").alias("pos", "token"))
+    postings = reps.select(F.col("_rep").alias("a"), "_n", F.explode(F.arrays_zip(F.col("_prefix").alias("token"), F.col("_pos").alias("pos"))).alias("z")).select("a", "_n", "z.token", "z.pos")
     lists = postings.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
     postings = durable(postings.join(lists, "token"))
     least = lambda x, y: F.ceil((x + y) * num / F.lit(num + den))  # noqa: E731  the overlap that a link needs
@@ -193,26 +224,39 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         """Pairs (a, b, na, nb) that link."""
         pairs = durable(pairs)
         wanted = pairs.select(F.col("a").alias("_doc")).union(pairs.select(F.col("b").alias("_doc"))).distinct()
-        few = texts.join(wanted, "_doc", "left_semi")
-        cut = few.mapInArrow(_segments(n, order), f"_doc {kind}, _h1 long, _fragment int, _grams array<long>")
-        cut = durable(cut.join(reps.select(F.col("_rep").alias("_doc"), "_h1"), ["_doc", "_h1"], "left_semi").dropDuplicates(["_doc", "_fragment"]))
+        bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("_doc").alias("_id")), "_id", IDS))
+        cut = texts.withColumn("_id", F.xxhash64("_doc")).mapInArrow(_segments(n, order, bits), f"_doc {kind}, _h1 long, _fragment int, _grams array<long>")
+        own = wanted.join(reps.select(F.col("_rep").alias("_doc"), "_h1"), "_doc")
+        cut = durable(cut.join(own, ["_doc", "_h1"], "left_semi").dropDuplicates(["_doc", "_fragment"]))
         left = pairs.join(cut.select(F.col("_doc").alias("a"), "_fragment", F.col("_grams").alias("_ga")), "a")
         both = left.join(cut.select(F.col("_doc").alias("b"), "_fragment", F.col("_grams").alias("_gb")), ["b", "_fragment"])
         part = both.select("a", "b", "na", "nb", F.size(F.array_intersect("_ga", "_gb")).alias("part"))
         whole = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
         return whole.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b")
 
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of lists that hold more than one component."""
+        return rows.join(rows.groupBy("token").agg((F.min("root") != F.max("root")).alias("_mixed")).where("_mixed").select("token"), "token", "left_semi")
+
+    # A set most of whose prefix is in long lists has few n-grams of its own: it is near the middle of its group, and a good hub.
     band = F.floor(F.log(F.col("_n")) / math.log(den / num)).cast("int")
-    heavy = postings.where(F.col("sets") >= HEAVY).withColumn("band", band)
-    hubs = heavy.groupBy("token", "band").agg(F.min(F.struct("_n", "a")).alias("hub"))
-    near = heavy.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).join(hubs, ["token", "band"])
-    stars = near.where(F.col("a") != F.col("hub.a")).select(F.col("a"), F.col("hub.a").alias("b"), F.col("_n").alias("na"), F.col("hub._n").alias("nb")).distinct()
-    links = durable(verified(stars.where(fits(F.col("na"), F.col("nb")))))
-    roots = durable(components(links))
-
-    placed = postings.join(roots.withColumnRenamed("node", "a"), "a", "left").select("token", "a", "_n", "pos", "sets", F.coalesce("root", "a").alias("root"))
-    across = placed.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("token")
-    placed = durable(placed.join(across, "token", "left_semi"))
+    heavy = postings.where(F.col("sets") >= HEAVY)
+    heavy = durable(heavy.join(heavy.groupBy("a").agg(F.count("*").alias("score")), "a").withColumn("band", band))
+    links = postings.select("a", F.col("a").alias("b")).limit(0)
+    roots = links.select(F.col("a").alias("node"), F.col("a").alias("root"))
+    for turn in range(ROUNDS if heavy.take(1) else 0):
+        left = durable(mixed(rooted(heavy, roots)))
+        hubs = left.groupBy("token", "band", F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(HUBS)).alias("lot")).agg(F.max(F.struct("score", "a", "_n", "root")).alias("hub"))
+        near = left.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(hubs, ["token", "band"])
+        stars = near.where((F.col("root") != F.col("hub.root")) & fits(F.col("_n"), F.col("hub._n"))).select("a", F.col("hub.a").alias("b"), F.col("_n").alias("na"), F.col("hub._n").alias("nb")).distinct()
+        links = durable(links.union(verified(stars)))
+        roots = durable(components(links))
+
+    placed = rooted(postings, roots).select("token", "a", "_n", "pos", "sets", "root")
+    placed = durable(mixed(durable(placed)))
     other = placed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("a", "_n", "pos", "root")))
     light = placed.where(F.col("sets") < HEAVY).join(other, "token").where((F.col("a") < F.col("a_b")) & (F.col("root") != F.col("root_b")) & fits(F.col("_n"), F.col("_n_b")))
     # long lists: pairs of components first, so that the members of one are never set against each other

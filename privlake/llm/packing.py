@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,23 @@ from . import tokens as tk
 from .common import durable
 
 #: Words whose ids a task remembers; it forgets all when there are more.
-CACHE = 300_000
+CACHE = 1_000_000
 #: Partitions whose open windows are merged together.
 MERGED = 4
 
 
+#: Bytes of text that are tokenised in one step.
+STEP = 8 << 20
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
 class _Tokenizer:
-    """Ids of whole texts. White space always separates tokens of this kind of tokenizer, so each distinct word is encoded once."""
+    """Ids of whole texts by a tokenizer that lower-cases, whose tokens hold no white space and end where an ASCII letter meets another ASCII sign.
+
+    So each distinct piece between such places is encoded once, in lower case. A step in which "<|" occurs may hold the strings of special
+    tokens: there, only white space parts pieces, and case is kept.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,30 +45,53 @@ class _Tokenizer:
         self.forget()
 
     def forget(self):
-        self.place: dict[bytes, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin."""
+        special = b"<|" in data.tobytes()
+        data = data if special else tk.LOWER[data]
         starts, ends, first = tk.word_bounds(data, offsets, tk.SOLID)
-        _, one, where = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        words = [data[s:e].tobytes() for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-        if len(self.place) > CACHE:
+        if not special and len(data) > 1:
+            cut = np.flatnonzero(_LETTER[data[:-1]] & ~_LETTER[data[1:]] & (data[1:] < 128) & tk.SOLID[data[1:]]) + 1
+            cut = cut[~np.isin(cut, offsets)]
+            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+            first = np.searchsorted(starts, offsets)
+        unique, one, where = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if special:
+            unique = tk.mix(unique + tk.U64(1))
+        if len(self.known) > CACHE:
             self.forget()
-        fresh = list(dict.fromkeys(w for w in words if w not in self.place))
-        if fresh:
-            got = [e.ids for e in self.encode([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
+        at = np.searchsorted(self.known, unique)
+        new = np.ones(len(unique), dtype=bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != unique[inside]
+        if new.any():
+            raw = data.tobytes()
+            words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)]
+            got = [e.ids for e in self.encode(words, add_special_tokens=False)]
             lengths = np.fromiter(map(len, got), np.int64, len(got))
-            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in got for i in ids), np.uint32, int(lengths.sum()))])
+            slots = np.arange(len(self.slot), len(self.slot) + len(got))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        at = np.fromiter((self.place[w] for w in words), np.int64, len(words))[where] if len(words) else np.zeros(0, np.int64)
-        lengths = self.starts[at + 1] - self.starts[at]
+            known = np.concatenate([self.known, unique[new]])
+            by = np.argsort(known)
+            self.known, self.slot = known[by], np.concatenate([self.slot, slots])[by]
+            at = np.searchsorted(self.known, unique)
+        own = self.slot[at][where] if len(where) else np.zeros(0, np.int64)
+        lengths = self.starts[own + 1] - self.starts[own]
         cuts = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.arange(cuts[-1]) - np.repeat(cuts[:-1] - self.starts[at], lengths)]
+        ids = self.ids[np.arange(cuts[-1]) - np.repeat(cuts[:-1] - self.starts[own], lengths)]
         return ids, cuts[first]
 
 
+@functools.cache
+def _tokenizer(path: str) -> _Tokenizer:
+    """A worker keeps its tokenizer, and the words it knows, from task to task."""
+    return _Tokenizer(path)
+
+
 def _schema(id_type: pa.DataType) -> pa.Schema:
     return pa.schema([("_doc", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("_part", pa.int64()), ("_at", pa.int64()), ("ids", pa.binary())])
 
@@ -83,11 +118,11 @@ class _Rows:
 
 def _pack(path: str, size: int, windows: int, end_id: int, id_type: pa.DataType, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, count = _Tokenizer(path), TaskContext.get().partitionId(), 0
+        encode, part, count = _tokenizer(path), TaskContext.get().partitionId(), 0
         rows = _Rows(_schema(id_type), with_ids)
         open_, free = [], np.zeros(0, np.int64)
         for whole in batches:
-            for batch, data, offsets in tk.steps(whole, "_text"):
+            for batch, data, offsets in tk.steps(whole, "_text", STEP):
                 ids, cuts = encode(data, offsets)
                 for d, doc in enumerate(batch.column("_doc").to_pylist()):
                     own, start = np.append(ids[cuts[d] : cuts[d + 1]], np.uint32(end_id)), 0

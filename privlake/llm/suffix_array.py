@@ -36,23 +36,33 @@ def suffix_array(s: Sequence[int]) -> list[int]:
     end = n
     while end:
         begin = group[members[end - 1]]
-        counts: dict[int, int] = {}
         if end - begin == 1:
+            # most groups: one pointer, which lifts one suffix
             i = members[begin]
+            p = i - 1
+            while p >= 0 and group[p] >= begin:
+                p = lower[p]
+            lower[i] = p
+            end = begin
+            if p >= 0:
+                g = group[p]
+                many = size[g]
+                if many > 1:
+                    tail, at = g + many - 1, place[p]
+                    q = members[tail]
+                    members[at], place[q] = q, at
+                    members[tail], place[p] = p, tail
+                    group[p] = tail
+                    size[g], size[tail] = many - 1, 1
+            continue
+        counts: dict[int, int] = {}
+        for i in sorted(members[begin:end]):
             j = i - 1
             while j >= 0 and group[j] >= begin:
                 j = lower[j]
             lower[i] = j
             if j >= 0:
-                counts[j] = 1
-        else:
-            for i in sorted(members[begin:end]):
-                j = i - 1
-                while j >= 0 and group[j] >= begin:
-                    j = lower[j]
-                lower[i] = j
-                if j >= 0:
-                    counts[j] = counts.get(j, 0) + 1
+                counts[j] = counts.get(j, 0) + 1
         end = begin
         if not counts:
             continue

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,28 +12,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import bitmap, durable
+from .common import bitmap, durable, small
 from .suffix_array import suffix_array
 
 #: Bytes of the grams among which anchors are chosen, and of the cells that are the suffix array's symbols.
 GRAM = 64
-CELL = 4
+CELL = 8
 #: Bits of the filters of anchors and of owners, as a power of two: 16 MB whatever the corpus's size.
 POWER = 27
 #: Symbols that are gathered for one suffix array, unless one anchor has more.
-SYMBOLS = 4000
+SYMBOLS = 3000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bits of a value that hold a position within a step; the rest is the gram's hash.
 _PLACE = 28
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+@cache
+def _all_powers(base: int, n: int) -> np.ndarray:
     a = np.full(n, base, dtype=np.uint64)
     a[:1] = 1
     return np.cumprod(a)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first powers of `base` modulo 2**64; those of a common step are kept."""
+    return (_all_powers if n <= tk.STEP_BYTES else _all_powers.__wrapped__)(base, max(n, tk.STEP_BYTES))[:n]
+
+
 def anchored(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """First and last start of each run of `size`-byte windows with one anchor, the anchor's place, and its gram's hash.
 
@@ -137,7 +144,7 @@ def repeated_starts(contexts: list[tuple[bytes, int, int]], size: int) -> list[n
         borders.append(firsts)
         keeps.append(np.full(len(firsts), k))
         text += bytes(-len(text) % CELL + CELL)  # the last cell becomes a separator
-    cells = np.frombuffer(bytes(text), dtype="<u4")
+    cells = np.frombuffer(bytes(text), dtype="<u8")
     border, owner = np.concatenate(borders), np.concatenate(keeps)
     _, symbols = np.unique(cells, return_inverse=True)
     symbols = symbols + len(contexts) + 1
@@ -243,16 +250,17 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = share(bitmap(twice, "anchor", POWER))
     place = f"_doc {kind}, _key long, _start long, anchor long, context binary, mark long"
 
-    def found(hot) -> tuple[DataFrame, DataFrame]:
-        held = durable(texts.mapInArrow(_contexts(size, chosen, hot, None), place))
+    def found(bits, hot) -> tuple[DataFrame, DataFrame]:
+        held = durable(texts.mapInArrow(_contexts(size, bits, hot, None), place))
         return held, durable(held.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("mark").alias("mark")))
 
-    held, kinds = found(None)
-    crowded = kinds.groupBy("anchor").count().where(F.col("count") > hot_contexts).select("anchor")
+    held, kinds = found(chosen, None)
+    crowded = durable(kinds.groupBy("anchor").count().where(F.col("count") > hot_contexts).select("anchor"))
     hot = None
     if crowded.take(1):
         hot = share(bitmap(crowded, "anchor", POWER))
-        held, kinds = found(hot)
+        crowded = small(crowded)
+        held, kinds = (whole.join(crowded, "anchor", "left_anti").unionByName(cut) for whole, cut in zip((held, kinds), found(hot, hot), strict=True))
     known = kinds.join(kinds.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1").select("anchor"), "anchor", "left_semi")
     known = durable(known)
     owners = share(bitmap(known, "mark", POWER))

@@ -12,9 +12,9 @@ from privlake.plans.registry import query
 from privlake.sources import pages
 from privlake.sources.tables import derived, table
 
-_VERHOEFF = f"list_reduce(range(0, 12), lambda c, i: CAST(substr('{v.VERHOEFF_PRODUCT}', CAST(c * 10 + CAST(substr('{v.VERHOEFF_PLACES}', CAST((i % 8) * 10 + CAST(substr(%s, CAST(12 - i AS BIGINT), 1) AS BIGINT) + 1 AS BIGINT), 1) AS BIGINT) + 1 AS BIGINT), 1) AS BIGINT), CAST(0 AS BIGINT)) = 0"
-_LUHN = "list_sum(list_transform(range(1, length(%s) + 1), lambda k: CASE WHEN (length(%s) - k) % 2 = 1 THEN CASE WHEN 2 * CAST(substr(%s, k, 1) AS INT) > 9 THEN 2 * CAST(substr(%s, k, 1) AS INT) - 9 ELSE 2 * CAST(substr(%s, k, 1) AS INT) END ELSE CAST(substr(%s, k, 1) AS INT) END)) % 10 = 0".replace("% 2", "%% 2").replace("% 10", "%% 10")
-_LUHN_D = _LUHN % (("d",) * 6)
+_VERHOEFF = f"list_reduce(range(0, 12), lambda c, i: CAST(substr('{v.VERHOEFF_PRODUCT}', CAST(c * 10 + CAST(substr('{v.VERHOEFF_PLACES}', CAST((i % 8) * 10 + CAST(substr(d, CAST(12 - i AS BIGINT), 1) AS BIGINT) + 1 AS BIGINT), 1) AS BIGINT) + 1 AS BIGINT), 1) AS BIGINT), CAST(0 AS BIGINT)) = 0"
+_TWICE = "2 * CAST(substr(d, k, 1) AS INT)"
+_LUHN_D = f"list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 0 THEN CAST(substr(d, k, 1) AS INT) WHEN {_TWICE} > 9 THEN {_TWICE} - 9 ELSE {_TWICE} END)) % 10 = 0"
 _UPI = ", ".join(f"'{p}'" for p in v.UPI_PROVIDERS)
 
 
@@ -22,7 +22,7 @@ def _kept(source: str, unvalidated: bool) -> str:
     """CTEs that end in `kept`: the scan's matches. Level by level, since matches of one rule never overlap."""
     rules = [
         ("financial", r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b", 0.99, _LUHN_D),
-        ("aadhaar", r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b", 0.98, _VERHOEFF.replace("%s", "d")),
+        ("aadhaar", r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b", 0.98, _VERHOEFF),
         ("pan", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", 0.97, "regexp_full_match(v, '[A-Z]{3}[PCHFATBLJGKE][A-Z][0-9]{4}[A-Z]')"),
         ("ifsc", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", 0.95, "true"),
         ("upi", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9]+\b", 0.92, f"lower(split_part(v, '@', 2)) IN ({_UPI})"),
@@ -34,7 +34,7 @@ def _kept(source: str, unvalidated: bool) -> str:
         parts.append(f"x{k} AS (SELECT id, i, m[i] AS v, regexp_replace(m[i], '[\\s-]', '', 'g') AS d, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m{k} WHERE len(m) > 0))")
         own = f"SELECT id, CAST(s AS INT) AS s, CAST(s + length(v) AS INT) AS e, '{category}' AS category, v AS matched_text, {category != 'email'} AS validated, CAST({confidence} AS DOUBLE) AS confidence FROM x{k} x WHERE {check}"
         parts.append(f"k{k} AS ({own})" if not k else f"k{k} AS (SELECT * FROM k{k - 1} UNION ALL SELECT n.* FROM ({own}) n WHERE NOT EXISTS (SELECT 1 FROM k{k - 1} o WHERE o.id = n.id AND n.s < o.e AND o.s < n.e))")
-    return "WITH " + ",\n".join([*parts, f"kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS INT) AS ordinal FROM k{len(rows) - 1 if (rows := rules) else 0})"])
+    return "WITH " + ",\n".join([*parts, f"kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS INT) AS ordinal FROM k{len(rules) - 1})"])
 
 
 _DOCS = "SELECT doc_id AS id, text AS body FROM documents"
@@ -87,7 +87,7 @@ def card_luhn_hits(spark, sf_dir):
 _ID = "lpad(CAST({} * 7919 % 1000003 AS STRING), 6, '0')"
 
 
-@query(f"WITH c AS (SELECT c_custkey, concat({_ID.format('c_custkey')}, {_ID.format('(c_custkey + 17)')}) AS d FROM customer) SELECT c_custkey, d AS number, {_VERHOEFF.replace('%s', 'd')} AS valid FROM c")
+@query(f"WITH c AS (SELECT c_custkey, concat({_ID.format('c_custkey')}, {_ID.format('(c_custkey + 17)')}) AS d FROM customer) SELECT c_custkey, d AS number, {_VERHOEFF} AS valid FROM c")
 def verhoeff_numbers(spark, sf_dir):
     rows = derived(spark, sf_dir, f"SELECT c_custkey, concat({_ID.format('c_custkey')}, {_ID.format('(c_custkey + 17)')}) AS number FROM customer", "customer")
     return rows.withColumn("valid", F.coalesce(v.verhoeff_valid(F.col("number")), F.lit(False)))

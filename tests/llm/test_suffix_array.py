@@ -2,7 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from privlake.llm.suffix_array import suffix_array
-from privlake.llm.suffix_dedup import repeated_starts
+from privlake.llm.suffix_dedup import CELL, repeated_starts
 
 
 @settings(max_examples=400, deadline=None)
@@ -21,7 +21,7 @@ def test_repeated_starts(contexts):
     seen = {}
     for raw, left, n in rows:
         for p in range(len(raw) - size + 1):
-            key = ((p - left) % 4, raw[p : p + size])
+            key = ((p - left) % CELL, raw[p : p + size])
             seen[key] = seen.get(key, 0) + n
     for (raw, left, _), mask in zip(rows, got, strict=True):
-        assert [bool(m) for m in mask] == [seen[(p - left) % 4, raw[p : p + size]] > 1 for p in range(len(raw) - size + 1)]
+        assert [bool(m) for m in mask] == [seen[(p - left) % CELL, raw[p : p + size]] > 1 for p in range(len(raw) - size + 1)]
