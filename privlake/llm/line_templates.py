@@ -57,6 +57,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     alike, constant = F.size(F.filter("_general", lambda t: t != DIFFERS)), F.size(F.filter("_general", lambda t: ~t.isin(DIFFERS, VARIABLE)))
     template = F.xxhash64(F.transform("_general", lambda t: F.when(t == DIFFERS, VARIABLE).otherwise(t)))
     shaped = shaped.where((alike >= size * min_constant) & (constant * 2 >= size)).select("_leaf", "_hash", template.alias("_template"))
+    # written, so that both sides of the joins below are shuffled by themselves and a very common line can be split
+    shaped = small(durable(shaped))
     recurring = once.join(shaped, ["_leaf", "_hash"]).select("_template", "_key").distinct().groupBy("_template").count().where(F.col("count") >= min_docs).select("_template")
     gone = small(durable(shaped.join(recurring, "_template", "left_semi")))
 
