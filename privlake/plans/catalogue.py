@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from privlake.plans import forms, ledger, spatial, text
+from privlake.plans import forms, ledger, planning, spatial, text
 from privlake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "forms", "ledger", "spatial", "text"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "forms", "ledger", "planning", "spatial", "text"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
