@@ -195,8 +195,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Equal sets are one class from the start, so copies are never
     paired. All n-grams of all documents are counted once; the global order starts with those of one document and puts frequent ones last. Two sets can only link if they share
     one of the first n - ceil(n * num / den) + 1 in that order (their prefix). Long prefix lists are first tied to one set per size band;
-    what that links is one component, within which no pair is needed any more. All other pairs that share a prefix n-gram are counted, and
-    ruled out by size and by what can be left after the prefix. Pairs that remain are verified by fragments of the order: each fragment's
+    what that links is one component, within which no pair is needed any more. All other pairs that share a prefix n-gram are
+    ruled out by size, by its place in both sets, and by what their prefixes share and what can be left after them. Pairs that remain are verified by fragments of the order: each fragment's
     overlap is counted by itself and summed per pair. No list is cut, no candidate dropped: every link between two components is found.
 
     Result, a row per input row: `id_col`, n_shingles, component_id (the smallest id reachable). Documents of fewer than n words have
@@ -255,24 +255,30 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links = durable(links.union(verified(stars)))
         roots = durable(components(links))
 
-    placed = rooted(postings, roots).select("token", "a", "_n", "pos", "sets", "root")
+    # A pair that links has all of its overlap from its first common n-gram on, so a place in a set bounds the size of the other: num times it is at most `reach`.
+    reach = (F.col("_n") - F.col("pos")) * (num + den) - F.col("_n") * num
+    placed = rooted(postings, roots).select("token", "a", "_n", reach.alias("reach"), "sets", "root")
     placed = durable(mixed(durable(placed)))
-    other = placed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("a", "_n", "pos", "root")))
-    light = placed.where(F.col("sets") < HEAVY).join(other, "token").where((F.col("a") < F.col("a_b")) & (F.col("root") != F.col("root_b")) & fits(F.col("_n"), F.col("_n_b")))
+    other = placed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("a", "_n", "reach", "root")))
+    able = fits(F.col("_n"), F.col("_n_b")) & (F.col("_n_b") * num <= F.col("reach")) & (F.col("_n") * num <= F.col("reach_b"))
+    light = placed.where(F.col("sets") < HEAVY).join(other, "token").where((F.col("a") < F.col("a_b")) & (F.col("root") != F.col("root_b")) & able)
     # long lists: pairs of components first, so that the members of one are never set against each other
-    groups = placed.where(F.col("sets") >= HEAVY).groupBy("token", "root").agg(F.min("_n").alias("low"), F.max("_n").alias("high"))
-    beside = groups.select("token", *(F.col(c).alias(f"{c}_b") for c in ("root", "low", "high")))
-    facing = groups.join(beside, "token").where((F.col("root") < F.col("root_b")) & (F.col("high") * den >= F.col("low_b") * num) & (F.col("high_b") * den >= F.col("low") * num)).select("token", "root", "root_b")
-    dense = facing.join(placed, ["token", "root"]).join(other, ["token", "root_b"]).where(fits(F.col("_n"), F.col("_n_b")))
-    columns = ("a", "_n", "pos", "a_b", "_n_b", "pos_b")
+    groups = placed.where(F.col("sets") >= HEAVY).groupBy("token", "root").agg(F.min("_n").alias("low"), F.max("_n").alias("high"), F.max("reach").alias("reach"))
+    beside = groups.select("token", *(F.col(c).alias(f"{c}_b") for c in ("root", "low", "high", "reach")))
+    may = (F.col("high") * den >= F.col("low_b") * num) & (F.col("high_b") * den >= F.col("low") * num) & (F.col("low_b") * num <= F.col("reach")) & (F.col("low") * num <= F.col("reach_b"))
+    facing = groups.join(beside, "token").where((F.col("root") < F.col("root_b")) & may).select("token", "root", "root_b")
+    dense = facing.join(placed, ["token", "root"]).join(other, ["token", "root_b"]).where(able)
+    columns = ("a", "_n", "a_b", "_n_b")
     met = light.select(*columns).union(dense.select(*columns))
     flip = F.col("a") < F.col("a_b")
-    met = met.select(*(F.when(flip, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "a_b", "a"), ("a_b", "a", "b"), ("_n", "_n_b", "na"), ("_n_b", "_n", "nb"), ("pos", "pos_b", "pa"), ("pos_b", "pos", "pb"))))
-    counted = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    met = met.select(*(F.when(flip, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "a_b", "a"), ("a_b", "a", "b"), ("_n", "_n_b", "na"), ("_n_b", "_n", "nb")))).distinct()
+    # what the whole prefixes share, and what can be left after them
+    prefixes = reps.select("_rep", "_prefix")
+    met = met.join(prefixes.select(F.col("_rep").alias("a"), F.col("_prefix").alias("_pa")), "a").join(prefixes.select(F.col("_rep").alias("b"), F.col("_prefix").alias("_pb")), "b")
     after = lambda x: F.ceil(x * num / F.lit(den)) - 1  # noqa: E731  n-grams after the prefix
-    needed = least(F.col("na"), F.col("nb"))
-    able = (F.col("shared") + F.greatest(after(F.col("na")), after(F.col("nb"))) >= needed) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed)
-    links = links.union(verified(counted.where(able).select("a", "b", "na", "nb")))
+    shared = F.size(F.array_intersect("_pa", "_pb"))
+    met = met.where(shared + F.greatest(after(F.col("na")), after(F.col("nb"))) >= least(F.col("na"), F.col("nb")))
+    links = links.union(verified(met.select("a", "b", "na", "nb")))
     roots = components(links)
 
     named = classes.join(roots, F.col("_rep") == F.col("node"), "left").select("_h1", "_h2", F.coalesce("root", "_rep").alias("_component"))
