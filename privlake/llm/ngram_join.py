@@ -196,7 +196,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     paired. All n-grams of all documents are counted once; the global order starts with those of one document and puts frequent ones last. Two sets can only link if they share
     one of the first n - ceil(n * num / den) + 1 in that order (their prefix). Long prefix lists are first tied to one set per size band;
     what that links is one component, within which no pair is needed any more. All other pairs that share a prefix n-gram are
-    ruled out by size, by its place in both sets, and by what their prefixes share and what can be left after them. Pairs that remain are verified by fragments of the order: each fragment's
+    ruled out by size and by the n-gram's place in both sets. Pairs that remain are verified by fragments of the order: each fragment's
     overlap is counted by itself and summed per pair. No list is cut, no candidate dropped: every link between two components is found.
 
     Result, a row per input row: `id_col`, n_shingles, component_id (the smallest id reachable). Documents of fewer than n words have
@@ -217,7 +217,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     postings = reps.select(F.col("_rep").alias("a"), "_n", F.explode(F.arrays_zip(F.col("_prefix").alias("token"), F.col("_pos").alias("pos"))).alias("z")).select("a", "_n", "z.token", "z.pos")
     lists = postings.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
     postings = durable(postings.join(lists, "token"))
-    least = lambda x, y: F.ceil((x + y) * num / F.lit(num + den))  # noqa: E731  the overlap that a link needs
     fits = lambda x, y: (x * den >= y * num) & (y * den >= x * num)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -272,13 +271,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = light.select(*columns).union(dense.select(*columns))
     flip = F.col("a") < F.col("a_b")
     met = met.select(*(F.when(flip, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "a_b", "a"), ("a_b", "a", "b"), ("_n", "_n_b", "na"), ("_n_b", "_n", "nb")))).distinct()
-    # what the whole prefixes share, and what can be left after them
-    prefixes = reps.select("_rep", "_prefix")
-    met = met.join(prefixes.select(F.col("_rep").alias("a"), F.col("_prefix").alias("_pa")), "a").join(prefixes.select(F.col("_rep").alias("b"), F.col("_prefix").alias("_pb")), "b")
-    after = lambda x: F.ceil(x * num / F.lit(den)) - 1  # noqa: E731  n-grams after the prefix
-    shared = F.size(F.array_intersect("_pa", "_pb"))
-    met = met.where(shared + F.greatest(after(F.col("na")), after(F.col("nb"))) >= least(F.col("na"), F.col("nb")))
-    links = links.union(verified(met.select("a", "b", "na", "nb")))
+    links = links.union(verified(met))
     roots = components(links)
 
     named = classes.join(roots, F.col("_rep") == F.col("node"), "left").select("_h1", "_h2", F.coalesce("root", "_rep").alias("_component"))
