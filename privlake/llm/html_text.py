@@ -18,6 +18,11 @@ SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".sp
 #: A start tag ends these open elements, up to the nearest of the scopes.
 IMPLIED_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCK - {"body", "html", "tr", "tbody", "thead", "tfoot", "caption"}
+#: What may stand in a head; any other tag ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template head".split())
+#: Elements of other languages, in which a self-closed tag has no content, and those in them that hold HTML again.
+FOREIGN = frozenset({"svg", "math"})
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: Parents that a start tag implies inside a table.
 IMPLIED_PARENTS = {"td": "tr", "th": "tr"}
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|(?<![-\w])opacity\s*:\s*0*\.?0+(?![.\d])", re.I)
@@ -47,14 +52,14 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in ENDS_P:
             self._end({"p"}, {"table", "td", "th", "button", "body"} | (BLOCK - {"p"}), inner=True)
         if tag in IMPLIED_ENDS:
             self._end(*IMPLIED_ENDS[tag])
         if tag in IMPLIED_PARENTS and self.open[-1].tag in {"table", "tbody", "thead", "tfoot"}:
             self._add(Node(IMPLIED_PARENTS[tag], {}))
-        if tag == "body" and self.open[-1].tag == "head":
-            self.open.pop()
         node = Node(tag, dict(attrs))
         if tag in VOID or len(self.open) > MAX_DEPTH:
             self.open[-1].children.append(node)
@@ -62,10 +67,14 @@ class Tree(HTMLParser):
             self._add(node)
 
     def handle_startendtag(self, tag, attrs):
+        parent = self.open[-1]
         self.handle_starttag(tag, attrs)
+        if self.open[-1] is not parent and self.open[-1].tag == tag and (tag in FOREIGN or self._foreign()):
+            self.open.pop()
 
     def handle_endtag(self, tag):
         if tag == "br":
+            self._end_head()
             self.open[-1].children.append(Node("br", {}))
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
@@ -75,12 +84,22 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         self.open[-1].children.append(data)
 
     def _add(self, node):
         self.open[-1].children.append(node)
         self.open.append(node)
 
+    def _end_head(self):
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
+    def _foreign(self) -> bool:
+        """Whether the innermost open element stands in svg or math, and in no element of them that holds HTML."""
+        return next((n.tag in FOREIGN for n in reversed(self.open[:-1]) if n.tag in FOREIGN or n.tag in HTML_AGAIN), False)
+
     def _end(self, tags, scope, inner=False):
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:

@@ -216,6 +216,24 @@ def test_html_layout(html, text):
     assert html_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<head><title>T</title><p>Hello <b>you</b><div>there</div>", "Hello you\n\nthere"),
+        ("<html><head><meta charset=utf-8><style>p{}</style>\n<h1>A</h1>b", "A\n\nb"),
+        ("<head><title>T</title> plain text <i>first</i>", "plain text first"),
+        ("<head><title>T</title><script>no</script><noscript><p>no</noscript></head><body>yes", "yes"),
+        ("<div>a<svg/>b</div>c", "ab\nc"),
+        ("<p>a<math />b<p>c", "ab\n\nc"),
+        ("<p>a<math><mi/>x<mo/>y</math>b", "axyb"),
+        ("a<svg><g/><title>no</title><path/></svg>b", "ab"),
+        ("<div/>a", "a"),
+    ],
+)
+def test_html_implied_body_and_foreign_elements(html, text):
+    assert html_text(html) == text
+
+
 def test_units(spark):
     rows = [*ROWS, (20, "First line stays here.\nA sentence of several words stands here. Another sentence of many words too."), (21, "Lead in words. a  Sentence of several WORDS stands here. Then something that is new.")]
     got = by_id(drop_repeated_units(frame(spark, rows)))
