@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as entities
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object svg canvas audio video datalist textarea select".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object svg canvas audio video datalist".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody thead tfoot tr ul center caption".split())
 #: Blocks with a blank line before and after.
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 #: A start tag ends these open elements, up to the nearest of the scopes.
-IMPLIED_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+IMPLIED_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"})}
 ENDS_P = BLOCK - {"body", "html", "tr", "tbody", "thead", "tfoot", "caption"}
 #: What may stand in a head; any other tag ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template head".split())
@@ -28,6 +29,8 @@ IMPLIED_PARENTS = {"td": "tr", "th": "tr"}
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|(?<![-\w])opacity\s*:\s*0*\.?0+(?![.\d])", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 MAX_DEPTH = 400
+#: Elements that have their own place in a table.
+TABLE_PARTS = frozenset("caption tbody thead tfoot tr td th".split())
 
 
 class Node:
@@ -38,7 +41,7 @@ class Node:
 
     def visible(self) -> bool:
         a = self.attrs
-        return not (self.tag in HIDDEN or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or _INVISIBLE.search(a.get("style") or "") or (self.tag == "input" and (a.get("type") or "").lower() == "hidden"))
+        return not (self.tag in HIDDEN or "hidden" in a or _INVISIBLE.search(a.get("style") or "") or (self.tag == "input" and (a.get("type") or "").lower() == "hidden"))
 
 
 class Tree(HTMLParser):
@@ -65,6 +68,8 @@ class Tree(HTMLParser):
             self.open[-1].children.append(node)
         else:
             self._add(node)
+        if tag == "textarea":
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag, attrs):
         parent = self.open[-1]
@@ -83,7 +88,14 @@ class Tree(HTMLParser):
             if self.open[k].tag in {"table", "td", "th"} and tag not in {"table", "tr", "tbody", "thead", "tfoot", "body", "html"}:
                 return
 
+    def close(self):
+        super().close()
+        if self.cdata_elem == "textarea" and self.rawdata:
+            self.handle_data(self.rawdata)
+
     def handle_data(self, data):
+        if self.cdata_elem == "textarea":
+            data = entities.unescape(re.sub(r"\A\r?\n", "", data))
         if data.strip(" \t\n\r\f"):
             self._end_head()
         self.open[-1].children.append(data)
@@ -156,33 +168,64 @@ def _width(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def _holds_cells(node: Node) -> bool:
+    """Whether a wrapper, such as a form, has rows or cells of the table that it stands in."""
+    left = [node]
+    while left:
+        for c in left.pop().children:
+            if isinstance(c, Node) and c.visible():
+                if c.tag in TABLE_PARTS:
+                    return True
+                if c.tag != "table":
+                    left.append(c)
+    return False
+
+
 def _table(node: Node, depth: int) -> list[str]:
-    """Rows of cells, padded so that columns are aligned; an inner table's lines go into its cell, joined by blanks."""
+    """Rows of cells, padded so that columns are aligned; an inner table's lines go into its cell, joined by blanks.
+
+    What stands in no cell has a cell of its own if it is in a row, else a row; wrappers are looked into for their rows and cells.
+    """
     rows: list[list[str]] = []
+    stray = Node("div", {})
+
+    def end_stray(row: list[str] | None):
+        text = " ".join(render(stray, depth + 1).split())
+        stray.children.clear()
+        if text and row is None:
+            rows.append([text])
+        elif text:
+            row.append(text)
 
-    def collect(n: Node):
+    def collect(n: Node, row: list[str] | None):
         for c in n.children:
-            if not isinstance(c, Node) or not c.visible():
+            if not isinstance(c, Node):
+                stray.children.append(c)
+                continue
+            if not c.visible():
                 continue
-            if c.tag == "tr":
-                row = []
-                for cell in c.children:
-                    if isinstance(cell, Node) and cell.tag in {"td", "th"} and cell.visible():
-                        row.append(" ".join(render(cell, depth + 1).split()))
-                        span = cell.attrs.get("colspan") or ""
-                        row += [""] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0)
-                if row:
-                    rows.append(row)
+            inside = c.tag in TABLE_PARTS
+            if not inside and (c.tag == "table" or not _holds_cells(c)):
+                stray.children.append(c)
+                continue
+            end_stray(row)
+            if c.tag in {"td", "th"}:
+                if row is None:
+                    rows.append(row := [])
+                row.append(" ".join(render(c, depth + 1).split()))
+                span = c.attrs.get("colspan") or ""
+                row += [""] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0)
             elif c.tag == "caption":
                 rows.append([" ".join(render(c, depth + 1).split())])
-            elif c.tag in {"tbody", "thead", "tfoot"}:
-                collect(c)
+            elif c.tag == "tr":
+                rows.append([])
+                collect(c, rows[-1])
             else:
-                text = " ".join(render(c, depth + 1).split())
-                if text:
-                    rows.append([text])
+                collect(c, None if inside else row)
+        end_stray(row)
 
-    collect(node)
+    collect(node, None)
+    rows = [row for row in rows if row]
     widths: dict[int, int] = {}
     for row in rows:
         for k, cell in enumerate(row if len(row) > 1 else ()):
@@ -190,6 +233,33 @@ def _table(node: Node, depth: int) -> list[str]:
     return ["  ".join(cell + " " * max(0, widths.get(k, 0) - _width(cell)) for k, cell in enumerate(row)).rstrip() for row in rows]
 
 
+def _shown_options(select: Node) -> list[str]:
+    """A list box shows all its groups and options that are not hidden; a closed list the option last selected, or else its first enabled one."""
+    a = select.attrs
+    size = (a.get("size") or "").strip()
+    box = "multiple" in a or (size.isascii() and size.isdigit() and int(size[:9]) > 1)
+    chosen = first = None
+    shown: list[str] = []
+    left = [(c, False) for c in reversed(select.children)]
+    while left:
+        c, off = left.pop()
+        if not isinstance(c, Node) or (box and not c.visible()):
+            continue
+        off = off or (c.tag in {"option", "optgroup"} and "disabled" in c.attrs)
+        label = (c.attrs.get("label") or "").strip()
+        if c.tag != "option":
+            if c.tag == "optgroup" and label:
+                shown.append(label)
+            left += [(x, off) for x in reversed(c.children)]
+            continue
+        shown.append(label or " ".join(render(c).split()))
+        if "selected" in c.attrs:
+            chosen = shown[-1]
+        if first is None and not off:
+            first = shown[-1]
+    return shown if box else [x for x in (first if chosen is None else chosen,) if x]
+
+
 def _walk(node: Node, out: _Lines, pre: bool, depth: int):
     if not node.visible():
         return
@@ -199,6 +269,15 @@ def _walk(node: Node, out: _Lines, pre: bool, depth: int):
         return
     if tag == "img":
         return
+    if tag == "select":
+        options = _shown_options(node)
+        for option in options:
+            if len(options) > 1:
+                out.break_()
+            out.text(option, False)
+        if len(options) > 1:
+            out.break_()
+        return
     if tag in SPACED and not (tag in {"ul", "ol"} and out.indent):
         out.space()
     elif tag in BLOCK:
@@ -210,7 +289,7 @@ def _walk(node: Node, out: _Lines, pre: bool, depth: int):
         out.raw(_table(node, depth))
         out.space()
         return
-    pre = pre or tag == "pre"
+    pre = pre or tag in {"pre", "textarea"}
     outer, number = out.indent, 0
     if tag in {"ul", "ol", "blockquote", "dd"}:
         out.indent += "  "
@@ -260,9 +339,9 @@ def html_text(html: str | None) -> str | None:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Visible text of pages.
 
-    Pages become trees in which omitted end tags and table rows are implied; elements that are hidden by their kind, `hidden`, aria-hidden or
-    their own style go with all they hold. Blocks start on new lines, headings, paragraphs, lists and tables stand between empty lines, list
-    items have marks, cells are padded to their columns, `pre` keeps its blanks.
+    Pages become trees in which omitted end tags and table rows are implied; elements that are hidden by their kind, `hidden` or
+    their own style go with all they hold; aria-hidden ones are painted and stay. Of form controls, the text of a textarea and the options that a closed list or list box shows stay. Blocks start on new lines, headings, paragraphs, lists and tables stand between empty lines, list
+    items have marks, cells are padded to their columns, what stands in a table but in no cell has a cell or row of its own, `pre` keeps its blanks.
 
     Result, a row per input row: `id_col`, text (null for null, empty for pages without visible text). Malformed pages never fail: what can't be a tag is text. Repeated rows stay. Other
     columns are not looked at. An empty table gives no rows.

@@ -234,6 +234,31 @@ def test_html_implied_body_and_foreign_elements(html, text):
     assert html_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>cc<td>d</table>", "a   b\ncc  d"),
+        ("<table><form><tr><td>a<td>b</tr></form></table>", "a  b"),
+        ("<table><tbody><form><input><td>a<td>b<tr><td>c</form></table>", "a  b\nc"),
+        ("<table><tr>big <b>loose</b> text<td>a</tr></table>", "big loose text  a"),
+        ("<table>first<tr><td>a</tr>mid<tbody>in<tr><td>b</tr></tbody>last</table>", "first\na\nmid\nin\nb\nlast"),
+        ("<table><tr><td>a</td><div hidden><td>no</td></div><!-- no --> <script>no</script></tr></table>", "a"),
+        ("<table><tr><div>x<table><tr><td>in</table></div><td>a</tr></table>", "x in  a"),
+        ("<b aria-hidden=true>yes</b>", "yes"),
+        ("<textarea>\na <b>c</b> &amp;\n  d</textarea>e", "a <b>c</b> &\n  de"),
+        ("<p>x <textarea>left open &lt;", "x left open <"),
+        ("<select><option>a<option selected>b<option>c</select>", "b"),
+        ("<select><option disabled>a<optgroup disabled label=g><option>b</optgroup><option label=' L '>c</select>", "L"),
+        ("<select><option hidden selected>Choose<option>b</select>", "Choose"),
+        ("x<select multiple><option>a<optgroup label=g><option hidden>no<option>b</select>y", "x\na\ng\nb\ny"),
+        ("<select size=2><option>a<option>b</select>", "a\nb"),
+        ("<select hidden><option>a</select><textarea style='display:none'>b</textarea>", ""),
+    ],
+)
+def test_html_keeps_loose_table_text_and_form_text(html, text):
+    assert html_text(html) == text
+
+
 def test_units(spark):
     rows = [*ROWS, (20, "First line stays here.\nA sentence of several words stands here. Another sentence of many words too."), (21, "Lead in words. a  Sentence of several WORDS stands here. Then something that is new.")]
     got = by_id(drop_repeated_units(frame(spark, rows)))
