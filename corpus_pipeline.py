@@ -27,9 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines whose template recurs in ten documents or more, but for the first of each; documents without any text left go."""
+    """Drops lines whose template recurs in ten documents or more, and lines of 100 characters or more that stand verbatim in three different texts, but for the first of each; documents without any text left go."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = drop_recurring_lines(docs, columns=[c for c in others if c not in ("n_lines", "n_dropped")], keep_first=True)
+    out = drop_recurring_lines(docs, columns=[c for c in others if c not in ("n_lines", "n_dropped")], keep_first=True, min_texts=3)
     out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in others else None
     return out.select(*(length if c == "n_chars" else F.col(c) for c in docs.columns if c in out.columns))

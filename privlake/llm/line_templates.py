@@ -22,7 +22,7 @@ def _tokens(line: Column) -> Column:
     return F.split(F.btrim(general, F.lit(_BLANKS)), rf"[{_WS}]+")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: Sequence[str] = (), depth: int = 3, min_docs: int = 10, min_constant: float = 0.8, keep_first: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: Sequence[str] = (), depth: int = 3, min_docs: int = 10, min_constant: float = 0.8, keep_first: bool = False, min_texts: int | None = None, min_chars: int = 100) -> DataFrame:
     """Documents without the lines whose template recurs in `min_docs` documents or more.
 
     The tree has a fixed depth: lines part by their number of tokens, then by their first `depth` tokens, where a token with a digit is a
@@ -32,14 +32,19 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     before tokens are looked at; copies of a line are counted before any join. All occurrences of a recurring template go, or, with
     `keep_first`, all but that of the smallest (id, line).
 
+    With `min_texts`, a line of `min_chars` characters or more, blanks at its ends left out, that stands verbatim in so many different texts goes too, whatever its template, but
+    for its first occurrence, the smallest (id, line): that and the same line of documents with the very same text stay, so that copies stay copies.
+
     Result, a row per input row: `id_col`, text (the rest, joined by line feeds; null if it was null), n_lines, n_dropped, and `columns`. Blank lines stay.
     Null text has no lines; empty text has one, blank. Documents are told apart by id and text. Other columns are not looked at. An empty
     table gives no rows. Lines and leaves are compared by 64-bit hashes.
     """
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_key"))
     lines = texts.where(F.col("_text").isNotNull()).select("_doc", "_key", F.posexplode(F.split("_text", "\n")).alias("_line", "_raw")).withColumn("_tokens", _tokens(F.col("_raw"))).where(F.col("_tokens")[0] != "")
+    whole = F.btrim("_raw", F.lit(_BLANKS))
+    same = [F.when(F.length(whole) >= min_chars, F.xxhash64(whole)).alias("_same")] if min_texts else []
     leaf = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, depth))
-    lines = lines.select("_doc", "_key", "_line", "_tokens", leaf.alias("_leaf"), F.xxhash64("_tokens").alias("_hash"))
+    lines = lines.select("_doc", "_key", "_line", "_tokens", leaf.alias("_leaf"), F.xxhash64("_tokens").alias("_hash"), *same)
 
     marks = durable(lines.drop("_tokens"))
     once = marks.select("_leaf", "_hash", "_key").distinct()
@@ -67,6 +72,13 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         found = durable(found)
         first = found.groupBy("_template").agg(F.min(F.struct("_doc", "_line")).alias("_first"))
         found = found.join(first, "_template").where(~F.struct("_doc", "_line").eqNullSafe(F.col("_first")))
+    found = found.select("_doc", "_key", "_line")
+    if min_texts:
+        long = marks.where(F.col("_same").isNotNull()).select("_same", "_doc", "_key", "_line")
+        texts_of = long.groupBy("_same", "_key").agg(F.min(F.struct("_doc", "_line", "_key")).alias("_first"))
+        again = texts_of.groupBy("_same").agg(F.count("*").alias("_texts"), F.min("_first").alias("_first")).where(F.col("_texts") >= min_texts)
+        again = small(durable(again.select("_same", F.col("_first._key").alias("_of"), F.col("_first._line").alias("_at"))))
+        found = found.union(long.join(again, "_same").where((F.col("_key") != F.col("_of")) | (F.col("_line") != F.col("_at"))).select("_doc", "_key", "_line"))
     dropped = found.groupBy(F.col("_doc").alias("_id"), F.col("_key").alias("_of")).agg(F.collect_set("_line").alias("_dropped"))
     whole = docs.select(F.struct(*columns).alias("_row") if columns else F.lit(None).alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_key"))
     out = whole.join(dropped, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")

@@ -86,6 +86,21 @@ def test_line_dedup_variables_without_digits(spark):
     assert all(r.n_dropped == 1 for r in got)
 
 
+def test_line_dedup_of_verbatim_lines(spark):
+    passage = " ".join(f"{chr(97 + k % 26) * 5}{chr(97 + k // 26)}" for k in range(55))
+    rows = [(i, f"{chr(97 + i) * 9} own\n{passage} \nshort line") for i in range(3)] + [(3, "aaaaaaaaa own\n" + rest) for rest in (passage, passage + "\nx")]
+    rows.append((0, rows[0][1]))
+    pair = "two texts only " + passage
+    rows += [(8, pair + "\na"), (9, pair + "\nb")]
+    got = by_id(drop_recurring_lines(frame(spark, rows), keep_first=True, min_texts=3))
+    assert [r.text for r in got[0]] == [rows[0][1]] * 2  # the first, and its copy
+    assert got[1][0].text == "bbbbbbbbb own\nshort line" and got[2][0].text == "ccccccccc own\nshort line"
+    assert sorted(r.text for r in got[3]) == ["aaaaaaaaa own", "aaaaaaaaa own\nx"]
+    assert got[8][0].n_dropped == got[9][0].n_dropped == 0
+    assert by_id(drop_recurring_lines(frame(spark, rows), keep_first=True, min_texts=2))[9][0].text == "b"
+    assert sum(r.n_dropped for r in drop_recurring_lines(frame(spark, rows), keep_first=True).collect()) == 0
+
+
 def brute_components(rows, n, num):
     sets = {}
     for i, t in rows:
