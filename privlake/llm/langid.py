@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small
 
 #: Lengths of the character n-grams and the number of hashed features, as a power of two.
 ORDERS = (1, 2, 3)
@@ -21,9 +21,13 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dt
 
 @dataclass(frozen=True)
 class Settings:
-    """max_rows bounds the labelled rows that the classifier is fitted on, about; all training documents count for the inverse document frequencies."""
+    """max_rows bounds the labelled rows that the classifier is fitted on, about; all training documents count for the inverse document frequencies and the set of languages.
+
+    Of a language with fewer in that sample, about min_rows are taken, or all that there are.
+    """
 
     max_rows: int = 8000
+    min_rows: int = 50
     shards: int = 4
     epochs: int = 3
     alpha: float = 1.0
@@ -145,8 +149,8 @@ def held_out(id_col: str, mod: int = 5, rest: int = 0):
 def train_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", settings: Settings = Settings()) -> LanguageModel:
     """A model of the languages in `lang_col`. Rows with a null language, or whose text is null or has no letters, are not learned from.
 
-    Inverse document frequencies come from all rows. The classifier is fitted on about settings.max_rows of them, chosen and ordered by
-    a hash of `order_col` (which is no feature): each of a fixed number of shards trains by itself and the weights are averaged. A fifth of the chosen
+    Inverse document frequencies and the languages come from all rows. The classifier is fitted on about settings.max_rows of them, chosen and ordered by
+    a hash of `order_col` (which is no feature): with about settings.min_rows of each language at least, or all of a language that has fewer, and one at least that is fitted on: each of a fixed number of shards trains by itself and the weights are averaged. A fifth of the chosen
     rows only sets the temperature. An empty table gives a model without classes.
     """
     s = settings
@@ -160,7 +164,12 @@ def train_language_model(docs: DataFrame, text_col: str = "text", lang_col: str
     idf[features[features >= 0]] = np.log((1 + total) / (1 + number[features >= 0])) + 1
 
     part = F.pmod(F.floor(F.col("_order") / max(1, total)), F.lit(5 * s.shards))
-    chosen = durable(known.where(F.pmod(F.col("_order"), F.lit(total)) < s.max_rows).limit(2 * s.max_rows).withColumn("_part", part))
+    known = known.withColumn("_part", part)
+    # of each language the row that is chosen and fitted on in any case
+    langs = durable(known.groupBy("_lang").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("_part") < s.shards, "_order")).alias("_first")).select("_lang", F.greatest(F.lit(s.max_rows), F.ceil(s.min_rows * total / F.col("_n"))).alias("_below"), F.col("_first._order").alias("_first")))
+    known = known.join(small(langs), "_lang").where((F.pmod(F.col("_order"), F.lit(total)) < F.col("_below")) | (F.col("_order") == F.col("_first")))
+    lone = F.when((F.col("_order") == F.col("_first")) & (F.col("_part") < s.shards), s.shards + F.col("_part")).otherwise(F.col("_part"))
+    chosen = durable(known.limit(2 * (s.max_rows + (s.min_rows + 1) * langs.count())).select("_text", "_lang", "_order", lone.alias("_part")))
     fit, check = chosen.where(F.col("_part") >= s.shards), chosen.where(F.col("_part") < s.shards)
     classes = sorted(r[0] for r in fit.select("_lang").distinct().collect())
     if not classes:

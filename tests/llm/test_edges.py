@@ -11,7 +11,7 @@ from privlake.llm import audio, packing
 from privlake.llm.common import components
 from privlake.llm.decontaminate import decontaminate
 from privlake.llm.html_text import extract_text, html_text
-from privlake.llm.langid import held_out, train_language_model
+from privlake.llm.langid import Settings, held_out, train_language_model
 from privlake.llm.line_templates import drop_recurring_lines
 from privlake.llm.ngram_join import ngram_components
 from privlake.llm.queries import tokenizer_path
@@ -336,6 +336,15 @@ def test_language_model(spark):
     assert {r.lang_pred for r in none.predict(docs.drop("score")).collect()} == {"und"}
 
 
+def test_language_model_knows_rare_languages(spark):
+    words = {"en": "the and of with this that from have", "fr": "le la de et que pour avec dans", "xx": "zyq wqx qqz", "yy": "kkj jjk"}
+    rows = [(i, words["en" if i % 2 else "fr"], "en" if i % 2 else "fr") for i in range(3000)] + [(3000 + i, words["xx"], "xx") for i in range(40)] + [(4000, words["yy"], "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = train_language_model(docs, settings=Settings(max_rows=60))
+    assert learned.classes == ("en", "fr", "xx", "yy")
+    assert learned.predict(docs.where("lang = 'xx'")).where("lang_pred = 'xx'").count() == 40
+
+
 def test_toxicity_model(spark):
     rng = np.random.default_rng(4)
     plain, bad = "the river runs by a green hill and sun".split(), ["vilefool", "rotscum", "m0ron"]
