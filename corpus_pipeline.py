@@ -36,9 +36,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each class of documents linked by a Jaccard similarity of 0.8 or more over sets of 5 words."""
-    kept = ngram_components(docs).where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Keeps the smallest id of each class of documents linked by a Jaccard similarity of 0.8 or more over sets of 5 words.
+
+    A document is an id and a text: rows that repeat both are one, different texts under one id are judged each by itself, and of those in one class the one with the
+    smallest hash stays. Rows without an id stay.
+    """
+    known, text = docs.where("doc_id is not null"), F.xxhash64("text")
+    shared = known.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high")
+    name = F.col("doc_id")
+    if shared.take(1):
+        # names in the order of ids, then of hashes
+        digits = lambda x: F.lpad((x.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
+        name = F.concat(name if dict(docs.dtypes)["doc_id"] == "string" else digits(name), F.lit("\0"), digits(text))
+    known = known.withColumn("_name", name)
+    kept = ngram_components(known, id_col="_name").where(F.col("component_id") == F.col("_name")).select("_name").distinct()
+    return known.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from privlake.llm import queries as q
 from privlake.llm.common import durable
@@ -34,6 +35,20 @@ def test_language_id_on_held_out_documents(spark):
     assert sum(docs[r.doc_id].lang == r.lang_pred for r in held) >= 0.95 * len(held)
 
 
+def test_near_duplicates_tells_texts_under_one_id_apart(spark):
+    import corpus_pipeline
+
+    a, b, c = ("".join(f"{x}{k} " for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (7, c), (-3, b + "end"), (10, a), (10, None), (9, c + "end"), (None, a), (None, a)]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = corpus_pipeline.near_duplicates(spark, docs, SF)
+        assert got.columns == docs.columns
+        kept = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+        # by text, "10" comes before "5"
+        assert kept == sorted([("10" if kind == "string" else "5", a), ("10", ""), ("-3", b + "end"), ("7", c), ("None", a), ("None", a)])
+
+
 def test_pipeline(spark):
     if not os.path.exists(os.path.join(os.path.dirname(__file__), "..", "..", "corpus_pipeline.py")):
         pytest.skip("the pipeline is not here")
