@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast by hand only if its rows were counted and are at most this many.
@@ -19,13 +21,18 @@ LOCAL_EDGES = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one, removed at exit, only where that is unset and all runs in one process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or _own_folder()
 
 
 @functools.cache
 def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="privlake-")
+    folder = tempfile.mkdtemp(prefix="privlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -35,9 +42,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, to be broadcast if its counted rows are few; else the join shuffles both sides. `df` should be durable: it is read twice."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def carried(docs: DataFrame, text_col: str) -> DataFrame:
+    """Rows (_row, _text): all columns of `docs` as one struct, so that none can clash with an operator's own."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), F.col(text_col).alias("_text"))
+
+
+def spread(docs: DataFrame, *new: str) -> list[Column]:
+    """The columns that carried() put into _row, but for those whose names, in any case, are among `new`."""
+    return [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in new]
 
 
 def bitmap(hashes: DataFrame, column: str, power: int) -> bytes:

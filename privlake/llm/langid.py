@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small
+from .common import carried, durable, small, spread
 
 #: Lengths of the character n-grams and the number of hashed features, as a power of two.
 ORDERS = (1, 2, 3)
@@ -117,7 +117,8 @@ class LanguageModel:
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """`docs` with lang_pred and score appended: the likeliest language and its calibrated probability.
 
-        A text that is null, empty or has no letters is `und` with score 0, as is every text if nothing could be learned.
+        A text that is null, empty or has no letters is `und` with score 0, as is every text if nothing could be learned. Input columns named
+        lang_pred or score, in any case, give way to the new ones; all others stay, whatever their names.
         """
         spark = docs.sparkSession
         model = spark.sparkContext.broadcast((self.classes, self.idf.astype(np.float32), self.weights.astype(np.float32), self.temperature))
@@ -137,8 +138,8 @@ class LanguageModel:
                 out.append((m.classes[int(np.argmax(p))], float(p.max() / p.sum())))
             return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-        letters = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
-        return docs.withColumn("_p", predicted(letters)).select(*docs.columns, "_p.lang_pred", "_p.score")
+        letters = F.when(F.col("_text").rlike(r"\p{L}"), F.col("_text"))
+        return carried(docs, text_col).select("_row", predicted(letters).alias("_p")).select(*spread(docs, "lang_pred", "score"), "_p.lang_pred", "_p.score")
 
 
 def held_out(id_col: str, mod: int = 5, rest: int = 0):
@@ -163,13 +164,13 @@ def train_language_model(docs: DataFrame, text_col: str = "text", lang_col: str
     idf = np.full(1 << POWER, np.log(1 + total) + 1)
     idf[features[features >= 0]] = np.log((1 + total) / (1 + number[features >= 0])) + 1
 
-    part = F.pmod(F.floor(F.col("_order") / max(1, total)), F.lit(5 * s.shards))
+    part = F.pmod(F.expr(f"_order div {max(1, total)}"), F.lit(5 * s.shards))
     known = known.withColumn("_part", part)
     # of each language the row that is chosen and fitted on in any case
     langs = durable(known.groupBy("_lang").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("_part") < s.shards, "_order")).alias("_first")).select("_lang", F.greatest(F.lit(s.max_rows), F.ceil(s.min_rows * total / F.col("_n"))).alias("_below"), F.col("_first._order").alias("_first")))
     known = known.join(small(langs), "_lang").where((F.pmod(F.col("_order"), F.lit(total)) < F.col("_below")) | (F.col("_order") == F.col("_first")))
     lone = F.when((F.col("_order") == F.col("_first")) & (F.col("_part") < s.shards), s.shards + F.col("_part")).otherwise(F.col("_part"))
-    chosen = durable(known.limit(2 * (s.max_rows + (s.min_rows + 1) * langs.count())).select("_text", "_lang", "_order", lone.alias("_part")))
+    chosen = durable(known.select("_text", "_lang", "_order", lone.alias("_part")))
     fit, check = chosen.where(F.col("_part") >= s.shards), chosen.where(F.col("_part") < s.shards)
     classes = sorted(r[0] for r in fit.select("_lang").distinct().collect())
     if not classes:

@@ -61,8 +61,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learned from labels of those whose crc32 of the id does not leave 2 when divided by 4."""
     docs, out = _table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
-    labels = _table(spark, sf_dir, "labels").where(~out).select("doc_id", "toxic")
-    model = train_toxicity_model(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = train_toxicity_model(docs, _table(spark, sf_dir, "labels").where(~out))
     return model.predict(docs.select("doc_id", out.alias("held_out"), "text")).drop("text")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from privlake.llm import audio, packing
+from privlake.llm import audio, packing, toxicity
 from privlake.llm.common import components
 from privlake.llm.decontaminate import decontaminate
 from privlake.llm.html_text import extract_text, html_text
@@ -16,7 +16,7 @@ from privlake.llm.line_templates import drop_recurring_lines
 from privlake.llm.ngram_join import ngram_components
 from privlake.llm.queries import tokenizer_path
 from privlake.llm.suffix_dedup import drop_repeated_bytes
-from privlake.llm.toxicity import train_toxicity_model
+from privlake.llm.toxicity import _sample, train_toxicity_model
 from privlake.llm.unit_dedup import drop_repeated_units
 
 LONG = " ".join(f"w{i % 997}" for i in range(40_000))
@@ -328,12 +328,14 @@ def test_language_model(spark):
     rows = [(i, " ".join(rng.choice(words[lang].split(), 12)), lang) for i, lang in enumerate(list(words) * 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(9))
     learned = train_language_model(docs.where(~held_out("doc_id")))
-    got = learned.predict(docs.where(held_out("doc_id")).drop("score")).collect()
+    got = learned.predict(docs.where(held_out("doc_id"))).collect()
     assert got and np.mean([r.lang == r.lang_pred for r in got]) >= 0.95 and all(0 <= r.score <= 1 for r in got)
-    odd = by_id(learned.predict(frame(spark).drop("score")))
+    clash = frame(spark).withColumnRenamed("score", "SCORE").withColumn("_p", F.lit(7)).withColumn("_row", F.lit(8))
+    odd = by_id(learned.predict(clash))
+    assert set(odd[1][0].asDict()) == {*clash.columns, "lang_pred", "score"} - {"SCORE"} and (odd[1][0]._p, odd[1][0]._row) == (7, 8)
     assert [odd[k][0].lang_pred for k in (3, 4, 5)] == ["und"] * 3 and odd[3][0].score == 0.0
     none = train_language_model(docs.limit(0))
-    assert {r.lang_pred for r in none.predict(docs.drop("score")).collect()} == {"und"}
+    assert {r.lang_pred for r in none.predict(docs).collect()} == {"und"}
 
 
 def test_language_model_knows_rare_languages(spark):
@@ -356,13 +358,37 @@ def test_toxicity_model(spark):
         rows.append((i, " ".join(words), toxic))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     out = held_out("doc_id", 4, 2)
-    model = train_toxicity_model(docs.where(~out))
+    model = train_toxicity_model(docs, docs.where(~out))
     got = model.predict(docs.where(out)).collect()
     assert np.mean([r.toxic == r.predicted for r in got]) > 0.95
-    assert all(0 <= r.score <= 1 for r in model.predict(frame(spark).drop("score")).collect())
-    flat = train_toxicity_model(docs.where("toxic = 0"))
+    clash = frame(spark).withColumnRenamed("score", "Score").withColumn("_raw", F.lit(7)).withColumn("_margin", F.lit(8)).withColumn("_features", F.lit("f"))
+    odd = model.predict(clash)
+    assert odd.columns == [c for c in clash.columns if c != "Score"] + ["score", "predicted"]
+    assert all(0 <= r.score <= 1 and (r._raw, r._margin, r._features) == (7, 8, "f") for r in odd.collect())
+    flat = train_toxicity_model(docs, docs.where("toxic = 0"))
     assert {r.score for r in flat.predict(docs).collect()} == {0.0}
-    assert train_toxicity_model(docs.limit(0)).predict(docs.limit(0)).count() == 0
+    assert train_toxicity_model(docs.limit(0), docs.limit(0)).predict(docs.limit(0)).count() == 0
+
+
+def test_toxicity_sample_is_bounded_when_one_id_has_many_rows(spark):
+    rows = [(1, f"text {i} vilefool") for i in range(300)] + [(1, "same")] * 50 + [(2, "clean"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    many = _sample(docs, labels, "text", "toxic", "doc_id", toxicity.Settings(max_rows=50)).count()
+    assert 20 <= many <= 100
+    assert _sample(docs, labels, "text", "toxic", "doc_id", toxicity.Settings()).count() == 303
+
+
+def test_toxicity_measures_each_text_by_itself():
+    lexicon, s = {"vilefool": 2.0, "scum~": 1.0}, toxicity.Settings()
+    texts = ["You are a V1LEFOOL!!", "vilefool", "", "you", "a b c d e f g scummy you", " \u00b4you SCUM\u00b4mers ", "x " * 50 + "vilefool"]
+    together = toxicity._feature_lists(texts, toxicity._Measures(lexicon, s))
+    alone = [toxicity._feature_lists([t], toxicity._Measures(lexicon, s))[0] for t in texts]
+    assert np.allclose(together, alone)
+    named = [dict(zip(toxicity.FEATURES, map(float, r), strict=True)) for r in together]
+    assert named[0]["near_second_person"] == 0.25 and named[0]["obfuscated_hits"] == 1 and named[1]["near_second_person"] == 0
+    assert named[2] == dict.fromkeys(toxicity.FEATURES, 0.0) and named[3]["any_word"] == 0
+    assert named[4]["stem_count"] == 1 and named[4]["near_second_person"] == 1 / 9 and named[6]["word_count"] == 1
 
 
 def test_held_out_is_crc32_of_the_id(spark):

@@ -35,6 +35,19 @@ def test_language_id_on_held_out_documents(spark):
     assert sum(docs[r.doc_id].lang == r.lang_pred for r in held) >= 0.95 * len(held)
 
 
+def test_toxicity_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    got = q.op6_toxicity(spark, sf)
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    rows = got.collect()
+    marked = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    held = [(r.predicted, marked[r.doc_id]) for r in rows if r.held_out and r.doc_id in marked]
+    right = sum(p == t == 1 for p, t in held)
+    assert right >= 0.9 * sum(t for _, t in held) and right >= 0.9 * sum(p for p, _ in held)
+
+
 def test_near_duplicates_tells_texts_under_one_id_apart(spark):
     import corpus_pipeline
 
