@@ -35,11 +35,23 @@ def _own_folder() -> str:
     return "file://" + folder
 
 
+#: Makes Spark delete the shuffle files of a query that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again: what follows depends on no executor's memory or disk, and computes `df` once."""
-    path = f"{shared_folder(df.sparkSession)}/privlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written to the shared folder and read again: what follows depends on no executor's memory or disk, and computes `df` once.
+
+    The shuffle files of the write go once it has ended.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/privlake-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,6 +69,11 @@ def spread(docs: DataFrame, *new: str) -> list[Column]:
     return [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in new]
 
 
+def filter_power(rows: int) -> int:
+    """The size of a filter of so many hashes, as a power of two: eight bits for each, from 128 KB up to 32 MB."""
+    return min(28, max(20, (8 * rows).bit_length()))
+
+
 def bitmap(hashes: DataFrame, column: str, power: int) -> bytes:
     """2**power bits, of which those that the top `power` bits of the hashes in `column` name are set.
 

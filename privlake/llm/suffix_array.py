@@ -31,7 +31,8 @@ def suffix_array(s: Sequence[int]) -> list[int]:
     size = [0] * n
     for b, m in zip(first.tolist(), np.diff(np.append(first, n)).tolist(), strict=True):
         size[b] = m
-    lower = [-1] * n
+    unknown = -2
+    lower = [unknown] * n
 
     end = n
     while end:
@@ -56,26 +57,30 @@ def suffix_array(s: Sequence[int]) -> list[int]:
                     size[g], size[tail] = many - 1, 1
             continue
         counts: dict[int, int] = {}
-        for i in sorted(members[begin:end]):
-            j = i - 1
-            while j >= 0 and group[j] >= begin:
-                j = lower[j]
-            lower[i] = j
-            if j >= 0:
-                counts[j] = counts.get(j, 0) + 1
+        for i in members[begin:end]:
+            # a member may lead past others of its group whose pointers are not known yet: those come first
+            waiting = [(i, i - 1)] if lower[i] == unknown else []
+            while waiting:
+                i, j = waiting.pop()
+                while j >= 0 and group[j] >= begin and lower[j] != unknown:
+                    j = lower[j]
+                if j >= 0 and group[j] >= begin:
+                    waiting.append((i, j))
+                    waiting.append((j, j - 1))
+                    continue
+                lower[i] = j
+                if j >= 0:
+                    counts[j] = counts.get(j, 0) + 1
         end = begin
         if not counts:
             continue
-        levels = sorted(set(counts.values()), reverse=True)
-        for level in levels:
+        levels: dict[int, list[int]] = {}
+        for p, c in counts.items():
+            levels.setdefault(c, []).append(p)
+        for level in sorted(levels, reverse=True):  # m pointers have at most sqrt(2 m) different counts
             moved: dict[int, list[int]] = {}
-            for p, c in counts.items():
-                if c == level:
-                    g = group[p]
-                    if g in moved:
-                        moved[g].append(p)
-                    else:
-                        moved[g] = [p]
+            for p in levels[level]:
+                moved.setdefault(group[p], []).append(p)
             for g, who in moved.items():
                 all_, many = size[g], len(who)
                 if many == all_:

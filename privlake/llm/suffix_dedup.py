@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import bitmap, durable, small
+from .common import BROADCAST_ROWS, bitmap, durable, filter_power, small
 from .suffix_array import suffix_array
 
 #: Bytes of the grams among which anchors are chosen, and of the cells that are the suffix array's symbols.
-GRAM = 64
+GRAM = 40
 CELL = 8
-#: Bits of the filters of anchors and of owners, as a power of two: 16 MB whatever the corpus's size.
-POWER = 27
+#: Filters hold at most so many hashes; beyond, tables are joined by shuffle instead.
+FILTER_ROWS = 1 << 25
+#: Over how many keys the rows of one text are dealt when spans meet texts.
+SALTS = 64
 #: Symbols that are gathered for one suffix array, unless one anchor has more.
 SYMBOLS = 3000
 _BASE = 0x9E3779B97F4A7C15
@@ -41,12 +43,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """First and last start of each run of `size`-byte windows with one anchor, the anchor's place, and its gram's hash.
+    """First and last start of each run of `size`-byte windows with one anchor, the anchor's place, and a hash of its gram.
 
     A window's anchor is the leftmost of its grams with the smallest hash, which depends on the window's bytes alone: equal windows have
-    equal anchors at equal distance. Windows lie within a document.
+    equal anchors at equal distance. Windows lie within a document. A text of 2**28 bytes or more is cut into parts that share `size` - 1 bytes.
     """
     n, gram = len(data), min(GRAM, size)
+    if n >> _PLACE:
+        ends = [(a, min(b, a + (1 << (_PLACE - 1)) + size - 1)) for o, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for a in range(o, max(o + 1, b - size + 1), 1 << (_PLACE - 1))]
+        parts = [(a, anchored(data[a:b], np.array([0, b - a]), size)) for a, b in ends]
+        return *(np.concatenate([x[k] + a for a, x in parts]) for k in range(3)), np.concatenate([x[3] for _, x in parts])
     first, last = offsets[:-1], offsets[1:] - size
     first, last = first[last >= first], last[last >= first]
     if not len(first):
@@ -70,38 +76,59 @@ def anchored(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     opens[first] = True
     new = np.flatnonzero(np.concatenate([[True], (at[starts][1:] != at[starts][:-1]) | opens[starts[1:]]]))
     places = at[starts[new]]
-    return starts[new], starts[np.append(new[1:], len(starts)) - 1], places, grams[places]
+    # the smallest of many hashes begin with zeros: mixed once more, they fill a filter evenly
+    return starts[new], starts[np.append(new[1:], len(starts)) - 1], places, tk.mix(grams[places])
 
 
-def _anchors(size: int):
+def _unskipped(batch: pa.RecordBatch, skip: np.ndarray | None) -> pa.RecordBatch:
+    return batch if skip is None else batch.filter(pa.array(~tk.in_bits(batch.column("_d0").to_numpy().view(np.uint64), skip)))
+
+
+def _bits(shared) -> np.ndarray | None:
+    return np.frombuffer(shared.value, dtype=np.uint8) if shared else None
+
+
+def _apart(copies):
+    """The rows whose digest may be among those of copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _bits(copies)
+        for batch in batches:
+            yield batch.filter(pa.array(tk.in_bits(batch.column("_d0").to_numpy().view(np.uint64), bits)))
+
+    return run
+
+
+def _anchors(size: int, skip):
     """Rows (anchor, n): how often each anchor gram occurs in a step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skipped = _bits(skip)
         for whole in batches:
-            for _, data, offsets in tk.steps(whole, "_text"):
+            for _, data, offsets in tk.steps(_unskipped(whole, skipped), "_text"):
                 u, n = np.unique(anchored(data, offsets, size)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
     return run
 
 
-def _contexts(size: int, chosen, hot, owners):
-    """Contexts (the bytes of a run of windows) of chosen anchors. Hot anchors' are cut into single windows, which are their own anchors.
+def _contexts(size: int, skip, chosen, hot, owners, with_bytes: bool = False):
+    """Contexts (the bytes of a run of windows) of chosen anchors, of all without `chosen`. Hot anchors' are cut into single windows, which are their own anchors.
 
-    Without owners: a row (doc, key, start, anchor, context, mark) per occurrence. With them: the bytes too, of those whose mark passes.
+    A row (text, salt, start, number of windows, anchor, context) per occurrence; with_bytes: a row (context, place of the anchor, bytes) per
+    occurrence that is among `owners`, or in a row's list _own of starts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(chosen.value, dtype=np.uint8)
-        split = np.frombuffer(hot.value, dtype=np.uint8) if hot else None
-        own = np.frombuffer(owners.value, dtype=np.uint8) if owners else None
+        skipped, wanted, split, own = _bits(skip), _bits(chosen), _bits(hot), _bits(owners)
         for whole in batches:
-            for batch, data, offsets in tk.steps(whole, "_text"):
+            for batch, data, offsets in tk.steps(_unskipped(whole, skipped), "_text"):
                 first, last, place, gram = anchored(data, offsets, size)
-                keep = np.flatnonzero(tk.in_bits(gram, wanted, POWER))
-                first, last, place, gram = first[keep], last[keep], place[keep], gram[keep]
+                if wanted is not None:
+                    keep = np.flatnonzero(tk.in_bits(gram, wanted))
+                    first, last, place, gram = first[keep], last[keep], place[keep], gram[keep]
                 if split is not None and len(first):
-                    cut = tk.in_bits(gram, split, POWER)
+                    cut = tk.in_bits(gram, split)
                     many = np.where(cut, last - first + 1, 1)
                     shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                     single = np.repeat(cut, many)
@@ -112,20 +139,33 @@ def _contexts(size: int, chosen, hot, owners):
                     single = np.zeros(len(first), dtype=bool)
                 raw = data.tobytes()
                 doc = np.searchsorted(offsets, first, side="right") - 1
-                keys = [xxhash.xxh3_128_digest(raw[a : b + size] + (p - a).to_bytes(8, "little")) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
-                low = np.frombuffer(b"".join(keys), dtype="<u8")[::2] if keys else np.zeros(0, np.uint64)
-                gram = np.where(single, low, gram)
-                mark = tk.mix(low ^ (batch.column("_id").to_numpy().view(np.uint64)[doc] * tk.U64(_BASE)) ^ ((first - offsets[doc]).astype(np.uint64) * tk.U64(0xC2B2AE3D27D4EB4F)))
-                if own is None:
+                keys = b"".join([xxhash.xxh3_128_digest(raw[a : b + size] + (p - a).to_bytes(8, "little")) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)])
+                c0, c1 = np.frombuffer(keys, dtype="<u8").reshape(-1, 2).T
+                gram = np.where(single, c0, gram)
+                start, d0 = first - offsets[doc], batch.column("_d0").to_numpy().view(np.uint64)[doc]
+                if not with_bytes:
                     at = pa.array(doc)
-                    yield pa.RecordBatch.from_arrays([batch.column("_doc").take(at), batch.column("_key").take(at), pa.array(first - offsets[doc]), pa.array(gram.view(np.int64)), pa.array(keys, pa.binary()), pa.array(mark.view(np.int64))], ["_doc", "_key", "_start", "anchor", "context", "mark"])
+                    yield pa.RecordBatch.from_arrays([batch.column("_d0").take(at), batch.column("_d1").take(at), batch.column("_salt").take(at), pa.array(start.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (gram, c0, c1))], ["_d0", "_d1", "_salt", "start", "many", "anchor", "c0", "c1"])
+                    continue
+                if own is not None:
+                    at = np.flatnonzero(tk.in_bits(_mark(d0, c0, start), own))
                 else:
-                    at = np.flatnonzero(tk.in_bits(mark, own, POWER))
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array((place - first)[at]), pa.array([raw[first[i] : last[i] + size] for i in at], pa.binary())], ["context", "left", "bytes"])
+                    named = [set(x) for x in batch.column("_own").to_pylist()]
+                    at = np.array([i for i, (d, p) in enumerate(zip(doc.tolist(), start.tolist(), strict=True)) if p in named[d]], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x[at]).view(np.int64)) for x in (c0, c1)), pa.array((place - first)[at]), pa.array([raw[first[i] : last[i] + size] for i in at], pa.binary())], ["c0", "c1", "left", "bytes"])
 
     return run
 
 
+def _mark(d0: np.ndarray, c0: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A name for one occurrence of a context; the same as _mark_column()."""
+    return d0 ^ c0 ^ (start.astype(np.uint64) << tk.U64(36))
+
+
+def _mark_column():
+    return F.col("_d0").bitwiseXOR(F.col("c0")).bitwiseXOR(F.shiftleft(F.col("start").cast("long"), 36))
+
+
 def repeated_starts(contexts: list[tuple[bytes, int, int]], size: int) -> list[np.ndarray]:
     """Which windows of each context (bytes, place of its anchor, number of occurrences) occur more than once among all of them.
 
@@ -179,7 +219,7 @@ def repeated_starts(contexts: list[tuple[bytes, int, int]], size: int) -> list[n
 
 
 def _resolve(size: int):
-    """Rows (context, runs) of contexts with repeated windows; the input comes in order of anchor and context."""
+    """Rows (c0, c1, runs) of contexts that occur once and have repeated windows; the input comes in order of anchor and context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -187,21 +227,21 @@ def _resolve(size: int):
 
         def flush() -> pa.RecordBatch:
             out = []
-            for (key, *_), mask in zip(held, repeated_starts([(raw, left, n) for _, raw, left, n in held], size), strict=True):
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+            for (key, *_, n), mask in zip(held, repeated_starts([(raw, left, n) for _, raw, left, n in held], size), strict=True):
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))) if n == 1 else ()
                 if len(edges):
-                    out.append((key, [{"low": int(a), "high": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]))
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([r for _, r in out], pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))], ["context", "runs"])
+                    out.append((*key, [{"low": int(a), "high": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))], ["c0", "c1", "runs"])
 
         for batch in batches:
-            for a, key, left, raw, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "left", "bytes", "n")), strict=True):
+            for a, c0, c1, left, raw, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "c0", "c1", "left", "bytes", "n")), strict=True):
                 if a != anchor and symbols > SYMBOLS:
                     yield flush()
                     held, symbols = [], 0
-                if key != context:
-                    held.append((key, raw, left, n))
+                if a != anchor or (c0, c1) != context:
+                    held.append(((c0, c1), raw, left, n))
                     symbols += len(raw) // CELL
-                anchor, context = a, key
+                anchor, context = a, (c0, c1)
         if held:
             yield flush()
 
@@ -230,45 +270,80 @@ def _apply(size: int, id_type: pa.DataType):
     return run
 
 
-def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, hot_contexts: int = 20_000) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200, hot_contexts: int = 20_000, filter_rows: int = FILTER_ROWS) -> DataFrame:
     """Documents without the bytes that any `size`-byte string covers which also starts anywhere else, in the same document or another.
 
-    Every window of `size` bytes belongs to one anchor, a gram that its bytes choose. Anchors that occur once are left out: their windows do too.
-    The windows of one anchor occurrence, with all their bytes, are a context; equal contexts are counted and then handled once. All contexts of
-    an anchor go to one suffix array, built by linear grouping, which shows the windows they share. An anchor with more than `hot_contexts`
-    different contexts has them cut into single windows, which meet by their own bytes. Filters and hashes only select; equality of windows is decided on bytes.
+    A text that several rows have is removed whole and takes part once. Every window of `size` bytes belongs to one anchor, a gram that its bytes
+    choose. Anchors that occur once are left out: their windows do too. The windows of one anchor occurrence, with all their bytes, are a context;
+    equal contexts are counted and all their windows repeat. An anchor that has contexts occurring once, beside others, has all its contexts
+    gathered in one suffix array, built by linear grouping, which shows the windows they share. An anchor with more than `hot_contexts`
+    different contexts has them cut into single windows, which meet by their own bytes. Filters of at most `filter_rows` hashes, which are counted, only
+    select before exact joins; where there are more, joins by shuffle select instead. Texts and contexts are told apart by 128-bit hashes, the windows in a suffix array by their bytes.
 
     Result, a row per input row: `id_col`, n_bytes, n_removed, removed (array of start, end: maximal removed runs, in bytes), kept (binary). Null text is empty.
-    A row that is repeated is a text that starts elsewhere too. Documents are told apart by id and text. Other columns are not looked at. An empty table gives no rows.
+    A row that is repeated is a text that starts elsewhere too. Other columns are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    texts = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(F.col(text_col)).alias("_key"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_id"), F.col(text_col).alias("_text"))
-    share = spark.sparkContext.broadcast
-    twice = texts.select("_text").mapInArrow(_anchors(size), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    chosen = share(bitmap(twice, "anchor", POWER))
-    place = f"_doc {kind}, _key long, _start long, anchor long, context binary, mark long"
+    kind, id_type = dict(docs.dtypes)[id_col], docs.select(id_col).limit(0).toArrow().schema.field(0).type
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    digest = F.conv(F.substring(F.md5(F.encode("_text", "UTF-8")), 1, 16), 16, -10).cast("long")
+    texts = texts.select("_doc", "_text", F.xxhash64("_text").alias("_d0"), digest.alias("_d1"), F.pmod(F.xxhash64("_doc"), F.lit(SALTS)).cast("int").alias("_salt"))
+    windows = texts.where(F.octet_length("_text") >= size).select("_text", "_d0", "_d1", "_salt")
+
+    def share(hashes: DataFrame, column: str, rows: int):
+        return spark.sparkContext.broadcast(bitmap(hashes, column, filter_power(rows)))
+
+    copies = durable(windows.groupBy("_d0", "_d1").agg(F.count("*").alias("n"), F.first(F.octet_length("_text")).alias("bytes")).where("n > 1"))
+    number, skip, parts = copies.count(), None, []
+    if number:
+        # a few others pass the filter; they are told apart by their counts
+        skip = share(copies, "_d0", number)
+        once = windows.mapInArrow(_apart(skip), windows.schema).groupBy("_d0", "_d1").agg(F.first("_text").alias("_text"), F.when(F.count("*") > 1, -1).otherwise(F.first("_salt")).cast("int").alias("_salt"))
+        parts.append((durable(once), None))
+    parts.append((windows, skip))
+
+    def each(function, schema: str, *args, **named) -> DataFrame:
+        return reduce(DataFrame.unionByName, (table.mapInArrow(function(size, skipped, *args, **named), schema) for table, skipped in parts))
+
+    twice = durable(each(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
+    number = twice.count()
+    chosen = share(twice, "anchor", number) if number <= filter_rows else None
 
     def found(bits, hot) -> tuple[DataFrame, DataFrame]:
-        held = durable(texts.mapInArrow(_contexts(size, bits, hot, None), place))
-        return held, durable(held.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("mark").alias("mark")))
+        held = each(_contexts, "_d0 long, _d1 long, _salt int, start int, many int, anchor long, c0 long, c1 long", bits, hot, None)
+        held = durable(held if bits else held.join(twice, "anchor", "left_semi"))
+        return held, durable(held.groupBy("anchor", "c0", "c1").agg(F.count("*").alias("n"), F.min(_mark_column()).alias("mark")))
 
     held, kinds = found(chosen, None)
     crowded = durable(kinds.groupBy("anchor").count().where(F.col("count") > hot_contexts).select("anchor"))
-    hot = None
-    if crowded.take(1):
-        hot = share(bitmap(crowded, "anchor", POWER))
+    number, hot = crowded.count(), None
+    if number:
+        hot = share(crowded, "anchor", number)
         crowded = small(crowded)
         held, kinds = (whole.join(crowded, "anchor", "left_anti").unionByName(cut) for whole, cut in zip((held, kinds), found(hot, hot), strict=True))
-    known = kinds.join(kinds.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1").select("anchor"), "anchor", "left_semi")
-    known = durable(known)
-    owners = share(bitmap(known, "mark", POWER))
-    whole = texts.mapInArrow(_contexts(size, chosen, hot, owners), "context binary, left long, bytes binary").join(known.select("anchor", "context", "n"), "context")
-    runs = durable(whole.repartition("anchor").sortWithinPartitions("anchor", "context").select("anchor", "context", "left", "bytes", "n").mapInArrow(_resolve(size), "context binary, runs array<struct<low: int, high: int>>"))
-    spans = held.select("_doc", "_key", "_start", "context").join(runs, "context").select("_doc", "_key", F.explode(F.transform("runs", lambda r: F.struct((F.col("_start") + r["low"]).cast("int").alias("low"), (F.col("_start") + r["high"]).cast("int").alias("high")))).alias("s"))
-    spans = spans.groupBy(F.col("_doc").alias("_of"), F.col("_key").alias("_k")).agg(F.collect_set("s").alias("_spans"))
-    out = texts.select("_doc", "_key", "_text").join(spans, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_k")), "left").select("_doc", "_text", "_spans")
+        held, kinds = durable(held), durable(kinds)
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("lone")).where("all > 1 and lone > 0").select("anchor")
+    known = durable(kinds.join(mixed, "anchor", "left_semi"))
+    number = known.count()
+    if number <= filter_rows:
+        whole = each(_contexts, "c0 long, c1 long, left long, bytes binary", chosen, hot, share(known, "mark", number), with_bytes=True)
+    else:
+        owners = held.join(known.select("c0", "c1"), ["c0", "c1"], "left_semi").groupBy("c0", "c1").agg(F.min(F.struct("_d0", "_d1", "start")).alias("o"))
+        owners = owners.groupBy("o._d0", "o._d1").agg(F.collect_set("o.start").alias("_own"))
+        parts = [(table.join(owners, ["_d0", "_d1"]), skipped) for table, skipped in parts]
+        whole = each(_contexts, "c0 long, c1 long, left long, bytes binary", chosen, hot, None, with_bytes=True)
+    whole = whole.join(known.select("anchor", "c0", "c1", "n"), ["c0", "c1"]).repartition("anchor").sortWithinPartitions("anchor", "c0", "c1")
+    runs = durable(whole.select("anchor", "c0", "c1", "left", "bytes", "n").mapInArrow(_resolve(size), "c0 long, c1 long, runs array<struct<low: int, high: int>>"))
+
+    # contexts that occur most often are few, as all occurrences were counted: they are broadcast, and the others' joins have no hot keys
+    limit = max(1000, held.count() // BROADCAST_ROWS + 1)
+    own, span = held.where("_salt >= 0").select("_d0", "_d1", "_salt", "start", "many", "c0", "c1"), ("_d0", "_d1", "_salt")
+    again = kinds.where("n > 1").select("c0", "c1", "n")
+    all_of = lambda table: own.join(table.select("c0", "c1"), ["c0", "c1"]).select(*span, F.col("start").alias("low"), (F.col("start") + F.col("many")).alias("high"))
+    spans = all_of(F.broadcast(again.where(F.col("n") >= limit))).union(all_of(again.where(F.col("n") < limit)))
+    some = own.join(runs, ["c0", "c1"]).select(*span, "start", F.explode("runs").alias("r"))
+    spans = spans.union(some.select(*span, (F.col("start") + F.col("r.low")).alias("low"), (F.col("start") + F.col("r.high")).alias("high")))
+    copied = copies.select("_d0", "_d1", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(0).alias("low"), (F.col("bytes") - size + 1).cast("int").alias("high"))
+    spans = spans.union(copied).groupBy(*span).agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
+    out = texts.join(spans, list(span), "left").select("_doc", "_text", "_spans")
     return out.mapInArrow(_apply(size, id_type), f"_doc {kind}, n_bytes long, n_removed long, removed array<struct<start: int, end: int>>, kept binary").withColumnRenamed("_doc", id_col)
-
-

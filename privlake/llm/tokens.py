@@ -116,7 +116,8 @@ def shingle_sets(h: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.ndarra
             yield s[:0]
 
 
-def in_bits(h: np.ndarray, bits: np.ndarray, power: int) -> np.ndarray:
-    """Which hashes have their bit set; see common.bitmap()."""
+def in_bits(h: np.ndarray, bits: np.ndarray, power: int | None = None) -> np.ndarray:
+    """Which hashes have their bit set; see common.bitmap(). Without `power`, `bits` are 2**power bits, no more."""
+    power = power or (8 * len(bits)).bit_length() - 1
     at = (h >> U64(64 - power)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

@@ -307,13 +307,13 @@ def brute_bytes(rows, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeated_bytes(spark, hot):
+@pytest.mark.parametrize(("hot", "filters"), [(20_000, 1 << 25), (1, 1 << 25), (20_000, 0), (1, 0)])
+def test_repeated_bytes(spark, hot, filters):
     rng = np.random.default_rng(1)
     word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
     shared, other = word(260), word(230)
     rows = [(1, word(100) + shared + word(90)), (2, shared[:230] + word(50) + other), (3, other + shared[40:]), (4, "ab" * 300), (5, word(199)), (6, None), (7, ""), (8, "é" * 150), (9, shared), (9, shared), (None, word(10) + other[15:225]), (10, word(3000))]
-    got = drop_repeated_bytes(frame(spark, rows), hot_contexts=hot).collect()
+    got = drop_repeated_bytes(frame(spark, rows), hot_contexts=hot, filter_rows=filters).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == brute_bytes(rows, 200)
     assert all(r.n_removed == sum(s.end - s.start for s in r.removed) for r in got)
 

@@ -1,5 +1,6 @@
 """The registered queries at the smallest scale, against SQL or brute force, and the pipeline stage by stage."""
 
+import hashlib
 import os
 import zlib
 
@@ -77,3 +78,21 @@ def test_pipeline(spark):
             assert docs.columns == columns, name
             ids = now
     assert now == ids
+
+
+def test_repeated_bytes_by_brute_force(spark):
+    size, seen, want = 200, {}, {}
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for b in docs.values():
+        for p in range(len(b) - size + 1):
+            seen[b[p : p + size]] = seen.get(b[p : p + size], 0) + 1
+    for i, b in docs.items():
+        gone = bytearray(len(b))
+        for p in range(len(b) - size + 1):
+            if seen[b[p : p + size]] > 1:
+                gone[p : p + size] = b"\1" * size
+        spans = sum(1 for k, x in enumerate(gone) if x and not (k and gone[k - 1]))
+        want[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    got = q.op10_suffix_array_dedup(spark, SF).collect()
+    assert len(got) == len(docs)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
