@@ -26,9 +26,11 @@ FOREIGN = frozenset({"svg", "math"})
 HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: Parents that a start tag implies inside a table.
 IMPLIED_PARENTS = {"td": "tr", "th": "tr"}
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|(?<![-\w])opacity\s*:\s*0*\.?0+(?![.\d])", re.I)
+_NOUGHT = re.compile(r"[-+]?0*\.?0+%?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-MAX_DEPTH = 400
+#: The most columns that a cell spans, by the HTML standard, and how far cells are padded to align their column: wider ones stand out, whole.
+MOST_COLUMNS = 1000
+ALIGN = 60
 #: Elements that have their own place in a table.
 TABLE_PARTS = frozenset("caption tbody thead tfoot tr td th".split())
 
@@ -39,9 +41,23 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
+    def style(self) -> dict[str, str]:
+        """The last value of each property."""
+        parts = (d.partition(":") for d in (self.attrs.get("style") or "").split(";"))
+        return {name.strip().lower(): value.lower().replace("!important", "").strip() for name, _, value in parts}
+
     def visible(self) -> bool:
+        """Whether the element is laid out and painted with all it holds."""
         a = self.attrs
-        return not (self.tag in HIDDEN or "hidden" in a or _INVISIBLE.search(a.get("style") or "") or (self.tag == "input" and (a.get("type") or "").lower() == "hidden"))
+        if self.tag in HIDDEN or "hidden" in a or (self.tag == "input" and (a.get("type") or "").lower() == "hidden"):
+            return False
+        style = self.style() if a.get("style") else {}
+        return style.get("display") != "none" and not _NOUGHT.fullmatch(style.get("opacity", ""))
+
+    def shown(self, outer: bool) -> bool:
+        """Whether its own text is painted, which elements take over from what they stand in unless they say otherwise."""
+        value = self.style().get("visibility") if self.attrs.get("style") else None
+        return outer if value in {None, "inherit", ""} else value not in {"hidden", "collapse"}
 
 
 class Tree(HTMLParser):
@@ -57,6 +73,9 @@ class Tree(HTMLParser):
             return
         if tag not in IN_HEAD:
             self._end_head()
+        if tag == "select" and any(n.tag == tag for n in self.open):
+            self._end({tag}, set(), inner=True)
+            return
         if tag in ENDS_P:
             self._end({"p"}, {"table", "td", "th", "button", "body"} | (BLOCK - {"p"}), inner=True)
         if tag in IMPLIED_ENDS:
@@ -64,7 +83,7 @@ class Tree(HTMLParser):
         if tag in IMPLIED_PARENTS and self.open[-1].tag in {"table", "tbody", "thead", "tfoot"}:
             self._add(Node(IMPLIED_PARENTS[tag], {}))
         node = Node(tag, dict(attrs))
-        if tag in VOID or len(self.open) > MAX_DEPTH:
+        if tag in VOID:
             self.open[-1].children.append(node)
         else:
             self._add(node)
@@ -88,7 +107,12 @@ class Tree(HTMLParser):
             if self.open[k].tag in {"table", "td", "th"} and tag not in {"table", "tr", "tbody", "thead", "tfoot", "body", "html"}:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
     def close(self):
+        if self.rawdata.startswith("<!--") and not self.cdata_elem:
+            self.rawdata = ""  # a comment without an end holds all that follows
         super().close()
         if self.cdata_elem == "textarea" and self.rawdata:
             self.handle_data(self.rawdata)
@@ -181,23 +205,37 @@ def _holds_cells(node: Node) -> bool:
     return False
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """Rows of cells, padded so that columns are aligned; an inner table's lines go into its cell, joined by blanks.
+def _run(steps):
+    """Runs a generator that yields generators to be run before it goes on: recursion of any depth."""
+    stack = [steps]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _table(node: Node, seen: bool) -> list[str]:
+    """Rows of cells, padded so that columns are aligned; an inner table's text goes into its cell, joined by blanks.
 
     What stands in no cell has a cell of its own if it is in a row, else a row; wrappers are looked into for their rows and cells.
     """
     rows: list[list[str]] = []
     stray = Node("div", {})
 
-    def end_stray(row: list[str] | None):
-        text = " ".join(render(stray, depth + 1).split())
+    def cell(n: Node, seen: bool) -> str:
+        return " ".join(render(n, True, seen).split())
+
+    def end_stray(row: list[str] | None, seen: bool):
+        text = cell(stray, seen)
         stray.children.clear()
         if text and row is None:
             rows.append([text])
         elif text:
             row.append(text)
 
-    def collect(n: Node, row: list[str] | None):
+    def collect(n: Node, row: list[str] | None, seen: bool):
         for c in n.children:
             if not isinstance(c, Node):
                 stray.children.append(c)
@@ -208,29 +246,30 @@ def _table(node: Node, depth: int) -> list[str]:
             if not inside and (c.tag == "table" or not _holds_cells(c)):
                 stray.children.append(c)
                 continue
-            end_stray(row)
+            end_stray(row, seen)
+            own = c.shown(seen)
             if c.tag in {"td", "th"}:
                 if row is None:
                     rows.append(row := [])
-                row.append(" ".join(render(c, depth + 1).split()))
-                span = c.attrs.get("colspan") or ""
-                row += [""] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0)
+                row.append(cell(c, own))
+                span = re.match(r"\s*\+?0*([0-9]+)", c.attrs.get("colspan") or "", re.A)
+                row += [""] * (min(int(span[1][:9]), MOST_COLUMNS) - 1 if span else 0)
             elif c.tag == "caption":
-                rows.append([" ".join(render(c, depth + 1).split())])
+                rows.append([cell(c, own)])
             elif c.tag == "tr":
                 rows.append([])
-                collect(c, rows[-1])
+                yield collect(c, rows[-1], own)
             else:
-                collect(c, None if inside else row)
-        end_stray(row)
+                yield collect(c, None if inside else row, own)
+        end_stray(row, seen)
 
-    collect(node, None)
+    _run(collect(node, None, seen))
     rows = [row for row in rows if row]
     widths: dict[int, int] = {}
     for row in rows:
-        for k, cell in enumerate(row if len(row) > 1 else ()):
-            widths[k] = max(widths.get(k, 0), min(_width(cell), 60))
-    return ["  ".join(cell + " " * max(0, widths.get(k, 0) - _width(cell)) for k, cell in enumerate(row)).rstrip() for row in rows]
+        for k, text in enumerate(row if len(row) > 1 else ()):
+            widths[k] = max(widths.get(k, 0), min(_width(text), ALIGN))
+    return ["  ".join(text + " " * max(0, widths.get(k, 0) - _width(text)) for k, text in enumerate(row)).rstrip() for row in rows]
 
 
 def _shown_options(select: Node) -> list[str]:
@@ -260,17 +299,18 @@ def _shown_options(select: Node) -> list[str]:
     return shown if box else [x for x in (first if chosen is None else chosen,) if x]
 
 
-def _walk(node: Node, out: _Lines, pre: bool, depth: int):
+def _walk(node: Node, out: _Lines, pre: bool, in_table: bool, seen: bool):
     if not node.visible():
         return
-    tag = node.tag
+    tag, seen = node.tag, node.shown(seen)
     if tag == "br":
-        out.break_(keep=True)
+        if seen:
+            out.break_(keep=True)
         return
     if tag == "img":
         return
     if tag == "select":
-        options = _shown_options(node)
+        options = _shown_options(node) if seen else []
         for option in options:
             if len(options) > 1:
                 out.break_()
@@ -285,17 +325,24 @@ def _walk(node: Node, out: _Lines, pre: bool, depth: int):
     if tag == "hr":
         out.space()
         return
-    if tag == "table" and depth < 20:
-        out.raw(_table(node, depth))
+    if tag == "input":
+        if seen and (node.attrs.get("type") or "").lower() in {"submit", "button", "reset"}:
+            out.text(node.attrs.get("value") or "", False)
+        return
+    if tag == "table" and not in_table:
+        out.raw(_table(node, seen))
         out.space()
         return
+    if tag in {"td", "th"}:
+        out.text(" ", False)
     pre = pre or tag in {"pre", "textarea"}
     outer, number = out.indent, 0
     if tag in {"ul", "ol", "blockquote", "dd"}:
         out.indent += "  "
     for child in node.children:
         if isinstance(child, str):
-            out.text(child, pre)
+            if seen:
+                out.text(child, pre)
             continue
         if child.tag == "li" and child.visible():
             out.break_()
@@ -304,10 +351,12 @@ def _walk(node: Node, out: _Lines, pre: bool, depth: int):
                 start = node.attrs.get("start") or ""
                 number_now = number - 1 + (int(start) if re.fullmatch(r"\d{1,9}", start, re.A) else 1)
             out.mark = out.indent + (f"{number_now}. " if tag == "ol" else "- ")
-        _walk(child, out, pre, depth)
+        yield _walk(child, out, pre, in_table, seen)
         if child.tag == "li":
             out.break_()
             out.mark = ""
+    if tag in {"td", "th"}:
+        out.text(" ", False)
     out.indent = outer
     if tag in SPACED and not (tag in {"ul", "ol"} and outer):
         out.space()
@@ -315,13 +364,13 @@ def _walk(node: Node, out: _Lines, pre: bool, depth: int):
         out.break_()
 
 
-def render(node: Node, depth: int = 0) -> str:
+def render(node: Node, in_table: bool = False, seen: bool = True) -> str:
     out = _Lines()
     for child in node.children:
-        if isinstance(child, str):
+        if isinstance(child, Node):
+            _run(_walk(child, out, False, in_table, seen))
+        elif seen:
             out.text(child, node.tag == "pre")
-        else:
-            _walk(child, out, False, depth)
     out.break_()
     return "\n".join(out.lines)
 
@@ -340,8 +389,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """Visible text of pages.
 
     Pages become trees in which omitted end tags and table rows are implied; elements that are hidden by their kind, `hidden` or
-    their own style go with all they hold; aria-hidden ones are painted and stay. Of form controls, the text of a textarea and the options that a closed list or list box shows stay. Blocks start on new lines, headings, paragraphs, lists and tables stand between empty lines, list
-    items have marks, cells are padded to their columns, what stands in a table but in no cell has a cell or row of its own, `pre` keeps its blanks.
+    their own style go with all they hold; in one of no visibility, a part that is visible again stays. aria-hidden elements are painted and stay. Of form controls, the text of a textarea, the captions of input buttons and the options that a closed list or list box shows stay. Blocks start on new lines, headings, paragraphs, lists and tables stand between empty lines, list
+    items have marks, cells are padded to their columns (up to ALIGN places; longer cells stay whole), what stands in a table but in no cell has a cell or row of its own, `pre` keeps its blanks.
 
     Result, a row per input row: `id_col`, text (null for null, empty for pages without visible text). Malformed pages never fail: what can't be a tag is text. Repeated rows stay. Other
     columns are not looked at. An empty table gives no rows.

@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from privlake.llm import audio, packing, toxicity
@@ -322,6 +324,33 @@ def test_repeated_bytes_of_an_empty_table(spark):
     assert drop_repeated_bytes(frame(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("a<![foo[bar]]>b", "ab"),
+        ("a<!-- no end <b>x</b>", "a"),
+        ("<table><tr><td colspan=" + "9" * 5000 + ">a<td>b</table>", "a" + " " * 2000 + "b"),
+        ('<p style="-webkit-backface-visibility:hidden">seen</p>', "seen"),
+        ('<div style="visibility: hidden">no<b style="visibility:visible">yes</b>no</div>', "yes"),
+        ('<div style="display:none">no<b style="display:inline">no</b></div>x', "x"),
+        ('<p style="opacity:0.0">no</p><p style="opacity:0.5">half</p><p style="opacity:0%">no</p>', "half"),
+        ("<div>" * 2000 + "<script>var x=1;</script><span hidden>secret</span>ok", "ok"),
+        ("<table><tr><td>" * 50 + "a<td>b", "a b"),
+        ("<table>" + "<form>" * 3000 + "<tr><td>a<td>b", "a  b"),
+        ("<select>" + "<option>a<select>" * 999, "a" * 999),
+        ("<input type=submit value=Send> <input value=typed>", "Send"),
+    ],
+)
+def test_html_odd_pages(html, text):
+    assert html_text(html) == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("<![ <!-- --> <! ]]> <![CDATA[ <? > <table> <tr> <td colspan=3> </table> <select> <option> <ul> <li> <p> </p> <b> </b> <svg/> <math> <textarea> </textarea> <script> </script> <pre> & &#0; &amp <head> </head> <body> word \0 \r\n é <div style='visibility:hidden'> <a href=' = ' < / 9".split(" ")), max_size=40))
+def test_html_never_fails(parts):
+    assert isinstance(html_text(" ".join(parts)), str) and isinstance(html_text("".join(parts)), str)
+
+
 def test_language_model(spark):
     words = {"en": "the and of with this that from have", "fr": "le la de et que pour avec dans", "de": "der die und von mit für auch nicht"}
     rng = np.random.default_rng(2)
