@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -54,10 +54,11 @@ def _batch(batch: pa.RecordBatch, rows: list[int], spans: list[tuple]) -> pa.Rec
     return pa.RecordBatch.from_arrays([batch.column("_doc").take(at), batch.column("_key").take(at), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["_doc", "_key", "_at", "_start", "_end", "_words", "_digest"])
 
 
-def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3) -> DataFrame:
-    """Documents without the units (see units()) of `min_words` words or more that stand earlier, in rank order, in any document.
+def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 16) -> DataFrame:
+    """Documents without the units (see units()) that stand earlier, in rank order, in any document, where such units follow each other with `min_words` words or more in all.
 
-    Rank is (id, position); the earliest occurrence stays, all others go, in the same document too. Occurrences are counted per digest before the
+    A line of that many words goes by itself; shorter lines and sentences, which also recur by chance, only in a run with others.
+    Rank is (id, position); the earliest occurrence stays, the others go, in the same document too. Occurrences are counted per digest before the
     shuffle, and the join of occurrences with the earliest leaves unique digests out, so that a digest of any frequency is spread by adaptive skew handling.
 
     Result, a row per input row: `id_col`, text (what stays; null if it was null), removed (array of start, end in the original, in characters),
@@ -67,10 +68,13 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     found = durable(texts.mapInArrow(_all_units, f"_doc {kind}, _key long, _at int, _start int, _end int, _words int, _digest binary"))
-    long_ = found.where(F.col("_words") >= min_words)
-    first = long_.groupBy("_digest").agg(F.count("*").alias("_n"), F.min(F.struct("_doc", "_key", "_at")).alias("_first")).where("_n > 1")
-    again = long_.join(first.select("_digest", "_first"), "_digest").where(~F.struct("_doc", "_key", "_at").eqNullSafe(F.col("_first")))
-    spans = again.groupBy("_doc", "_key").agg(F.sort_array(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")))).alias("removed"))
+    first = found.groupBy("_digest").agg(F.count("*").alias("_n"), F.min(F.struct("_doc", "_key", "_at")).alias("_first")).where("_n > 1")
+    again = found.join(first.select("_digest", "_first"), "_digest").where(~F.struct("_doc", "_key", "_at").eqNullSafe(F.col("_first")))
+    again = again.groupBy("_doc", "_key", "_at").agg(*(F.first(c).alias(c) for c in ("_start", "_end", "_words")))
+    # units that follow each other differ from their numbers among the repeated ones by the same
+    again = again.withColumn("_run", F.col("_at") - F.row_number().over(Window.partitionBy("_doc", "_key").orderBy("_at")))
+    again = again.withColumn("_all", F.sum("_words").over(Window.partitionBy("_doc", "_key", "_run"))).where(F.col("_all") >= min_words)
+    spans = again.groupBy("_doc", "_key").agg(F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")))).alias("removed"))
     number = found.groupBy("_doc", "_key").agg(F.countDistinct("_at").alias("n_units"))
     facts = number.join(spans.select(F.col("_doc").alias("_d"), F.col("_key").alias("_k"), "removed"), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").select(F.col("_doc").alias("_id"), F.col("_key").alias("_of"), "n_units", "removed")
     out = texts.join(facts, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")

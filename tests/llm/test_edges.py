@@ -278,7 +278,7 @@ def test_html_keeps_loose_table_text_and_form_text(html, text):
 
 def test_units(spark):
     rows = [*ROWS, (20, "First line stays here.\nA sentence of several words stands here. Another sentence of many words too."), (21, "Lead in words. a  Sentence of several WORDS stands here. Then something that is new.")]
-    got = by_id(drop_repeated_units(frame(spark, rows)))
+    got = by_id(drop_repeated_units(frame(spark, rows), min_words=3))
     assert sum(map(len, got.values())) == len(rows)
     assert got[1][0].n_removed == 0 and got[2][0].text == "" and got[3][0].text is None and got[5][0].n_units == 0
     assert got[20][0].n_removed == 0
@@ -288,10 +288,18 @@ def test_units(spark):
 
 def test_units_resume_after_a_different_start(spark):
     passage = "this long sentence has seven words altogether. and here is the second long one."
-    got = by_id(drop_repeated_units(frame(spark, [(1, "Some own start of words. " + passage), (2, "Other. Different beginning with more words. " + passage)])))
+    got = by_id(drop_repeated_units(frame(spark, [(1, "Some own start of words. " + passage), (2, "Other. Different beginning with more words. " + passage)]), min_words=3))
     assert got[2][0].text == "Other. Different beginning with more words. " and got[1][0].n_removed == 0
 
 
+def test_short_units_go_only_in_runs(spark):
+    short, run = "a line of five words", "one short line here\nand the next short line\nthen a third one of them\nand one more at last"
+    rows = [(1, short + "\nown text one\n" + run), (2, "own text two\n" + short), (3, run + "\nown text three"), (3, run + "\nown text three"), (None, "nothing of all that")]
+    got = by_id(drop_repeated_units(frame(spark, rows)))
+    assert got[2][0].n_removed == 0 and got[1][0].n_removed == 0 and got[None][0].n_removed == 0
+    assert [r.text for r in got[3]] == ["own text three"] * 2 and got[3][0].n_removed == 4
+
+
 def brute_bytes(rows, size):
     seen = {}
     for _, t in rows:
