@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import zlib
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from privlake.llm import queries as q
 from privlake.llm.common import durable
+from privlake.llm.unit_dedup import units
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,3 +98,90 @@ def test_repeated_bytes_by_brute_force(spark):
     got = q.op10_suffix_array_dedup(spark, SF).collect()
     assert len(got) == len(docs)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_repeated_units_by_brute_force(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    assert len({i for i, _ in docs}) == len(docs)
+    seen, want = set(), {}
+    for i, text in docs:
+        rows, gone, run = list(units(text or "")), [], []
+        for u in [*rows, None]:
+            if u and u[3] in seen:
+                run.append(u)
+                continue
+            if u:
+                seen.add(u[3])
+            if sum(x[2] for x in run) >= 16:
+                gone += run
+            run = []
+        kept, at = "", 0
+        for start, end, *_ in gone:
+            kept, at = kept + text[at:start], end
+        kept += (text or "")[at:]
+        want[i] = (len(rows), len(gone), sum(u[1] - u[0] for u in gone), ",".join(f"{u[0]}-{u[1]}" for u in gone), hashlib.sha256(kept.encode()).hexdigest())
+    got = {r.doc_id: (r.n_units, r.n_removed, r.removed_chars, r.removed_spans, r.kept_sha256) for r in q.op8_substring_dedup(spark, SF).collect()}
+    assert got == want
+
+
+def _stages():
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+CLASHING = ("_name", "_all", "_row", "_key", "_id", "n_lines", "n_dropped", "score", "lang_pred", "component_id", "contaminated", "_text")
+
+
+@pytest.mark.parametrize("stage", ["language_id", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination"])
+def test_stages_carry_columns_and_take_odd_rows(spark, stage):
+    words = "the river runs past old mills and carries leaves of many trees to the sea each year".split()
+    rows = [(i, " ".join(words[i % 5 :] + [w + "abcdefghij"[i] for w in words]), "en" if i % 2 else "de") for i in range(10)]
+    rows += [(20, None, "en"), (21, "", "de"), (22, " \n ", None), (23, "long " * 50_000, "en"), (24, rows[3][1], "en"), (24, rows[3][1], "en"), (None, "no id " + rows[1][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text"))
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    got = _stages()[stage](spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    out = got.collect()
+    assert all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in out for c in CLASHING)
+    ids = [r.doc_id for r in out]
+    assert set(ids) - {20, 21, 22, 23} == {*range(10), None} | (set() if stage == "ngram_jaccard_join" else {24})
+    if stage != "language_id":
+        assert {20, 21, 22, 23} <= set(ids) and ids.count(24) == (0 if stage == "ngram_jaccard_join" else 2)
+    assert _stages()[stage](spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_duplicate_stage_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = [x for x in re.split("[\\x20\\x09-\\x0D]+", "".join(c.lower() if c.isascii() else c for c in t)) if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    least, ids = {i: i for i in sets}, sorted(sets)
+    for a, i in enumerate(ids):
+        for j in ids[a + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    assert {r.doc_id for r in _stages()["ngram_jaccard_join"](spark, docs, SF).collect()} == set(least.values())
+
+
+def test_decontamination_stage_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    word = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+    words = lambda t: word.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+    windows = {tuple(w[k : k + 13]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in [words(r.text)] if w for k in range(max(1, len(w) - 12))}
+    stay = set()
+    for r in docs.collect():
+        w, hit = words(r.text), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            stay.add(r.doc_id)
+    assert stay != {r.doc_id for r in docs.select("doc_id").collect()}
+    assert {r.doc_id for r in _stages()["benchmark_decontamination"](spark, docs, SF).collect()} == stay
