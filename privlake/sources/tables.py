@@ -57,6 +57,18 @@ USER_DATA = """
 SELECT c.c_custkey AS page_id, t.k AS key, CASE WHEN c.c_custkey % t.m = 0 THEN '' ELSE c.c_name END AS value
 FROM customer c CROSS JOIN (VALUES ('First-Name', 2), ('MOBILE NUMBER', 3), ('state', 4), ('Date of birth', 5)) AS t(k, m)"""
 
+#: Elements and texts of the same pages, with values planted.
+PAGE_ELEMENTS = """
+SELECT c.c_custkey AS page_id, t.ord AS ord, t.id AS id, '' AS label,
+  CASE t.ord WHEN 0 THEN 'Sign in' WHEN 1 THEN concat('mail ', c.c_name, '@example.com or born 12/05/1998') WHEN 2 THEN concat('from 10.0.', CAST(c.c_custkey % 250 AS STRING), '.7 by 9876543210@upi') WHEN 3 THEN concat('Aadhaar: ', CASE WHEN c.c_custkey % 3 = 0 THEN '2341 2341 2346' ELSE '1234 5678 9012' END) ELSE c.c_mktsegment END AS text,
+  CAST(t.ord * 40 AS DOUBLE) AS x, CAST(c.c_custkey % 700 AS DOUBLE) AS y, CAST(120 AS DOUBLE) AS w, CAST(24 AS DOUBLE) AS h
+FROM customer c CROSS JOIN (VALUES (0, 'go'), (1, 'firstName'), (2, 'dob'), (3, 'mobile'), (4, 'dob')) AS t(ord, id)"""
+PAGE_TEXTS = """
+SELECT c.c_custkey AS page_id, concat('Welcome ', c.c_name, '. ',
+  CASE c.c_custkey % 7 WHEN 0 THEN 'Card 4539 5787 6362 1486, again 4539578763621486.' WHEN 1 THEN 'Id 2341 2341 2346 and mail a.b@example.org, a.b@example.org' WHEN 2 THEN 'PAN ABCPE1234F, then SBIN0001234' WHEN 3 THEN 'Call 8765432109 or 8765432109 or 1765432109'
+    WHEN 4 THEN concat('Born 12/05/1998 and 01-02-1990, mail ', c.c_name, '@example.com') WHEN 5 THEN 'Host 192.168.1.20 pays user@paytm' ELSE 'Nothing to see' END) AS text
+FROM customer c"""
+
 #: Boxes of a page are the lines of an order; integers from keys, so that many overlap. Every arithmetic result is exact.
 BOXES = """
 SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS ord,
