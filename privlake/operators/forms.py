@@ -5,10 +5,13 @@ Field tables have page_id, form_id, ord, name, id, type, label, value, required,
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from privlake.functions.text import B, is_placeholder, normal_key
 
@@ -90,16 +93,30 @@ def shown_name() -> Column:
     return F.coalesce(F.nullif(F.col("label"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.col("id"))
 
 
+@F.pandas_udf(BooleanType())
+def _searched(values: pd.Series, patterns: pd.Series) -> pd.Series:
+    """Whether each value has its page's pattern somewhere; true where that can't be told. The JVM's regexp_like would end the job at the first pattern that doesn't compile."""
+
+    @cache
+    def compiled(pattern: str) -> re.Pattern | None:
+        try:
+            return re.compile(pattern)
+        except (re.error, OverflowError, RecursionError):
+            return None
+
+    return pd.Series([p is None or p.search(v) is not None for v, p in zip(values, map(compiled, patterns), strict=True)])
+
+
 def validate_fields(fields: DataFrame) -> DataFrame:
     """A row per field with field_name, valid, rule and risk: required, optional, maxLength, pattern, then the rule of its kind.
 
-    The pattern is searched for anywhere in the value; patterns come from pages, and a page's own pattern that isn't one must be left out before.
+    The pattern is searched for anywhere in the value. A page's own pattern that is no regular expression is left out, as is one whose search fails.
     """
     kind = F.lower(F.concat_ws(" ", _text("name"), _text("label")))
     category = F.coalesce(*(F.when(kind.rlike(p), c) for c, p in VALUE_KINDS), _text("type"))
     value, empty = _text("value"), F.trim(_text("value")) == ""
     matches = reduce(lambda a, kv: a.when(F.col("category") == kv[0], value.rlike(kv[1])), VALUE_PATTERNS.items(), F.when(F.lit(False), F.lit(None).cast("boolean")))
-    rule = F.when(F.col("required") & empty, "required").when(empty, "optional").when((F.col("max_length") > 0) & (F.length(value) > F.col("max_length")), "maxLength").when((_text("pattern") != "") & ~F.regexp_like(value, _text("pattern")), "pattern").when(F.col("fits").isNull(), "none").otherwise(F.col("category"))
+    rule = F.when(F.col("required") & empty, "required").when(empty, "optional").when((F.col("max_length") > 0) & (F.length(value) > F.col("max_length")), "maxLength").when((_text("pattern") != "") & ~_searched(value, _text("pattern")), "pattern").when(F.col("fits").isNull(), "none").otherwise(F.col("category"))
     out = fields.withColumn("category", category).withColumn("fits", matches).withColumn("rule", rule)
     valid = F.col("rule").isin("optional", "none") | (~F.col("rule").isin("required", "maxLength", "pattern") & F.coalesce("fits", F.lit(False)))
     out = out.withColumn("valid", valid)

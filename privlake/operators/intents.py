@@ -74,6 +74,9 @@ def decompose(task: Column) -> Column:
         parts = F.filter(parts, lambda p: F.trim(p) != "")
     clauses = F.transform(F.flatten(F.transform(parts, _cut_at_and)), lambda c: F.trim(c))
     tasks = F.transform(F.filter(clauses, lambda c: c != ""), lambda c: F.struct(_kind(c).alias("kind"), c.alias("description")))
+    # separators alone are a clause by themselves
+    whole = F.trim(F.coalesce(task, F.lit("")))
+    tasks = F.when((F.size(tasks) == 0) & (whole != ""), F.array(F.struct(_kind(whole).alias("kind"), whole.alias("description")))).otherwise(tasks)
     first = F.array_position(F.transform(tasks, lambda t: t["kind"]), F.lit("extract"))
     return F.filter(tasks, lambda t, i: (t["kind"] != "extract") | (i + 1 == first))
 
@@ -122,3 +125,12 @@ def data_source(label: Column, name: Column, id_: Column) -> Column:
             sure.append(F.when(context.rlike(p) & strong, F.struct(F.lit(source).alias("source"), F.lit(0.95).alias("confidence"))))
             fair.append(F.when(context.rlike(p), F.struct(F.lit(source).alias("source"), F.lit(0.85).alias("confidence"))))
     return F.coalesce(*sure, *fair)
+
+
+def action_description(clauses: Column) -> Column:
+    """The action clauses of decompose() in one description."""
+    return F.array_join(F.transform(F.filter(clauses, lambda c: c["kind"] == "action"), lambda c: F.trim(c["description"])), ", then ")
+
+
+def is_compound(clauses: Column) -> Column:
+    return F.size(clauses) > 1
