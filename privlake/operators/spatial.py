@@ -75,9 +75,10 @@ def _fold(boxes: DataFrame, key: Column, step) -> DataFrame:
 def reading_order(boxes: DataFrame) -> DataFrame:
     """Boxes with line and place: by centre from top to bottom, a new line where the gap to the box before is over max(4, 0.6 x upper median height), then by x."""
     page, by = Window.partitionBy("page_id"), [F.col("y") + F.col("h") / 2, F.col("ord")]
-    heights = F.sort_array(F.collect_list("h").over(page))
-    limit = F.greatest(F.lit(4.0), 0.6 * F.element_at(heights, (F.floor(F.size(heights) / 2) + 1).cast("int")))
-    rows = boxes.withColumn("cy", by[0]).withColumn("limit", limit)
+    # the upper median is the box that has its place by height: one sort per page, and no array
+    nth, number = F.row_number().over(page.orderBy("h", "ord")), F.count("*").over(page)
+    middle = F.max(F.when(F.col("_nth") == F.floor(F.col("_number") / 2) + 1, F.col("h"))).over(page)
+    rows = boxes.withColumn("_nth", nth).withColumn("_number", number).withColumn("limit", F.greatest(F.lit(4.0), 0.6 * middle)).withColumn("cy", by[0])
     rows = rows.withColumn("new", (F.col("cy") - F.lag("cy").over(page.orderBy("cy", "ord")) > F.col("limit")).cast("int"))
     rows = rows.withColumn("line", F.coalesce(F.sum("new").over(page.orderBy("cy", "ord").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     place = F.row_number().over(page.orderBy("line", "x", "cy", "ord"))

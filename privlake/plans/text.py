@@ -9,7 +9,7 @@ from privlake.functions import urls
 from privlake.functions import validators as v
 from privlake.operators import intents, scan
 from privlake.plans.registry import query
-from privlake.sources import pages
+from privlake.sources import forms_html, pages
 from privlake.sources.tables import derived, table
 
 _VERHOEFF = f"list_reduce(range(0, 12), lambda c, i: CAST(substr('{v.VERHOEFF_PRODUCT}', CAST(c * 10 + CAST(substr('{v.VERHOEFF_PLACES}', CAST((i % 8) * 10 + CAST(substr(d, CAST(12 - i AS BIGINT), 1) AS BIGINT) + 1 AS BIGINT), 1) AS BIGINT) + 1 AS BIGINT), 1) AS BIGINT), CAST(0 AS BIGINT)) = 0"
@@ -182,3 +182,15 @@ def aes_roundtrip(spark, sf_dir):
     key = F.lit("0123456789abcdef0123456789abcdef")
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.base64(F.aes_encrypt("c_name", key, F.lit("GCM"))).alias("sealed"))
     return rows.select("c_custkey", F.try_aes_decrypt(F.unbase64("sealed"), key, F.lit("GCM")).cast("string").alias("plain"))
+
+
+@query(r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', '', 'g'), '<a\s[^>]*href="[^>]*>[^<]*')) AS a FROM pages)
+SELECT page_id, count(*) AS links, count_if(trim(regexp_replace(a, '^<[^>]*>', '')) <> '') AS labelled FROM a GROUP BY page_id""")
+def page_elements(spark, sf_dir):
+    found = forms_html.page_elements(table(spark, sf_dir, "pages")).where("role = 'link'")
+    return found.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.trim("text") != "").alias("labelled"))
+
+
+@query()
+def page_fields(spark, sf_dir):
+    return forms_html.page_fields(table(spark, sf_dir, "pages"))

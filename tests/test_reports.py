@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from privlake.operators import detector, forms, intents, reports
+from privlake.sources import forms_html
 
 FIELD = "page_id long, form_id string, ord int, name string, id string, type string, label string, value string, required boolean, max_length int, pattern string"
 
@@ -42,3 +43,27 @@ def test_bodies_that_are_no_text(spark):
     rows = spark.createDataFrame([("buffer", None, None, bytearray(b"\xff ok")), ("params", None, [("a b", "c&d", False)], None), ("text", None, None, None), ("stream", "x", None, None)], "kind string, text string, parts array<struct<key: string, value: string, is_file: boolean>>, data binary")
     got = [r.b for r in rows.select(reports.body_text(F.col("kind"), F.col("text"), F.col("parts"), F.col("data")).alias("b")).collect()]
     assert got == ["� ok", "a+b=c%26d", "", ""]
+
+
+PAGE = """<html><head><title>t</title><script>var a="<input name=no>";</script></head><body>
+<a href="/x" title="Home">go</a><a>no link</a><div tabindex=0>box <b>text</b></div><span role="switch" style="opacity: 0.05">off</span>
+<form id="f1"><label for="n">Given name</label><input id="n" name="first" value="Ann" required maxlength="30" pattern="[a-z]+">
+<label>State <select name="state"><option>-- Select --<option value="KL" selected>Kerala</select></label>
+<span>Mobile</span><input type="tel" name="mobile"><input type=checkbox name=ok checked aria-label="I agree">
+<textarea name="note">two
+lines</textarea><input name="honeypot" style="position:absolute; left:-99999px"><input type=hidden name=token value=1></form>
+<div style="display:none"><button disabled>Send</button></div><![if x]><form><input name="q" placeholder="Search" maxlength="9999999999999"></form></body>"""
+
+
+def test_page_elements_and_fields(spark):
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "<<form <input")], "page_id long, html string").withColumn("ord", F.lit("clash"))
+    fields = {r.name: r for r in forms_html.page_fields(pages).where("page_id = 1").collect()}
+    assert [(fields[n].label, fields[n].value, fields[n].filled) for n in ("first", "state", "mobile", "ok", "note")] == [("Given name", "Ann", True), ("State", "KL", True), ("Mobile", "", False), ("I agree", "", True), ("", "two\nlines", True)]
+    assert fields["first"].required and fields["first"].max_length == 30 and fields["first"].pattern == "[a-z]+" and fields["first"].form_id == "f1"
+    assert fields["state"].options == ["-- Select --", "Kerala"] and fields["ok"].checked and fields["first"].checked is None
+    assert [n for n, r in fields.items() if r.trap] == ["honeypot"] and fields["q"].form_id == "form-1" and fields["q"].label == "Search" and "no" not in fields
+    found = forms_html.page_elements(pages).where("page_id = 1").orderBy("ord").collect()
+    assert [(r.tag, r.role, r.text, r.visible) for r in found[:3]] == [("a", "link", "Home", True), ("div", "generic", "box text", True), ("span", "switch", "off", False)]
+    send = next(r for r in found if r.text == "Send")
+    assert send.disabled and not send.visible and len(found) == 12
+    assert forms.validate_fields(forms_html.page_fields(pages)).where("page_id = 1").count() == 8
