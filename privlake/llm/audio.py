@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_type
+
 from . import tokens as tk
 
 #: Bytes before the samples of a stored file.
@@ -159,7 +161,7 @@ def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text is empty: 64 zero samples. Equal texts give equal values; repeated rows stay. Other columns are not looked at. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = arrow_type(docs, id_col)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     schema = f"_doc {kind}, n_bytes long, media binary, frames long, mean_log_mel array<double>, segments array<struct<start: double, end: double>>, tensors binary"
     return texts.mapInArrow(_encode(settings, id_type), schema).withColumnRenamed("_doc", id_col)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A side is broadcast by hand only if its rows were counted and are at most this many.
 BROADCAST_ROWS = 20_000
@@ -64,6 +65,11 @@ def carried(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), F.col(text_col).alias("_text"))
 
 
+def arrow_type(docs: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type in which tasks see a column, of whatever kind."""
+    return to_arrow_type(docs.select(column).schema[0].dataType)
+
+
 def spread(docs: DataFrame, *new: str) -> list[Column]:
     """The columns that carried() put into _row, but for those whose names, in any case, are among `new`."""
     return [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in new]

@@ -113,8 +113,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     bits = spark.sparkContext.broadcast(bitmap(shingles, "_shingle", POWER))
     counts = texts.select("_text").mapInArrow(_seen(bits, widths), "_shingle long").groupBy("_shingle").agg(F.count("*").alias("_docs"))
+    # a window with a shingle that no document has can't occur
     rarest = F.min(F.struct("_docs", "_shingle", "_at"))
-    prefix = durable(shingles.select("_window", "_n", "_shingle", "_at").distinct().join(counts, "_shingle").groupBy("_window", "_n").agg(rarest.alias("_r")).select("_window", "_n", "_r._shingle", "_r._at"))
+    prefix = durable(shingles.select("_window", "_n", "_shingle", "_at").distinct().join(counts, "_shingle", "left").withColumn("_docs", F.coalesce("_docs", F.lit(0))).groupBy("_window", "_n").agg(rarest.alias("_r")).where("_r._docs > 0").select("_window", "_n", "_r._shingle", "_r._at"))
     holders = shingles.groupBy("_window").agg(F.sort_array(F.collect_set("_item")).alias("_items"))
 
     bits = spark.sparkContext.broadcast(bitmap(prefix, "_shingle", POWER))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import bitmap, components, durable
+from .common import arrow_type, bitmap, components, durable
 
 #: Fragments of the n-grams outside the table of common ones (ordered by hash); the common ones, ordered by frequency, are one more.
 FRAGMENTS = 8
@@ -207,7 +207,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = arrow_type(docs, id_col)
     order = _order(texts.select("_text"), n)
     signs = durable(texts.mapInArrow(_signs(n, order, num, den, id_type), f"_doc {kind}, _n long, _h1 long, _h2 long, _prefix array<long>, _pos array<int>"))
     one = signs.where("_n > 0 and _doc is not null").groupBy("_doc").agg(F.min(F.struct("_h1", "_h2")).alias("_h")).select("_doc", "_h._h1", "_h._h2")

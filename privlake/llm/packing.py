@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import durable
+from .common import arrow_type, durable
 
 #: Words whose ids a task remembers; it forgets all when there are more.
 CACHE = 1_000_000
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     An empty table gives no rows. The pieces are written once before the merge, so that a lost executor can't pack a document twice.
     """
     kind = dict(docs.dtypes)[id_col]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = arrow_type(docs, id_col)
     schema = f"_doc {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, _part long, _at long, ids binary"
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     placed = durable(texts.mapInArrow(_pack(tokenizer, size, windows, end_id, id_type, with_ids), schema))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import BROADCAST_ROWS, bitmap, durable, filter_power, small
+from .common import BROADCAST_ROWS, arrow_type, bitmap, durable, filter_power, small
 from .suffix_array import suffix_array
 
 #: Bytes of the grams among which anchors are chosen, and of the cells that are the suffix array's symbols.
@@ -284,7 +284,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A row that is repeated is a text that starts elsewhere too. Other columns are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    kind, id_type = dict(docs.dtypes)[id_col], docs.select(id_col).limit(0).toArrow().schema.field(0).type
+    kind, id_type = dict(docs.dtypes)[id_col], arrow_type(docs, id_col)
     texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     digest = F.conv(F.substring(F.md5(F.encode("_text", "UTF-8")), 1, 16), 16, -10).cast("long")
     texts = texts.select("_doc", "_text", F.xxhash64("_text").alias("_d0"), digest.alias("_d1"), F.pmod(F.xxhash64("_doc"), F.lit(SALTS)).cast("int").alias("_salt"))

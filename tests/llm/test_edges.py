@@ -436,3 +436,13 @@ def test_held_out_is_crc32_of_the_id(spark):
 def test_kept_bytes_digest(spark):
     got = drop_repeated_bytes(frame(spark, [(1, "abc")])).select(F.sha2("kept", 256)).first()[0]
     assert got == hashlib.sha256(b"abc").hexdigest()
+
+
+@pytest.mark.parametrize("kind", ["decimal(20,0)", "smallint", "date"])
+def test_ids_of_other_kinds(spark, kind):
+    rows = [(k, " ".join(f"word{i}" for i in range(60))) for k in (1, 2)] + [(3, "other text")]
+    number = F.col("doc_id")
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("doc_id", F.date_add(F.lit("2024-01-01").cast("date"), number) if kind == "date" else number.cast(kind))
+    assert [r.n_removed > 0 for r in drop_repeated_bytes(docs).orderBy("doc_id").collect()] == [True, True, False]
+    for out in (ngram_components(docs), packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False), audio.audio_columns(docs)):
+        assert dict(out.dtypes)["doc_id"] == kind and out.select("doc_id").distinct().count() == 3
