@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import arrow_type, bitmap, components, durable
+from .common import arrow_type, bitmap, components, durable, filter_power
 
 #: Fragments of the n-grams outside the table of common ones (ordered by hash); the common ones, ordered by frequency, are one more.
 FRAGMENTS = 8
@@ -23,9 +23,10 @@ COMMON_FROM = 16
 BLOCK = 1 << 21
 #: A prefix list of this many different sets is first tied to its hubs.
 HEAVY = 32
-#: Bits of the filters of documents and of n-grams, as powers of two: 2 and 16 MB whatever the tables' size.
-IDS = 24
+#: Bits of the filter of n-grams, as a power of two: 16 MB whatever the table's size.
 GRAMS = 27
+#: A filter of documents to be verified holds at most this many; more are selected by a join.
+FILTER_ROWS = 1 << 25
 #: Rounds that tie long lists to hubs, and hubs of each list and size band in a round.
 ROUNDS = 2
 HUBS = 4
@@ -162,12 +163,13 @@ def _signs(n: int, order, num: int, den: int, id_type: pa.DataType):
 
 
 def _segments(n: int, order, wanted):
-    """Rows (doc, h1, fragment, its n-grams): a set cut along the global order, for documents whose id passes the filter. N-grams of one document are left out."""
+    """Rows (doc, h1, fragment, its n-grams): a set cut along the global order, for documents whose id passes the filter, if there is one. N-grams of one document are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, bits = _Order(order.value), np.frombuffer(wanted.value, dtype=np.uint8)
-        for every in batches:
-            whole = every.filter(pa.array(tk.in_bits(every.column("_id").to_numpy().view(np.uint64), bits, IDS)))
+        rank, bits = _Order(order.value), np.frombuffer(wanted.value, dtype=np.uint8) if wanted else None
+        for whole in batches:
+            if wanted:
+                whole = whole.filter(pa.array(tk.in_bits(whole.column("_id").to_numpy().view(np.uint64), bits)))
             for batch, data, offsets in tk.steps(whole, "_text"):
                 rows, fragments, flat, lengths, h1 = [], [], [], [], []
                 for d, s in enumerate(_sets(batch, data, offsets, n)):
@@ -189,7 +191,7 @@ def _segments(n: int, order, wanted):
     return run
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, filter_rows: int = FILTER_ROWS) -> DataFrame:
     """Classes of documents whose sets of word n-grams have a Jaccard similarity of num / den or more, linked through any chain.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Equal sets are one class from the start, so copies are never
@@ -197,7 +199,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one of the first n - ceil(n * num / den) + 1 in that order (their prefix). Long prefix lists are first tied to one set per size band;
     what that links is one component, within which no pair is needed any more. All other pairs that share a prefix n-gram are
     ruled out by size and by the n-gram's place in both sets. Pairs that remain are verified by fragments of the order: each fragment's
-    overlap is counted by itself and summed per pair. No list is cut, no candidate dropped: every link between two components is found.
+    overlap is counted by itself and summed per pair. No list is cut, no candidate dropped: every link between two components is found. A filter of at most
+    `filter_rows` ids, which are counted, selects the documents of these pairs; where there are more, a join by shuffle does.
 
     Result, a row per input row: `id_col`, n_shingles, component_id (the smallest id reachable). Documents of fewer than n words have
     their whole word sequence as one n-gram; null or wordless texts have none, link with nothing and have their own id as component. A
@@ -222,9 +225,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) that link."""
         pairs = durable(pairs)
-        wanted = pairs.select(F.col("a").alias("_doc")).union(pairs.select(F.col("b").alias("_doc"))).distinct()
-        bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("_doc").alias("_id")), "_id", IDS))
-        cut = texts.withColumn("_id", F.xxhash64("_doc")).mapInArrow(_segments(n, order, bits), f"_doc {kind}, _h1 long, _fragment int, _grams array<long>")
+        wanted = durable(pairs.select(F.col("a").alias("_doc")).union(pairs.select(F.col("b").alias("_doc"))).distinct())
+        number, source, bits = wanted.count(), texts.withColumn("_id", F.xxhash64("_doc")), None
+        if number <= filter_rows:
+            bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("_doc").alias("_id")), "_id", filter_power(number)))
+        else:
+            source = source.join(wanted, "_doc", "left_semi")
+        cut = source.mapInArrow(_segments(n, order, bits), f"_doc {kind}, _h1 long, _fragment int, _grams array<long>")
         own = wanted.join(reps.select(F.col("_rep").alias("_doc"), "_h1"), "_doc")
         cut = durable(cut.join(own, ["_doc", "_h1"], "left_semi").dropDuplicates(["_doc", "_fragment"]))
         left = pairs.join(cut.select(F.col("_doc").alias("a"), "_fragment", F.col("_grams").alias("_ga")), "a")

@@ -132,8 +132,8 @@ def test_ngram_join(spark):
     assert ngram_components(frame(spark).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
-def test_ngram_join_of_a_large_group(spark, n, num):
+@pytest.mark.parametrize("n,num,filter_rows", [(3, 90, 1 << 25), (5, 80, 1 << 25), (5, 80, 0)])
+def test_ngram_join_of_a_large_group(spark, n, num, filter_rows):
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(60)]
     rows = []
@@ -142,7 +142,7 @@ def test_ngram_join_of_a_large_group(spark, n, num):
         for at in rng.choice(60, rng.integers(0, 4), replace=False):
             words[at] = f"x{rng.integers(0, 9)}"
         rows.append((i, " ".join(words)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows), n=n, num=num).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows), n=n, num=num, filter_rows=filter_rows).collect()}
     assert got == brute_components(rows, n, num)
 
 
