@@ -10,9 +10,12 @@ from .decontaminate import decontaminate
 from .html_text import extract_text
 from .langid import held_out, train_language_model
 from .line_templates import drop_recurring_lines
+from .merkle import folded, merkle_manifest, proof_text, row_digest
+from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .packing import pack
 from .suffix_dedup import drop_repeated_bytes
+from .token_align import align_tokens
 from .toxicity import train_toxicity_model
 from .unit_dedup import drop_repeated_units
 
@@ -91,6 +94,28 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, subroot, root and proof, and whether a leaf that was tampered with still leads to the root."""
+    docs, fields = _table(spark, sf_dir, "documents"), ("doc_id", "source", "lang")
+    more = F.coalesce((F.crc32(F.col("doc_id").cast("string")) % 7 == 0).cast("int"), F.lit(0))
+    tampered = row_digest(*fields, F.col("n_chars").cast("decimal(20,0)") + more, "text")
+    out = merkle_manifest(docs.withColumn("_tampered", tampered), row_digest(*fields, "n_chars", "text"), columns=["_tampered"])
+    out = out.withColumn("folded_root", folded(F.col("_tampered"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.encode(proof_text(F.col("proof")), "UTF-8"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens that two public tokenizers make of every document."""
+    out, _ = align_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), with_groups=False)
+    return out
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix to target weights takes of every document."""
+    out = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -102,6 +127,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLES = {
@@ -136,4 +164,34 @@ gone AS (SELECT k.doc_id, list(k.i) AS dropped FROM k JOIN shaped s ON k.leaf =
 SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
        sha256(CASE WHEN dropped IS NULL THEN coalesce(text, '') ELSE array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(dropped, i - 1)), lambda i: lines[i]), chr(10)) END) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE
+c AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc FROM documents),
+d AS (SELECT doc_id, lang, sha256(concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id) END, CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(CAST(source AS VARCHAR)), ':', source) END, CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(CAST(lang AS VARCHAR)), ':', lang) END, CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars) END, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(CAST(text AS VARCHAR)), ':', text) END)) AS leaf,
+      sha256(concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id) END, CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(CAST(source AS VARCHAR)), ':', source) END, CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(CAST(lang AS VARCHAR)), ':', lang) END, CASE WHEN (CAST(n_chars AS HUGEINT) + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END) IS NULL THEN '-' ELSE concat(strlen(CAST((CAST(n_chars AS HUGEINT) + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END) AS VARCHAR)), ':', (CAST(n_chars AS HUGEINT) + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END)) END, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(CAST(text AS VARCHAR)), ':', text) END)) AS tampered FROM c),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM d),
+nodes AS (SELECT 0 AS l, lang, p, n, leaf AS h FROM leaves
+          UNION ALL SELECT l + 1, lang, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM nodes WHERE n > 1 GROUP BY l, lang, p // 2, n),
+subs AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS l, p, n, h FROM subs
+         UNION ALL SELECT l + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM tops WHERE n > 1 GROUP BY l, p // 2, n),
+paths AS (SELECT lang, p AS home, 0 AS l, p, n, tampered AS h, '' AS proof FROM leaves
+          UNION ALL SELECT s.lang, s.home, s.l + 1, s.p // 2, (s.n + 1) // 2, sha256(CASE WHEN s.p % 2 = 0 THEN concat(s.h, o.h) ELSE concat(o.h, s.h) END), concat(s.proof, o.h)
+          FROM paths s LEFT JOIN nodes o ON o.l = s.l AND o.lang IS NOT DISTINCT FROM s.lang AND o.p = xor(s.p, 1) WHERE s.n > 1),
+ends AS (SELECT paths.lang, home, 0 AS l, subs.p, subs.n, paths.h, proof FROM paths JOIN subs ON paths.lang IS NOT DISTINCT FROM subs.lang WHERE paths.n = 1
+         UNION ALL SELECT s.lang, s.home, s.l + 1, s.p // 2, (s.n + 1) // 2, sha256(CASE WHEN s.p % 2 = 0 THEN concat(s.h, o.h) ELSE concat(o.h, s.h) END), concat(s.proof, o.h)
+         FROM ends s LEFT JOIN tops o ON o.l = s.l AND o.p = xor(s.p, 1) WHERE s.n > 1)
+SELECT doc_id, leaf, subs.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM leaves JOIN ends e ON e.n = 1 AND e.home = leaves.p AND e.lang IS NOT DISTINCT FROM leaves.lang JOIN subs ON subs.lang IS NOT DISTINCT FROM leaves.lang, (SELECT h FROM tops WHERE n = 1) r""",
+    "op13_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, coalesce(CAST(doc_id AS VARCHAR), text, '') AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 10 * 3 * source_size // w, source NULLS LAST) AS k FROM s),
+f AS (SELECT *, (SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num, sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS den FROM o),
+c AS (SELECT k, num, den FROM f WHERE w * num <= 3 * source_size * den ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN f.k < c.k THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(w * c.num AS DOUBLE) / CAST(c.den AS DOUBLE) END AS target FROM f, c),
+r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, CAST(concat('0x', substr(sha256(concat('0|', key)), 1, 13)) AS BIGINT) / 4503599627370496.0 AS draw
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
 }
