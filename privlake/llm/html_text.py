@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object svg canvas audio video datalist".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object canvas audio video datalist rp defs symbol clippath mask marker pattern metadata desc".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody thead tfoot tr ul center caption".split())
 #: Blocks with a blank line before and after.
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
@@ -26,20 +26,29 @@ FOREIGN = frozenset({"svg", "math"})
 HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: Parents that a start tag implies inside a table.
 IMPLIED_PARENTS = {"td": "tr", "th": "tr"}
+#: What keeps a start tag from ending a paragraph outside of it, an end tag from ending what is outside of its cell, and the end tags that do so all the same.
+_ENDS_P_SCOPE = frozenset({"table", "td", "th", "button", "body"} | (BLOCK - {"p"}))
+_CELL_SCOPE = ("table", "td", "th")
+_ENDS_CELLS = frozenset("table tr tbody thead tfoot body html".split())
 _NOUGHT = re.compile(r"[-+]?0*\.?0+%?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: The most columns that a cell spans, by the HTML standard, and how far cells are padded to align their column: wider ones stand out, whole.
 MOST_COLUMNS = 1000
 ALIGN = 60
+MOST_ROWS = 65534
+#: Kinds of input whose value, or else placeholder, is painted.
+TEXT_INPUTS = frozenset("text search tel url email number date time month week datetime-local".split())
 #: Elements that have their own place in a table.
 TABLE_PARTS = frozenset("caption tbody thead tfoot tr td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "mute", "cells")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        #: whether it is a part of an svg whose own text isn't painted; whether it holds visible rows or cells of the table that it stands in
+        self.mute = self.cells = False
 
     def style(self) -> dict[str, str]:
         """The last value of each property."""
@@ -49,7 +58,7 @@ class Node:
     def visible(self) -> bool:
         """Whether the element is laid out and painted with all it holds."""
         a = self.attrs
-        if self.tag in HIDDEN or "hidden" in a or (self.tag == "input" and (a.get("type") or "").lower() == "hidden"):
+        if self.tag in HIDDEN or "hidden" in a or (self.tag == "dialog" and "open" not in a) or (self.tag == "input" and (a.get("type") or "").lower() == "hidden"):
             return False
         style = self.style() if a.get("style") else {}
         return style.get("display") != "none" and not _NOUGHT.fullmatch(style.get("opacity", ""))
@@ -60,24 +69,33 @@ class Node:
         return outer if value in {None, "inherit", ""} else value not in {"hidden", "collapse"}
 
 
+    def laid_out(self) -> list:
+        """Its children; of a closed details element, the first summary alone."""
+        if self.tag != "details" or "open" in self.attrs:
+            return self.children
+        return [c for c in self.children if isinstance(c, Node) and c.tag == "summary"][:1]
+
+
 class Tree(HTMLParser):
     """Builds nodes; closes what a tag implies, ignores end tags without a start, and takes an element left open as ending with its parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
-        self.open = [self.root]
+        self.open: list[Node] = [self.root]
+        #: where the open elements of each tag stand among all open ones, so that no tag makes the parser look through them
+        self.at: dict[str, list[int]] = {}
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
         if tag not in IN_HEAD:
             self._end_head()
-        if tag == "select" and any(n.tag == tag for n in self.open):
-            self._end({tag}, set(), inner=True)
+        if tag == "select" and self.at.get(tag):
+            self._end({tag}, (), inner=True)
             return
         if tag in ENDS_P:
-            self._end({"p"}, {"table", "td", "th", "button", "body"} | (BLOCK - {"p"}), inner=True)
+            self._end({"p"}, _ENDS_P_SCOPE, inner=True)
         if tag in IMPLIED_ENDS:
             self._end(*IMPLIED_ENDS[tag])
         if tag in IMPLIED_PARENTS and self.open[-1].tag in {"table", "tbody", "thead", "tfoot"}:
@@ -87,25 +105,26 @@ class Tree(HTMLParser):
             self.open[-1].children.append(node)
         else:
             self._add(node)
-        if tag == "textarea":
+        if tag in {"textarea", "plaintext"}:
             self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag, attrs):
         parent = self.open[-1]
         self.handle_starttag(tag, attrs)
         if self.open[-1] is not parent and self.open[-1].tag == tag and (tag in FOREIGN or self._foreign()):
-            self.open.pop()
+            self._close_from(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":
             self._end_head()
             self.open[-1].children.append(Node("br", {}))
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in {"table", "td", "th"} and tag not in {"table", "tr", "tbody", "thead", "tfoot", "body", "html"}:
-                return
+        if tag == "plaintext":
+            self.open[-1].children.append("</plaintext>")
+            self.set_cdata_mode(tag)
+            return
+        k = self._last({tag})
+        if k and (tag in _ENDS_CELLS or self._last(_CELL_SCOPE) <= k):
+            self._close_from(k)
 
     def parse_marked_section(self, i, report=1):
         return self.parse_bogus_comment(i)
@@ -114,7 +133,7 @@ class Tree(HTMLParser):
         if self.rawdata.startswith("<!--") and not self.cdata_elem:
             self.rawdata = ""  # a comment without an end holds all that follows
         super().close()
-        if self.cdata_elem == "textarea" and self.rawdata:
+        if self.cdata_elem in {"textarea", "plaintext"} and self.rawdata:
             self.handle_data(self.rawdata)
 
     def handle_data(self, data):
@@ -125,30 +144,47 @@ class Tree(HTMLParser):
         self.open[-1].children.append(data)
 
     def _add(self, node):
-        self.open[-1].children.append(node)
+        parent = self.open[-1]
+        parent.children.append(node)
+        node.mute = node.tag == "svg" or (parent.mute and node.tag not in {"text", "foreignobject"})
+        if node.tag in TABLE_PARTS and node.visible():
+            for n in reversed(self.open):
+                if n.cells or n.tag == "table" or not n.visible():
+                    break
+                n.cells = True
+        self.at.setdefault(node.tag, []).append(len(self.open))
         self.open.append(node)
 
+    def _close_from(self, k: int):
+        for n in self.open[k:]:
+            self.at[n.tag].pop()
+        del self.open[k:]
+
+    def _last(self, tags, before: int = 1 << 60) -> int:
+        """The place of the innermost open element with one of these tags, 0 if there is none; of those before a place, at most the last of each tag is skipped."""
+        found = 0
+        for tag in tags:
+            places = self.at.get(tag)
+            if places:
+                k = places[-1] if places[-1] < before else places[-2] if len(places) > 1 else 0
+                found = max(found, k)
+        return found
+
     def _end_head(self):
         if self.open[-1].tag == "head":
-            self.open.pop()
+            self._close_from(len(self.open) - 1)
 
     def _foreign(self) -> bool:
         """Whether the innermost open element stands in svg or math, and in no element of them that holds HTML."""
-        return next((n.tag in FOREIGN for n in reversed(self.open[:-1]) if n.tag in FOREIGN or n.tag in HTML_AGAIN), False)
+        return self._last(FOREIGN, len(self.open) - 1) > self._last(HTML_AGAIN, len(self.open) - 1)
 
     def _end(self, tags, scope, inner=False):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                if inner:
-                    del self.open[k:]
-                    return
-                low = k
-                while low > 1 and self.open[low - 1].tag in tags:
-                    low -= 1
-                del self.open[low:]
-                return
-            if self.open[k].tag in scope:
-                return
+        k = self._last(tags)
+        if not k or self._last(scope) > k:
+            return
+        while not inner and k > 1 and self.open[k - 1].tag in tags:
+            k -= 1
+        self._close_from(k)
 
 
 class _Lines:
@@ -192,19 +228,6 @@ def _width(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _holds_cells(node: Node) -> bool:
-    """Whether a wrapper, such as a form, has rows or cells of the table that it stands in."""
-    left = [node]
-    while left:
-        for c in left.pop().children:
-            if isinstance(c, Node) and c.visible():
-                if c.tag in TABLE_PARTS:
-                    return True
-                if c.tag != "table":
-                    left.append(c)
-    return False
-
-
 def _run(steps):
     """Runs a generator that yields generators to be run before it goes on: recursion of any depth."""
     stack = [steps]
@@ -216,60 +239,97 @@ def _run(steps):
             stack.append(inner)
 
 
+def _span(value: str | None, most: int) -> int:
+    number = re.match(r"\s*\+?0*([0-9]+)", value or "", re.A)
+    return min(int(number[1][:9]), most) if number else 1
+
+
+class _Row:
+    """Cells with their columns; the columns from `next` on are free, but for those that cells of earlier rows reach down into."""
+
+    def __init__(self):
+        self.cells, self.next = [], 0
+
+
 def _table(node: Node, seen: bool) -> list[str]:
     """Rows of cells, padded so that columns are aligned; an inner table's text goes into its cell, joined by blanks.
 
-    What stands in no cell has a cell of its own if it is in a row, else a row; wrappers are looked into for their rows and cells.
+    A cell that spans columns or rows keeps them free; spans of rows end with their section. What stands in no cell has a cell of its own if it is in a row, else a row;
+    wrappers are looked into for their rows and cells.
     """
-    rows: list[list[str]] = []
+    rows: list[_Row] = []
+    taken: dict[int, int] = {}  # columns, and the row up to which a cell above has them
     stray = Node("div", {})
 
     def cell(n: Node, seen: bool) -> str:
         return " ".join(render(n, True, seen).split())
 
-    def end_stray(row: list[str] | None, seen: bool):
+    def put(row: _Row, text: str, columns: int = 1, down: int = 1):
+        while taken.get(row.next, 0) >= len(rows):
+            row.next += 1
+        row.cells.append((row.next, text))
+        if down > 1:
+            taken.update((k, len(rows) + down - 1) for k in range(row.next, row.next + columns))
+        row.next += columns
+
+    def new_row() -> _Row:
+        rows.append(_Row())
+        return rows[-1]
+
+    def end_stray(row: _Row | None, seen: bool):
         text = cell(stray, seen)
         stray.children.clear()
-        if text and row is None:
-            rows.append([text])
-        elif text:
-            row.append(text)
+        if text:
+            put(new_row() if row is None else row, text)
 
-    def collect(n: Node, row: list[str] | None, seen: bool):
-        for c in n.children:
+    def collect(n: Node, row: _Row | None, seen: bool):
+        for c in n.laid_out():
             if not isinstance(c, Node):
                 stray.children.append(c)
                 continue
             if not c.visible():
                 continue
             inside = c.tag in TABLE_PARTS
-            if not inside and (c.tag == "table" or not _holds_cells(c)):
+            if not inside and (c.tag == "table" or not c.cells):
                 stray.children.append(c)
                 continue
             end_stray(row, seen)
             own = c.shown(seen)
             if c.tag in {"td", "th"}:
-                if row is None:
-                    rows.append(row := [])
-                row.append(cell(c, own))
-                span = re.match(r"\s*\+?0*([0-9]+)", c.attrs.get("colspan") or "", re.A)
-                row += [""] * (min(int(span[1][:9]), MOST_COLUMNS) - 1 if span else 0)
+                row = row or new_row()
+                down = _span(c.attrs.get("rowspan"), MOST_ROWS)
+                put(row, cell(c, own), max(1, _span(c.attrs.get("colspan"), MOST_COLUMNS)), down or MOST_ROWS)
             elif c.tag == "caption":
-                rows.append([cell(c, own)])
+                put(new_row(), cell(c, own))
             elif c.tag == "tr":
-                rows.append([])
-                yield collect(c, rows[-1], own)
+                yield collect(c, new_row(), own)
             else:
+                if inside:
+                    taken.clear()
                 yield collect(c, None if inside else row, own)
+                if inside:
+                    taken.clear()
         end_stray(row, seen)
 
     _run(collect(node, None, seen))
-    rows = [row for row in rows if row]
     widths: dict[int, int] = {}
     for row in rows:
-        for k, text in enumerate(row if len(row) > 1 else ()):
+        for k, text in row.cells if len(row.cells) > 1 or row.next > 1 else ():
             widths[k] = max(widths.get(k, 0), min(_width(text), ALIGN))
-    return ["  ".join(text + " " * max(0, widths.get(k, 0) - _width(text)) for k, text in enumerate(row)).rstrip() for row in rows]
+    starts, wide = {}, 0
+    for k in sorted(widths):
+        starts[k] = wide + 2 * k  # a column without text takes two blanks
+        wide += widths[k]
+    lines = []
+    for row in rows:
+        line, wide = "", 0
+        for k, text in row.cells:
+            if text:
+                blanks = max(starts.get(k, 0) - wide, 2 if line else 0)
+                line, wide = line + " " * blanks + text, wide + blanks + _width(text)
+        if row.cells:
+            lines.append(line)
+    return lines
 
 
 def _shown_options(select: Node) -> list[str]:
@@ -299,6 +359,11 @@ def _shown_options(select: Node) -> list[str]:
     return shown if box else [x for x in (first if chosen is None else chosen,) if x]
 
 
+def _number(value: str | None, otherwise: int) -> int:
+    found = re.match(r"[ \t\n\r\f]*([-+]?[0-9]{1,9})(?![0-9])", value or "")
+    return int(found[1]) if found else otherwise
+
+
 def _walk(node: Node, out: _Lines, pre: bool, in_table: bool, seen: bool):
     if not node.visible():
         return
@@ -326,36 +391,40 @@ def _walk(node: Node, out: _Lines, pre: bool, in_table: bool, seen: bool):
         out.space()
         return
     if tag == "input":
-        if seen and (node.attrs.get("type") or "").lower() in {"submit", "button", "reset"}:
-            out.text(node.attrs.get("value") or "", False)
+        kind, value = (node.attrs.get("type") or "text").lower(), node.attrs.get("value") or ""
+        if seen and kind in {"submit", "button", "reset"}:
+            out.text(value, False)
+        elif seen and kind in TEXT_INPUTS:
+            out.text(f" {value or node.attrs.get('placeholder') or ''} ", False)
         return
     if tag == "table" and not in_table:
         out.raw(_table(node, seen))
         out.space()
         return
-    if tag in {"td", "th"}:
+    if tag in {"td", "th", "text"}:
         out.text(" ", False)
-    pre = pre or tag in {"pre", "textarea"}
-    outer, number = out.indent, 0
+    pre = pre or tag in {"pre", "textarea", "plaintext"}
+    outer, step = out.indent, 1
+    if tag == "ol":
+        step = -1 if "reversed" in node.attrs else 1
+        number = _number(node.attrs.get("start"), 1 if step > 0 else sum(isinstance(c, Node) and c.tag == "li" and c.visible() for c in node.children)) - step
     if tag in {"ul", "ol", "blockquote", "dd"}:
         out.indent += "  "
-    for child in node.children:
+    for child in node.laid_out():
         if isinstance(child, str):
-            if seen:
+            if seen and not node.mute:
                 out.text(child, pre)
             continue
         if child.tag == "li" and child.visible():
             out.break_()
-            number += 1
             if tag == "ol":
-                start = node.attrs.get("start") or ""
-                number_now = number - 1 + (int(start) if re.fullmatch(r"\d{1,9}", start, re.A) else 1)
-            out.mark = out.indent + (f"{number_now}. " if tag == "ol" else "- ")
+                number = _number(child.attrs.get("value"), number + step)
+            out.mark = out.indent + (f"{number}. " if tag == "ol" else "- ")
         yield _walk(child, out, pre, in_table, seen)
         if child.tag == "li":
             out.break_()
             out.mark = ""
-    if tag in {"td", "th"}:
+    if tag in {"td", "th", "text"}:
         out.text(" ", False)
     out.indent = outer
     if tag in SPACED and not (tag in {"ul", "ol"} and outer):
@@ -366,7 +435,7 @@ def _walk(node: Node, out: _Lines, pre: bool, in_table: bool, seen: bool):
 
 def render(node: Node, in_table: bool = False, seen: bool = True) -> str:
     out = _Lines()
-    for child in node.children:
+    for child in node.laid_out():
         if isinstance(child, Node):
             _run(_walk(child, out, False, in_table, seen))
         elif seen:
@@ -389,8 +458,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """Visible text of pages.
 
     Pages become trees in which omitted end tags and table rows are implied; elements that are hidden by their kind, `hidden` or
-    their own style go with all they hold; in one of no visibility, a part that is visible again stays. aria-hidden elements are painted and stay. Of form controls, the text of a textarea, the captions of input buttons and the options that a closed list or list box shows stay. Blocks start on new lines, headings, paragraphs, lists and tables stand between empty lines, list
-    items have marks, cells are padded to their columns (up to ALIGN places; longer cells stay whole), what stands in a table but in no cell has a cell or row of its own, `pre` keeps its blanks.
+    their own style, closed dialogs and what closed details hold but their summary go with all they hold; in one of no visibility, a part that is visible again stays. aria-hidden elements are painted and stay. Of an svg, its text elements stay. Of form controls, the text of a textarea, the value or placeholder of a text field, the captions of input buttons and the options that a closed list or list box shows stay. Blocks start on new lines, headings, paragraphs, lists and tables stand between empty lines, list
+    items have marks, numbered as `start`, `reversed` and `value` say, cells are padded to their columns, which spans of columns and rows keep free (up to ALIGN places; longer cells stay whole), what stands in a table but in no cell has a cell or row of its own, `pre` keeps its blanks.
 
     Result, a row per input row: `id_col`, text (null for null, empty for pages without visible text). Malformed pages never fail: what can't be a tag is text. Repeated rows stay. Other
     columns are not looked at. An empty table gives no rows.
