@@ -209,6 +209,38 @@ def test_tone_lights_its_own_mel_band():
     assert low < high
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><th rowspan=2>Name<th>Jan<tr><td>31</table>", "Name  Jan\n      31"),
+        ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>z<td>y</table>", "a  b\n   c\nz  y"),
+        ("<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d<td>e<tr><td>1<td>2<td>3<td>4</table>", "ab     c\n       d  e\n1   2  3  4"),
+        ("<details>body<summary>S</summary>x</details><details open><summary>T</summary>y</details>", "S\nT\ny"),
+        ("<dialog>d</dialog><dialog open>e</dialog><ruby>a<rp>(</rp><rt>b</rt><rp>)</rp></ruby>", "e\nab"),
+        ("<svg>no<g>no</g><text>yes <tspan>t</tspan></text><title>n</title><defs><text>d</text></defs><path/></svg>after", "yes t after"),
+        ("<plaintext>a<b></plaintext>c", "a<b></plaintext>c"),
+        ("<p>Name: <input value=Bob><input type=hidden value=x><input type=password value=p><input placeholder=ph>", "Name: Bob ph"),
+        ("<ol reversed><li>a<li>b</ol>", "  2. a\n  1. b"),
+        ("<ol start=3><li>a<li value=7>b<li value=x>c</ol>", "  3. a\n  7. b\n  8. c"),
+    ],
+)
+def test_html_spans_numbers_and_closed_parts(html, text):
+    assert html_text(html) == text
+
+
+@pytest.mark.parametrize("page", ["<p>x" + "</b>" * 500_000, "<p><table><tr><td>" + "<i>" * 300_000 + "</p>" * 300_000, "<table>" + "<form>" * 150_000 + "<td>x", "<svg>" + "<g>" * 200_000 + "<path/>" * 100_000])
+def test_html_takes_time_in_proportion(page):
+    import time
+
+    def seconds(part):
+        now = time.process_time()
+        html_text(part)
+        return time.process_time() - now
+
+    small, whole = seconds(page[: len(page) // 8]), seconds(page)
+    assert whole < 8 * 4 * small + 1
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>a<p>b"), (3, "<p>a<p>b"), (4, "<div " * 3000), (5, "<b>" * 5000 + "x")], "page_id long, html string").withColumn("text", F.lit("clash"))
     got = sorted(((r.page_id, r.text) for r in extract_text(pages).collect()), key=lambda r: r[0])
@@ -292,8 +324,18 @@ def test_units_resume_after_a_different_start(spark):
     assert got[2][0].text == "Other. Different beginning with more words. " and got[1][0].n_removed == 0
 
 
+def test_short_lines_stay_once(spark):
+    line = "a line of nine words that many documents share"
+    rows = [(i, f"{line}\n{'own ' * i}text {i}. {line}\n") for i in range(200)] + [(None, f"x\n{line}. Two more short words. And other ones here.\n{line}"), (300, f"{line}. And other ones here. Two more short words.\n")]
+    got = by_id(drop_repeated_units(frame(spark, rows)))
+    assert got[None][0].n_removed == 0  # ranks first
+    assert all(got[i][0].text.startswith("own" if i else "text") and got[i][0].n_removed == 1 for i in range(200))
+    assert sum(r.text.count(line + "\n") for v in got.values() for r in v) == 200 and got[300][0].n_removed == 0
+    assert all(r.n_removed == 0 for v in by_id(drop_repeated_units(frame(spark, rows[:200]), min_line_words=10)).values() for r in v)
+
+
 def test_short_units_go_only_in_runs(spark):
-    short, run = "a line of five words", "one short line here\nand the next short line\nthen a third one of them\nand one more at last"
+    short, run = "line of four words", "one short line here\nand the next short line\nthen a third one of them\nand one more at last"
     rows = [(1, short + "\nown text one\n" + run), (2, "own text two\n" + short), (3, run + "\nown text three"), (3, run + "\nown text three"), (None, "nothing of all that")]
     got = by_id(drop_repeated_units(frame(spark, rows)))
     assert got[2][0].n_removed == 0 and got[1][0].n_removed == 0 and got[None][0].n_removed == 0
@@ -346,7 +388,7 @@ def test_repeated_bytes_of_an_empty_table(spark):
         ("<table><tr><td>" * 50 + "a<td>b", "a b"),
         ("<table>" + "<form>" * 3000 + "<tr><td>a<td>b", "a  b"),
         ("<select>" + "<option>a<select>" * 999, "a" * 999),
-        ("<input type=submit value=Send> <input value=typed>", "Send"),
+        ("<input type=submit value=Send> <input value=typed>", "Send typed"),
     ],
 )
 def test_html_odd_pages(html, text):
