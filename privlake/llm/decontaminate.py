@@ -10,12 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import bitmap, durable, small
+from .common import bitmap, durable, filter_power, small
 
 #: Words of the shingles that stand for a window in the join; a shorter window is one shingle.
 SHINGLE = 3
-#: Bits of the filters, as a power of two: 2 MB whatever the benchmark's size.
-POWER = 24
 
 
 def _text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
@@ -58,7 +56,7 @@ def _seen(bits, widths: tuple[int, ...]):
                 h = tk.span_hashes(data, starts, ends)
                 for width in widths:
                     s, begin = tk.shingles(h, first, width)
-                    at = np.flatnonzero(tk.in_bits(s, table, POWER))
+                    at = np.flatnonzero(tk.in_bits(s, table))
                     doc = np.searchsorted(begin, at, side="right") - 1
                     once = np.unique(np.stack([doc.astype(np.uint64), s[at]], axis=1), axis=0)[:, 1] if len(at) else s[:0]
                     yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64) if len(at) else once.astype(np.int64))], ["_shingle"])
@@ -80,7 +78,7 @@ def _candidates(bits, widths: tuple[int, ...], window: int):
                 places: list[list[dict]] = [[] for _ in range(batch.num_rows)]
                 for width in widths:
                     s, begin = tk.shingles(h, first, width)
-                    found = np.flatnonzero(tk.in_bits(s, table, POWER))
+                    found = np.flatnonzero(tk.in_bits(s, table))
                     docs = np.searchsorted(begin, found, side="right") - 1
                     for shingle, d, at in zip(s[found].view(np.int64).tolist(), docs.tolist(), (found - begin[docs]).tolist(), strict=True):
                         # a window of one shingle needs no other words; others reach this far at most
@@ -111,25 +109,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     widths = tuple(sorted({r[0] for r in shingles.select(F.least(F.col("_n"), F.lit(SHINGLE))).distinct().collect()}))
     texts = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
 
-    bits = spark.sparkContext.broadcast(bitmap(shingles, "_shingle", POWER))
+    bits = spark.sparkContext.broadcast(bitmap(shingles, "_shingle", filter_power(shingles.count())))
     counts = texts.select("_text").mapInArrow(_seen(bits, widths), "_shingle long").groupBy("_shingle").agg(F.count("*").alias("_docs"))
     # a window with a shingle that no document has can't occur
     rarest = F.min(F.struct("_docs", "_shingle", "_at"))
     prefix = durable(shingles.select("_window", "_n", "_shingle", "_at").distinct().join(counts, "_shingle", "left").withColumn("_docs", F.coalesce("_docs", F.lit(0))).groupBy("_window", "_n").agg(rarest.alias("_r")).where("_r._docs > 0").select("_window", "_n", "_r._shingle", "_r._at"))
     holders = shingles.groupBy("_window").agg(F.sort_array(F.collect_set("_item")).alias("_items"))
 
-    bits = spark.sparkContext.broadcast(bitmap(prefix, "_shingle", POWER))
+    bits = spark.sparkContext.broadcast(bitmap(prefix, "_shingle", filter_power(prefix.count())))
     place = "struct<shingle: long, at: int, low: int, words: string>"
     found = texts.mapInArrow(_candidates(bits, widths, window), f"_doc {dict(texts.dtypes)['_doc']}, _key long, _words long, _places array<{place}>")
-    # the null place keeps a row per document, and their number
-    places = found.select("_doc", "_key", "_words", F.explode(F.concat("_places", F.array(F.lit(None).cast(place)))).alias("_p"))
+    found = durable(found)
+    places = found.select("_doc", "_key", "_words", F.explode("_places").alias("_p"))
     start = F.col("_p.at") - F.col("_at")
     inside = (start >= 0) & (start + F.col("_n") <= F.col("_words"))
     there = F.array_join(F.slice(F.split("_p.words", " "), start - F.col("_p.low") + 1, F.col("_n")), " ")
-    matched = places.join(small(prefix), F.col("_p.shingle") == F.col("_shingle"), "left")
-    true = F.when(F.col("_n").isNotNull(), F.when(inside, there == F.col("_window")))
-    matched = matched.select("_doc", "_key", "_words", F.col("_p").isNull().alias("_own"), F.when(true, F.struct(start.alias("s"), (start + F.col("_n")).alias("e"))).alias("_span"), F.when(true, F.col("_window")).alias("_window"))
-    matched = matched.join(small(durable(holders)), "_window", "left")
+    matched = places.join(small(prefix), F.col("_p.shingle") == F.col("_shingle")).where(inside & (there == F.col("_window")))
+    matched = matched.select("_doc", "_key", "_words", F.lit(False).alias("_own"), F.struct(start.alias("s"), (start + F.col("_n")).alias("e")).alias("_span"), "_window")
+    matched = matched.join(small(durable(holders)), "_window").drop("_window")
+    # a row per document by itself, after the joins, so that documents without places are no key of theirs
+    own = found.select("_doc", "_key", "_words", F.lit(True).alias("_own"), *(F.lit(None).cast(matched.schema[c].dataType).alias(c) for c in ("_span", "_items")))
+    matched = matched.unionByName(own)
     spans = F.array_sort(F.collect_set("_span"))
     covered = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["to"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")))["n"]
     out = matched.groupBy("_doc", "_key", "_words").agg(F.count_if("_own").cast("int").alias("_rows"), covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"))
