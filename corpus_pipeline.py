@@ -22,7 +22,7 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters, so null and empty texts too, and those whose language can't be told; learns from the documents themselves. Repeated rows stay or go together."""
     model = train_language_model(docs.where(~held_out("doc_id")))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), F.col("text").alias("_text"))
     return model.predict(rows, "_text").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
