@@ -4,6 +4,7 @@ import hashlib
 import os
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -154,18 +155,26 @@ def _stages():
     return dict(corpus_pipeline.STAGES)
 
 
-CLASHING = ("_name", "_all", "_row", "_key", "_id", "n_lines", "n_dropped", "score", "lang_pred", "component_id", "contaminated", "_text")
+CLASHING = ("_name", "_all", "_row", "_key", "_id", "n_lines", "n_dropped", "score", "lang_pred", "component_id", "contaminated", "_text", "a.b", "start", "length")
 
 
-@pytest.mark.parametrize("stage", ["language_id", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination"])
+@pytest.mark.parametrize("stage", ["language_id", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "packing"])
 def test_stages_carry_columns_and_take_odd_rows(spark, stage):
     words = "the river runs past old mills and carries leaves of many trees to the sea each year".split()
     rows = [(i, " ".join(words[i % 5 :] + [w + "abcdefghij"[i] for w in words]), "en" if i % 2 else "de") for i in range(10)]
     rows += [(20, None, "en"), (21, "", "de"), (22, " \n ", None), (23, "long " * 50_000, "en"), (24, rows[3][1], "en"), (24, rows[3][1], "en"), (None, "no id " + rows[1][1], "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text"))
     for c in CLASHING:
-        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+        docs = docs.select("*", F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c))
     got = _stages()[stage](spark, docs, SF)
+    assert _stages()[stage](spark, docs.limit(0), SF).count() == 0
+    if stage == "packing":
+        pieces = Counter()
+        for r in got.collect():
+            pieces[r.doc_id] += r.length
+        ends = Counter(r[0] for r in rows)  # an end id each; texts without words have nothing else
+        assert set(pieces) == set(ends) and (pieces[20], pieces[21], pieces[22]) == (1, 1, 1) and pieces[24] == 2 * pieces[3]
+        return
     assert got.dtypes == docs.dtypes
     out = got.collect()
     assert all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in out for c in CLASHING)
@@ -173,7 +182,6 @@ def test_stages_carry_columns_and_take_odd_rows(spark, stage):
     assert set(ids) - {20, 21, 22, 23} == {*range(10), None} | (set() if stage == "ngram_jaccard_join" else {24})
     if stage != "language_id":
         assert {20, 21, 22, 23} <= set(ids) and ids.count(24) == (0 if stage == "ngram_jaccard_join" else 2)
-    assert _stages()[stage](spark, docs.limit(0), SF).count() == 0
 
 
 def test_near_duplicate_stage_by_brute_force(spark):
