@@ -19,9 +19,11 @@ from . import tokens as tk
 from .common import arrow_type, durable
 
 #: Bytes of text in a chunk, whose links share one dictionary; a longer document is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: A task forgets the pieces of text that it knows when there are more, or when their groups have more signs.
-PIECES, SIGNS = 300_000, 32 << 20
+PIECES, SIGNS = 600_000, 48 << 20
+#: Pieces that the tokenizers are given at a time, and signs of groups that are put together at a time.
+GIVEN, TOGETHER = 20_000, 4 << 20
 
 # A space is a cut if an ASCII sign or one of U+00C0 to U+027F stands on either side of it: there, both tokenizers start a new token whatever follows.
 _SIGN = np.zeros(256, dtype=bool)
@@ -48,6 +50,24 @@ def groups_of(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(a_end, b_end[b_last]), b_last
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run of a length, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class _Bytes:
+    """Byte strings by number."""
+
+    def __init__(self, strings: list[bytes]):
+        self.length = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.start = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def join(self, numbers: np.ndarray) -> np.ndarray:
+        return self.data[_spread(self.start[numbers], self.length[numbers])]
+
+
 class _Aligner:
     """Tokens, groups and links of texts, piece by piece: each distinct piece between cuts is encoded and aligned once."""
 
@@ -61,46 +81,50 @@ class _Aligner:
         # byte-level entries: printable bytes stand for themselves, the others, in order, are the signs from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         byte = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in plain)}
-        self.a_bytes = {i: bytes(map(byte.__getitem__, entry)) for entry, i in self.a.get_vocab(with_added_tokens=False).items()}
+        entries = {i: bytes(map(byte.__getitem__, entry)) for entry, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = _Bytes([entries.get(i, b"") for i in range(max(entries) + 2)])
         piece = self.b.id_to_piece
-        self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
-        self.a_len = np.zeros(max(self.a_bytes) + 1, np.int64)
-        for i, x in self.a_bytes.items():
-            self.a_len[i] = len(x)
-        self.b_len = np.fromiter(map(len, self.b_bytes), np.int64, len(self.b_bytes))
+        self.b_bytes = _Bytes([bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())])
+        self.decimal = _Bytes([b"%d," % i for i in range(max(len(self.a_bytes.length), len(self.b_bytes.length)))])
         self.forget()
 
     def forget(self):
-        self.known, self.slot, self.text, self.signs = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.sizes = np.zeros((0, 3), np.int64)  # of a piece: A tokens (-1: bytes differ), B tokens, groups, which are also its links
         self.starts, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, pieces: list[bytes]):
-        texts = [x.decode() for x in pieces]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([x[1:] for x in texts], num_threads=1)  # it puts a space before the text
-        same = [b"".join(map(self.a_bytes.__getitem__, x)) == p == b"".join(map(self.b_bytes.__getitem__, y)) for p, x, y in zip(pieces, a, b, strict=True)]
-        a, b = [x if s else [] for x, s in zip(a, same, strict=True)], [y if s else [] for y, s in zip(b, same, strict=True)]
-        (a_ids, n_a), (b_ids, n_b) = _flat(a), _flat(b)
-        a_last, b_last = groups_of(np.cumsum(self.a_len[a_ids]), np.cumsum(self.b_len[b_ids]))
-        cuts = np.searchsorted(b_last, np.cumsum(n_b))
-        found, i, j, g = [], 0, 0, 0
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        a_to, b_to = (a_last + 1).tolist(), (b_last + 1).tolist()
-        for end in cuts.tolist():
-            parts = []
-            while g < end:
-                parts.append(",".join(a_text[i : a_to[g]]) + "|" + ",".join(b_text[j : b_to[g]]))
-                i, j, g = a_to[g], b_to[g], g + 1
-            found.append((";".join(parts), len(parts)))
-        n_g = np.array([n for _, n in found], np.int64)
-        self.text += [x for x, _ in found]
-        self.signs += sum(len(x) for x, _ in found)
+        self.text_at, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)  # each group with a sign after it
+
+    def learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray):
+        """Encodes and aligns the pieces from `starts` to `ends` of `raw`."""
+        texts = [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        a_ids, n_a = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        b_ids, n_b = _flat(self.b.encode([x[1:] for x in texts], num_threads=1))  # it puts a space before the text
+        piece, data, same = np.arange(len(texts)), np.frombuffer(raw, np.uint8), np.ones(len(texts), dtype=bool)
+        for ids, n, table in ((a_ids, n_a, self.a_bytes), (b_ids, n_b, self.b_bytes)):
+            of = np.repeat(piece, n)
+            same &= np.bincount(of, table.length[ids], len(texts)).astype(np.int64) == ends - starts
+            kept = np.flatnonzero(same)
+            differ = np.flatnonzero(table.join(ids[same[of]]) != data[_spread(starts[kept], (ends - starts)[kept])])
+            same[kept[np.searchsorted(np.cumsum((ends - starts)[kept]), differ, side="right")]] = False
+        a_ids, b_ids = a_ids[np.repeat(same, n_a)], b_ids[np.repeat(same, n_b)]
+        n_a, n_b = n_a * same, n_b * same
+        a_last, b_last = groups_of(np.cumsum(self.a_bytes.length[a_ids]), np.cumsum(self.b_bytes.length[b_ids]))
+        upto = np.searchsorted(b_last, np.cumsum(n_b))
+        n_g = np.diff(upto, prepend=0)
+        # a group's A ids and then its B ids, one group after the other
+        a_group, b_group = np.searchsorted(a_last, np.arange(len(a_ids))), np.searchsorted(b_last, np.arange(len(b_ids)))
+        a_place, b_place = np.arange(len(a_ids)) + np.concatenate([[0], b_last + 1])[a_group], np.arange(len(b_ids)) + (a_last + 1)[b_group]
+        order = np.empty(len(a_ids) + len(b_ids), np.int64)
+        order[a_place], order[b_place] = a_ids, b_ids
+        text, after = self.decimal.join(order), np.cumsum(self.decimal.length[order]) - 1
+        text[after[a_place[a_last]]], text[after[b_place[b_last]]] = ord("|"), ord(";")
+        self.text_at = np.concatenate([self.text_at, self.text_at[-1] + np.concatenate([[0], after + 1])[np.cumsum(n_a + n_b)]])
+        self.text = np.concatenate([self.text, text])
         self.sizes = np.concatenate([self.sizes, np.stack([np.where(same, n_a, -1), n_b, n_g], axis=1)])
         self.links = np.concatenate([self.links, a_ids[a_last] << 32 | b_ids[b_last]])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n_g)])
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray):
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Iterator[bytes], np.ndarray, np.ndarray]:
         """For each text: sizes (A tokens, B tokens, groups), its groups as text, and where its links begin in all links, which come last."""
         data, offsets = np.insert(data, offsets[:-1], 32), offsets + np.arange(len(offsets))
         at = np.flatnonzero(data[1:-1] == 32) + 1
@@ -108,31 +132,40 @@ class _Aligner:
         starts = np.unique(np.concatenate([at, offsets[:-1]]))
         ends = np.append(starts[1:], len(data))
         unique, one, where = np.unique(tk.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > PIECES or self.signs > SIGNS:
+        if len(self.known) > PIECES or len(self.text) > SIGNS:
             self.forget()
         found = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), dtype=bool)
         inside = found < len(self.known)
         new[inside] = self.known[found[inside]] != unique[inside]
         if new.any():
-            raw, before = data.tobytes(), len(self.text)
-            self.learn([raw[s:e] for s, e in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
+            raw, before, first = data.tobytes(), len(self.sizes), one[new]
+            for k in range(0, len(first), GIVEN):
+                self.learn(raw, starts[first[k : k + GIVEN]], ends[first[k : k + GIVEN]])
             known = np.concatenate([self.known, unique[new]])
             by = np.argsort(known)
-            self.known, self.slot = known[by], np.concatenate([self.slot, np.arange(before, len(self.text))])[by]
+            self.known, self.slot = known[by], np.concatenate([self.slot, np.arange(before, len(self.sizes))])[by]
             found = np.searchsorted(self.known, unique)
         own = self.slot[found][where]
         first = np.searchsorted(starts, offsets)
         wrong = np.concatenate([[0], np.cumsum(self.sizes[own, 0] < 0)])
-        good = wrong[first[1:]] == wrong[first[:-1]]
-        kept = np.repeat(good, np.diff(first))
-        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(self.sizes[own] * kept[:, None], axis=0)])[first]
-        slots = own.tolist()
-        texts = [";".join(map(self.text.__getitem__, slots[s:e])) if g else "" for s, e, g in zip(first[:-1].tolist(), first[1:].tolist(), good.tolist(), strict=True)]
+        kept = np.repeat(wrong[first[1:]] == wrong[first[:-1]], np.diff(first))
+        first = np.concatenate([[0], np.cumsum(kept)])[first]
         own = own[kept]
-        lengths = self.sizes[own, 2]
-        links = self.links[np.arange(lengths.sum()) + np.repeat(self.starts[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)] if len(own) else np.zeros(0, np.int64)
-        return np.diff(sums, axis=0), texts, sums[:, 2], links
+        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(self.sizes[own], axis=0)])[first]
+        return np.diff(sums, axis=0), self._texts(own, first), sums[:, 2], self.links[_spread(self.starts[own], self.sizes[own, 2])]
+
+    def _texts(self, own: np.ndarray, first: np.ndarray) -> Iterator[bytes]:
+        lengths = self.text_at[own + 1] - self.text_at[own]
+        upto = np.concatenate([[0], np.cumsum(lengths)])[first]
+        d, n = 0, len(first) - 1
+        while d < n:
+            to = max(d + 1, int(np.searchsorted(upto, upto[d] + TOGETHER, side="right")) - 1)
+            pieces = slice(first[d], first[to])
+            block = self.text[_spread(self.text_at[own[pieces]], lengths[pieces])].tobytes()
+            for k in range(d, to):
+                yield block[upto[k] - upto[d] : max(upto[k], upto[k + 1] - 1) - upto[d]]
+            d = to
 
 
 @functools.cache
@@ -141,6 +174,11 @@ def _aligner(a_path: str, b_path: str) -> _Aligner:
     return _Aligner(a_path, b_path)
 
 
+def _kind(pairs: int) -> np.dtype:
+    """How a place in a dictionary of so many pairs is stored."""
+    return np.dtype("<u2" if pairs <= 1 << 16 else "<u4")
+
+
 def _align(a_path: str, b_path: str, id_type: pa.DataType, with_groups: bool):
     schema = pa.schema([("_chunk", pa.int64()), ("_doc", id_type), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups")), ("groups_sha256", pa.string()), ("groups", pa.string()), ("_links", pa.binary()), ("_pairs", pa.binary()), ("_counts", pa.binary())])
 
@@ -150,9 +188,11 @@ def _align(a_path: str, b_path: str, id_type: pa.DataType, with_groups: bool):
             for batch, data, offsets in tk.steps(whole, "_text", CHUNK):
                 sizes, texts, starts, links = align(data, offsets)
                 pairs, places, counts = np.unique(links, return_inverse=True, return_counts=True)
-                raw, cut, n = places.astype("<u4").tobytes(), (4 * starts).tolist(), len(texts)
-                hashed = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts]
-                columns = [pa.array([chunk] * n, pa.int64()), batch.column("_doc"), *(pa.array(sizes[:, k]) for k in range(3)), pa.array(hashed, pa.string()), pa.array(texts if with_groups else [None] * n, pa.string()), pa.array([raw[s:e] for s, e in zip(cut, cut[1:], strict=False)], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+                kind = _kind(len(pairs))
+                raw, cut, n = places.astype(kind).tobytes(), (kind.itemsize * starts).tolist(), len(sizes)
+                texts = list(texts) if with_groups else texts
+                hashed = [hashlib.sha256(x).hexdigest() if x else "" for x in texts]
+                columns = [pa.array([chunk] * n, pa.int64()), batch.column("_doc"), *(pa.array(sizes[:, k]) for k in range(3)), pa.array(hashed, pa.string()), pa.array([x.decode() for x in texts] if with_groups else [None] * n, pa.string()), pa.array([raw[s:e] for s, e in zip(cut, cut[1:], strict=False)], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, schema, strict=True)], schema=schema)
                 one = {"_chunk": chunk, "_pairs": pairs.astype("<i8").tobytes(), "_counts": counts.astype("<i8").tobytes()}
                 yield pa.RecordBatch.from_arrays([pa.array([one.get(f.name)], f.type) for f in schema], schema=schema)
@@ -171,7 +211,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _look_up(docs: pa.Table, entries: pa.Table) -> pa.Table:
     entries = entries.take(pc.sort_indices(entries, [("_at", "ascending")]))
     counts, best = entries.column("links").to_numpy(), entries.column("best").to_numpy().astype(np.int64)
-    links = [np.frombuffer(x, "<u4") for x in docs.column("_links").to_pylist()]
+    links = [np.frombuffer(x, _kind(len(counts))) for x in docs.column("_links").to_pylist()]
     docs = docs.drop_columns(["_chunk", "_links"])
     return docs.append_column("n_best", pa.array([int(best[x].sum()) for x in links], pa.int64())).append_column("count_sum", pa.array([int(counts[x].sum()) for x in links], pa.int64()))
 
@@ -190,7 +230,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     stays null; other columns are not looked at; an empty table gives no rows.
 
     Both tokenizers start anew at a space between two signs, so each distinct piece between such spaces is encoded and aligned once while a task knows it; a text without any is one piece. Links
-    are written as places in a dictionary of pairs that documents of one chunk of 4 MB share. Only dictionaries are exploded, counted and joined; a chunk's documents then meet its
+    are written as places in a dictionary of pairs that documents of one chunk of 2 MB share. Only dictionaries are exploded, counted and joined; a chunk's documents then meet its
     dictionary with the counts of all documents. So what is shuffled per link is its place, and no pair of ids is a key for more than one row per chunk.
     """
     kind, id_type = dict(docs.dtypes)[id_col], arrow_type(docs, id_col)
