@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from privlake.plans import detector, forms, ledger, planning, reports, runs, spatial, text
+from privlake.plans import detector, forms, ledger, pages, planning, reports, runs, spatial, text
 from privlake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "detector", "flagship", "forms", "ledger", "planning", "reports", "runs", "spatial", "text"]
+__all__ = ["ORACLES", "QUERIES", "detector", "flagship", "forms", "ledger", "pages", "planning", "reports", "runs", "spatial", "text"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,184 +1,109 @@
-"""Interactive elements and form fields of web pages, read from their markup inside Arrow tasks: a page's rows never meet another's."""
+"""Interactive elements, form fields and page states from the nodes of web pages: labels, roles, values and traps are columns over the nodes of a page."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What makes an element interactive.
-TAGS = frozenset(("button", "input", "select", "textarea"))
-ROLES = frozenset(("button", "link", "tab", "checkbox", "radio", "switch", "combobox"))
+from privlake.sources.nodes import attribute, interactive, number_of, parse_pages, style_of, unseen
+
 #: Elements before a field whose text is taken for its label, and names of fields that are traps.
-LABELLING = frozenset(("label", "span", "div", "p"))
-TRAP = re.compile(r"captcha|trap|bot|honeypot|cf-|wp-", re.I)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_STYLE = re.compile(r"(?:^|;)\s*(display|visibility|opacity|position|left|top)\s*:\s*([^;!]+)", re.I)
-ELEMENTS = "page_id {0}, ord int, id string, tag string, role string, text string, label string, type string, disabled boolean, visible boolean"
-FIELDS = "page_id {0}, form_id string, ord int, name string, id string, type string, label string, value string, required boolean, max_length int, pattern string, options array<string>, checked boolean, filled boolean, trap boolean"
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "parts", "hidden", "before", "form", "label", "order")
-
-    def __init__(self, tag, attrs, hidden, before, form, label, order):
-        self.tag, self.attrs, self.hidden, self.before, self.form, self.label, self.order = tag, attrs, hidden, before, form, label, order
-        self.parts: list[str] = []
-
-    def text(self) -> str:
-        return "".join(self.parts).strip()
-
-
-def _style(attrs: dict) -> dict[str, str]:
-    return {k.lower(): v.strip().lower() for k, v in _STYLE.findall(attrs.get("style") or "")}
-
-
-def _number(x: str | None) -> float | None:
-    found = re.match(r"\s*[-+]?\d{0,15}\.?\d{0,15}", x or "", re.A)
-    try:
-        return float(found[0])
-    except (TypeError, ValueError):
-        return None
-
-
-def _unseen(tag: str, attrs: dict) -> bool:
-    style = _style(attrs)
-    opacity = _number(style.get("opacity"))
-    return "hidden" in attrs or style.get("display") == "none" or style.get("visibility") == "hidden" or (opacity is not None and opacity < 0.1) or (tag == "input" and (attrs.get("type") or "").lower() == "hidden")
-
-
-class PageScan(HTMLParser):
-    """Elements, fields and labels of one page in document order. Text goes to all open elements that need theirs."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[_Node] = []
-        self.wanted: list[_Node] = []
-        self.fields: list[_Node] = []
-        self.labels: dict[str, _Node] = {}
-        self.options: dict[int, list[tuple[_Node, bool]]] = {}
-        self.forms: list[dict] = []
-        self.last: dict[int, _Node] = {}
-        self.number = 0
-
-    def parse_marked_section(self, i, report=1):
-        return self.parse_bogus_comment(i)
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "option" and self.open and self.open[-1].tag == "option":
-            self._leave(self.open.pop())
-        up = self.open[-1] if self.open else None
-        if tag == "form":
-            self.forms.append(a)
-        form = len(self.forms) - 1 if tag == "form" else up.form if up else -1
-        node = _Node(tag, a, _unseen(tag, a) or bool(up and up.hidden), self.last.get(id(up)), form, up if up and up.tag == "label" else up.label if up else None, self.number)
-        self.number += 1
-        self.last[id(up)] = node
-        if tag == "label" and a.get("for"):
-            self.labels.setdefault(a["for"], node)
-        if (tag == "a" and "href" in a) or tag in TAGS or (a.get("role") or "") in ROLES or a.get("contenteditable") == "true" or "tabindex" in a:
-            self.wanted.append(node)
-        if tag in {"input", "select", "textarea"} and form >= 0:
-            self.fields.append(node)
-        if tag == "option":
-            holder = next((n for n in reversed(self.open) if n.tag == "select"), None)
-            if holder:
-                self.options.setdefault(holder.order, []).append((node, "selected" in a))
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                for n in self.open[k:]:
-                    self._leave(n)
-                del self.open[k:]
-                return
-
-    def _leave(self, node: _Node) -> None:
-        self.last.pop(id(node), None)
-
-    def handle_data(self, data):
-        if any(n.tag in {"script", "style", "title"} for n in self.open):
-            return
-        fielded = any(n.tag in {"select", "textarea"} for n in self.open)
-        for n in self.open:
-            # the text of a field within a label is no part of the label
-            if n.tag != "label" or not fielded:
-                n.parts.append(data)
-
-    def label_of(self, n: _Node) -> str:
-        """The label that names the field, or encloses it, or the text just before it, or its own attributes."""
-        own = n.attrs.get("id")
-        if own and own in self.labels:
-            return self.labels[own].text()
-        if n.label and n.label.text():
-            return n.label.text()
-        if n.before and n.before.tag in LABELLING:
-            return n.before.text()
-        return n.attrs.get("aria-label") or n.attrs.get("placeholder") or ""
-
-
-def implied_role(tag: str, kind: str) -> str:
-    if tag == "input":
-        return "button" if kind == "submit" else kind if kind in {"checkbox", "radio"} else "textbox"
-    return {"a": "link", "button": "button", "select": "combobox", "textarea": "textbox"}.get(tag, "generic")
-
-
-def scan_page(html: str | None) -> PageScan:
-    scan = PageScan()
-    scan.feed(html or "")
-    scan.close()
-    return scan
-
-
-def element_rows(scan: PageScan) -> Iterator[tuple]:
-    for k, n in enumerate(scan.wanted):
-        a = n.attrs
-        text = a.get("aria-label") or a.get("title") or a.get("placeholder") or n.text()[:150]
-        yield k, a.get("id") or f"el-{k}", n.tag, a.get("role") or implied_role(n.tag, (a.get("type") or "").lower()), text, scan.label_of(n), a.get("type") or "", "disabled" in a, not n.hidden
-
-
-def field_rows(scan: PageScan) -> Iterator[tuple]:
-    for k, n in enumerate(scan.fields):
-        a, form = n.attrs, scan.forms[n.form]
-        kind = a.get("type") or n.tag
-        options = [(o.text(), o.attrs.get("value"), on) for o, on in scan.options.get(n.order, ())]
-        picked = next((o for o in options if o[2]), options[0] if options else None)
-        value = n.text() if n.tag == "textarea" else (picked[0] if picked[1] is None else picked[1]) if picked else a.get("value") or ""
-        checkable = kind.lower() in {"checkbox", "radio"}
-        style = _style(a)
-        away = style.get("position") == "absolute" and any((_number(style.get(side)) or 0) < -9999 for side in ("left", "top"))
-        length = _number(a.get("maxlength")) or 0
-        yield form.get("id") or f"form-{n.form}", k, a.get("name") or "", a.get("id") or "", kind, scan.label_of(n), value, "required" in a, int(max(0, min(length, 2**31 - 1))), a.get("pattern") or "", [o[0] for o in options], "checked" in a if checkable else None, "checked" in a if checkable else bool(value), away or bool(TRAP.search(a.get("name") or a.get("id") or ""))
-
-
-def _rows(function, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(page, *row) for page, html in zip(batch["page_id"], batch["html"], strict=True) for row in function(scan_page(html))]
-            yield pd.DataFrame(rows, columns=names)
-
-    return run
-
-
-def _table(pages: DataFrame, function, schema: str) -> DataFrame:
-    schema = schema.format(dict(pages.dtypes)["page_id"])
-    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
-    return pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(_rows(function, names), schema)
+LABELLING = ("label", "span", "div", "p")
+TRAP = r"(?i)captcha|trap|bot|honeypot|cf-|wp-"
+#: Signs of challenges in markup and of payment in text, and how much of the text a page state holds.
+CHALLENGE = r"(?i)recaptcha|hcaptcha|turnstile|cf-challenge"
+PAYMENT = r"(?i)payment|card number|cvv|expiry|billing"
+STATE_TEXT = 5000
+
+
+def _text(n: Column, page: str = "page_text", begins: str = "begins", ends: str = "ends") -> Column:
+    return F.regexp_replace(F.substring(page, n[begins] + 1, n[ends] - n[begins]), r"^\s+|\s+\z", "")
+
+
+def _given(name: str) -> Column:
+    """A node's attribute; null if it is empty."""
+    return F.nullif(attribute(name), F.lit(""))
+
+
+def _pages(pages: DataFrame) -> DataFrame:
+    """parse_pages() with the labels of each page that name a field, and what they name."""
+    named = F.filter("nodes", lambda n: (n["tag"] == "label") & (F.element_at(n["attrs"], "for") != ""))
+    return parse_pages(pages).withColumn("labels", named).withColumn("named", F.transform("labels", lambda n: F.element_at(n["attrs"], "for")))
+
+
+def _label() -> Column:
+    """A node's label: the first label that names it, or the text of the one that encloses it but for fields' text, or of the element just before it, or its own attributes."""
+    node = lambda k: F.try_element_at("nodes", F.col(k) + 1)
+    at = F.coalesce(F.array_position("named", _given("id")), F.lit(0))
+    around = F.nullif(_text(node("label"), "bare_text", "bare_begins", "bare_ends"), F.lit(""))
+    before = F.when(F.col("prev").isNotNull() & node("prev")["tag"].isin(*LABELLING), _text(node("prev")))
+    return F.when(at > 0, _text(F.try_element_at("labels", at.cast("int")))).otherwise(F.coalesce(around, before, _given("aria-label"), _given("placeholder"), F.lit("")))
+
+
+def _role() -> Column:
+    kind, tag = F.lower(F.coalesce(attribute("type"), F.lit(""))), F.col("tag")
+    of_input = F.when(kind == "submit", "button").when(kind.isin("checkbox", "radio"), kind).otherwise("textbox")
+    return F.when(tag == "a", "link").when(tag == "button", "button").when(tag == "input", of_input).when(tag == "select", "combobox").when(tag == "textarea", "textbox").otherwise("generic")
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
-    """Interactive elements of each page in order, with role, text of at most 150 characters, label, and whether markup leaves them visible. Null pages have none."""
-    return _table(pages, element_rows, ELEMENTS)
+    """Interactive elements of each page in order: page_id, ord, id, tag, role, text of at most 150 characters, label, type, disabled, and whether markup leaves them visible.
 
+    Null pages have none. One shuffle, by page, in which nodes that aren't interactive are their numbers alone.
+    """
+    rows = _pages(pages).select("page_id", "page_text", "bare_text", "nodes", "labels", "named", F.inline("nodes"))
+    own = F.struct(F.col("begins"), F.col("ends"))
+    text = F.coalesce(_given("aria-label"), _given("title"), _given("placeholder"), F.left(_text(own), F.lit(150)))
+    found = F.struct(_given("id").alias("id"), "tag", F.coalesce(_given("role"), _role()).alias("role"), text.alias("text"), _label().alias("label"), F.coalesce(attribute("type"), F.lit("")).alias("type"), attribute("disabled").isNotNull().alias("disabled"))
+    rows = rows.select("page_id", "node", "last", unseen().alias("unseen"), F.when(interactive(), found).alias("e"))
+    page = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("visible", F.coalesce(F.max(F.when(F.col("unseen"), F.col("last"))).over(page) < F.col("node"), F.lit(True))).withColumn("ord", (F.count("e").over(page) - 1).cast("int"))
+    return rows.where("e is not null").select("page_id", "ord", F.coalesce("e.id", F.concat(F.lit("el-"), F.col("ord").cast("string"))).alias("id"), "e.tag", "e.role", "e.text", "e.label", "e.type", "e.disabled", "visible")
 
-def page_fields(pages: DataFrame) -> DataFrame:
-    """Inputs, selects and text areas of each page's forms, as operators.forms takes them; `trap` marks fields that people never see. Null pages have none."""
-    return _table(pages, field_rows, FIELDS)
 
+def page_fields(pages: DataFrame) -> DataFrame:
+    """Inputs, selects and text areas of each page's forms, as operators.forms takes them; `trap` marks fields that people never see.
+
+    A field belongs to the form that its `form` attribute names, or else to the one that encloses it; those of no form are left out. Null pages have none. Narrow: a page's nodes are one array.
+    """
+    rows = _pages(pages).withColumn("forms", F.filter("nodes", lambda n: n["tag"] == "form"))
+    rows = rows.withColumn("form_ids", F.transform("forms", lambda n: F.coalesce(F.element_at(n["attrs"], "id"), F.lit("")))).withColumn("form_nodes", F.transform("forms", lambda n: n["node"]))
+
+    def owner(n: Column) -> Column:
+        """Which form a field belongs to, counted from 1; 0 for none."""
+        named = F.element_at(n["attrs"], "form")
+        return F.coalesce(F.when(named != "", F.array_position("form_ids", named)).otherwise(F.array_position("form_nodes", n["form"])), F.lit(0))
+
+    fields = F.filter("nodes", lambda n: n["tag"].isin("input", "select", "textarea") & (owner(n) > 0))
+    rows = rows.select("page_id", "page_text", "bare_text", "nodes", "labels", "named", "form_ids", "form_nodes", F.posexplode(fields).alias("ord", "f"))
+    rows = rows.withColumn("at", owner(F.col("f")).cast("int")).select("*", "f.*")
+    options = F.filter(F.slice("nodes", F.col("node") + 2, F.col("last") - F.col("node")), lambda n: n["tag"] == "option")
+    options = F.transform(options, lambda n: F.struct(_text(n).alias("text"), F.element_at(n["attrs"], "value").alias("value"), F.element_at(n["attrs"], "selected").isNotNull().alias("on")))
+    rows = rows.withColumn("opts", options)
+    picked = F.coalesce(F.try_element_at(F.filter("opts", lambda o: o["on"]), F.lit(1)), F.try_element_at("opts", F.lit(1)))
+    value = F.when(F.col("tag") == "textarea", _text(F.col("f"))).when(F.col("tag") == "select", F.coalesce(picked["value"], picked["text"])).otherwise(attribute("value"))
+    kind = F.coalesce(_given("type"), F.col("tag"))
+    checkable, checked = F.lower(kind).isin("checkbox", "radio"), attribute("checked").isNotNull()
+    far = lambda side: F.coalesce(number_of(style_of(side)) < -9999, F.lit(False))
+    away = (style_of("position") == "absolute") & (far("left") | far("top"))
+    length = F.coalesce(number_of(attribute("maxlength")), F.lit(0.0))
+    rows = rows.withColumn("value", F.coalesce(value, F.lit("")))
+    return rows.select(
+        "page_id", F.coalesce(F.nullif(F.element_at("form_ids", F.col("at")), F.lit("")), F.concat(F.lit("form-"), (F.col("at") - 1).cast("string"))).alias("form_id"), "ord", F.coalesce(attribute("name"), F.lit("")).alias("name"), F.coalesce(attribute("id"), F.lit("")).alias("id"),
+        kind.alias("type"), _label().alias("label"), "value", attribute("required").isNotNull().alias("required"), F.greatest(F.lit(0.0), F.least(length, F.lit(2.0**31 - 1))).cast("int").alias("max_length"), F.coalesce(attribute("pattern"), F.lit("")).alias("pattern"),
+        F.transform("opts", lambda o: o["text"]).alias("options"), F.when(checkable, checked).alias("checked"), F.when(checkable, checked).otherwise(F.col("value") != "").alias("filled"), (away | F.coalesce(_given("name"), _given("id"), F.lit("")).rlike(TRAP)).alias("trap"),
+    )
+
+
+def page_states(pages: DataFrame) -> DataFrame:
+    """A row per page: url, text (its first 5,000 characters), numbers of forms, elements and interactive elements, and signs of challenges, traps, uploads and payments. Null pages have zeros. Narrow."""
+    # the parse keeps an id and what it makes, so other columns of the page are a part of the id
+    rows = parse_pages(pages.select(F.struct("page_id", "url", "html").alias("of"), "html"), id_col="of")
+    a = lambda n, name: F.element_at(n["attrs"], name)
+    usable = lambda n: ((n["tag"] == "a") & a(n, "href").isNotNull()) | n["tag"].isin("button", "input", "select", "textarea") | a(n, "tabindex").isNotNull() | F.coalesce(a(n, "role"), F.lit("")).isin("button", "link", "tab", "checkbox", "radio", "switch", "combobox") | (F.coalesce(a(n, "contenteditable"), F.lit("")) == "true")
+    trap = lambda n: n["tag"].isin("input", "textarea") & F.coalesce(F.nullif(a(n, "name"), F.lit("")), a(n, "id"), F.lit("")).rlike(TRAP)
+    return rows.select(
+        "page_id.page_id", "page_id.url", F.left("page_text", F.lit(STATE_TEXT)).alias("text"), F.size(F.filter("nodes", lambda n: n["tag"] == "form")).alias("form_count"), F.size("nodes").alias("total_elements"), F.size(F.filter("nodes", usable)).alias("interactive_elements"),
+        F.coalesce(F.col("page_id.html").rlike(CHALLENGE), F.lit(False)).alias("has_captcha"), F.exists("nodes", trap).alias("has_honeypot"), F.coalesce(F.startswith("page_id.url", F.lit("https:")), F.lit(False)).alias("is_secure"),
+        F.exists("nodes", lambda n: (n["tag"] == "input") & (F.coalesce(a(n, "type"), F.lit("")) == "file")).alias("has_file_upload"), F.col("page_text").rlike(PAYMENT).alias("has_payment_form"),
+    )
