@@ -5,14 +5,13 @@ Field tables have page_id, form_id, ord, name, id, type, label, value, required,
 
 from __future__ import annotations
 
-import re
-from functools import cache, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
+from privlake.functions.patterns import to_jvm
 from privlake.functions.text import B, is_placeholder, normal_key
 
 #: Input types that hold no data of their own, and those that are controls.
@@ -93,34 +92,69 @@ def shown_name() -> Column:
     return F.coalesce(F.nullif(F.col("label"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.col("id"))
 
 
-@F.pandas_udf(BooleanType())
-def _searched(values: pd.Series, patterns: pd.Series) -> pd.Series:
-    """Whether each value has its page's pattern somewhere; true where that can't be told. The JVM's regexp_like would end the job at the first pattern that doesn't compile."""
+#: A longer value is not searched for a page's pattern, so that no search takes long.
+MOST_SEARCHED = 1000
+#: What is said of a value that its kind's pattern refuses, and what is advised.
+ADVICE = {
+    "aadhaar": ("Aadhaar must be exactly 12 digits", "Remove spaces and dashes"),
+    "pan": ("PAN must be ABCDE1234F format", "5 letters + 4 digits + 1 letter"),
+    "pin": ("PIN code must be exactly 6 digits", "Check your area PIN code"),
+    "phone": ("Invalid Indian phone number", "Start with 6-9, total 10 digits"),
+    "mobile": ("Invalid mobile number", "Start with 6-9, total 10 digits"),
+    "email": ("Invalid email format", "user@example.com"),
+    "ifsc": ("IFSC must be 11 characters", "First 4 letters + 0 + 6 alphanumeric"),
+    "account": ("Account number must be 9-18 digits", "Check your bank passbook"),
+    "gst": ("Invalid GST format", "2 digits + 5 letters + 4 digits + 1 letter + Z + 1 char"),
+    "date": ("Date must be DD/MM/YYYY", "Use format: 01/01/2000"),
+    "pincode": ("PIN code must be 6 digits", "Check your area PIN code"),
+}
 
-    @cache
-    def compiled(pattern: str) -> re.Pattern | None:
-        try:
-            return re.compile(pattern)
-        except (re.error, OverflowError, RecursionError):
-            return None
 
-    return pd.Series([p is None or p.search(v) is not None for v, p in zip(values, map(compiled, patterns), strict=True)])
+def page_patterns(fields: DataFrame) -> DataFrame:
+    """Rows (pattern, _jvm): the distinct patterns of pages that can be searched for, each judged once: put for the JVM by to_jvm(), and compiled by it."""
 
+    @F.pandas_udf("string")
+    def put(patterns: pd.Series) -> pd.Series:
+        return patterns.map(to_jvm, na_action="ignore").astype(object)
 
-def validate_fields(fields: DataFrame) -> DataFrame:
-    """A row per field with field_name, valid, rule and risk: required, optional, maxLength, pattern, then the rule of its kind.
+    found = fields.where("pattern <> ''").select("pattern").distinct().withColumn("_jvm", put("pattern"))
+    return found.where(F.expr("try_reflect('java.util.regex.Pattern', 'compile', _jvm)").isNotNull())
 
-    The pattern is searched for anywhere in the value. A page's own pattern that is no regular expression is left out, as is one whose search fails.
-    """
-    kind = F.lower(F.concat_ws(" ", _text("name"), _text("label")))
+
+def _validated(fields: DataFrame) -> DataFrame:
+    kind = F.lower(F.concat_ws(" ", _text("name"), _text("label"), _text("placeholder") if "placeholder" in fields.columns else F.lit("")))
     category = F.coalesce(*(F.when(kind.rlike(p), c) for c, p in VALUE_KINDS), _text("type"))
     value, empty = _text("value"), F.trim(_text("value")) == ""
     matches = reduce(lambda a, kv: a.when(F.col("category") == kv[0], value.rlike(kv[1])), VALUE_PATTERNS.items(), F.when(F.lit(False), F.lit(None).cast("boolean")))
-    rule = F.when(F.col("required") & empty, "required").when(empty, "optional").when((F.col("max_length") > 0) & (F.length(value) > F.col("max_length")), "maxLength").when((_text("pattern") != "") & ~_searched(value, _text("pattern")), "pattern").when(F.col("fits").isNull(), "none").otherwise(F.col("category"))
+    fields = fields.join(page_patterns(fields).withColumnRenamed("pattern", "_of"), F.col("pattern") == F.col("_of"), "left").drop("_of")
+    other = F.col("_jvm").isNotNull() & (F.length(value) <= MOST_SEARCHED) & ~F.when(F.length(value) <= MOST_SEARCHED, F.regexp_like(value, F.col("_jvm")))
+    rule = F.when(F.col("required") & empty, "required").when(empty, "optional").when((F.col("max_length") > 0) & (F.length(value) > F.col("max_length")), "maxLength").when(other, "pattern").when(F.col("fits").isNull(), "none").otherwise(F.col("category"))
     out = fields.withColumn("category", category).withColumn("fits", matches).withColumn("rule", rule)
     valid = F.col("rule").isin("optional", "none") | (~F.col("rule").isin("required", "maxLength", "pattern") & F.coalesce("fits", F.lit(False)))
-    out = out.withColumn("valid", valid)
-    return out.select("page_id", "form_id", "ord", shown_name().alias("field_name"), "rule", "valid", F.when(F.col("valid"), "low").when(F.col("rule") == "pattern", "medium").otherwise("high").alias("risk"))
+    return out.withColumn("valid", valid)
+
+
+def validate_fields(fields: DataFrame) -> DataFrame:
+    """A row per field with field_name, valid, rule and risk: required, optional, maxLength, pattern, then the rule of its kind.
+
+    A page's own pattern is JavaScript's and is searched for anywhere in the value. One that is no regular expression, or whose search could take for ever, is left out (see functions.patterns), and so are
+    values of over MOST_SEARCHED characters. Distinct patterns are judged once and joined back; the search itself runs in the JVM. A kind is told by name, label and, if there is such a column, placeholder.
+    """
+    return _validated(fields).select("page_id", "form_id", "ord", shown_name().alias("field_name"), "rule", "valid", F.when(F.col("valid"), "low").when(F.col("rule") == "pattern", "medium").otherwise("high").alias("risk"))
+
+
+def explain_fields(fields: DataFrame) -> DataFrame:
+    """validate_fields() with what is said of each value: message, suggestion (null without one) and issue (what keeps the form from being sent, null for valid fields)."""
+    rows, length = _validated(fields), F.length(_text("value"))
+    said = lambda k: reduce(lambda a, kv: a.when(F.col("rule") == kv[0], kv[1][k]), ADVICE.items(), F.when(F.lit(False), ""))
+    over = F.concat(F.lit("Maximum "), F.col("max_length").cast("string"), F.lit(" characters (currently "), length.cast("string"), F.lit(")"))
+    trim = F.concat(F.lit("Trim "), (length - F.col("max_length")).cast("string"), F.lit(" characters"))
+    own = {"required": F.lit("This field is required"), "optional": F.lit("Optional field, empty is OK"), "maxLength": over, "pattern": F.lit("Value doesn't match required format"), "none": F.lit("No validation rules for this field")}
+    message = reduce(lambda a, kv: a.when(F.col("rule") == kv[0], kv[1]), own.items(), F.when(F.lit(False), "")).when(F.col("valid"), F.concat(F.lit("Valid "), "rule", F.lit(" format"))).otherwise(said(0))
+    advice = F.when(F.col("rule") == "maxLength", trim).when(F.col("rule") == "pattern", F.col("pattern")).when(~F.col("valid"), said(1))
+    told = F.when(F.col("rule") == "required", "required but empty").when(F.col("rule") == "maxLength", "too long").when(F.col("rule") == "pattern", "format mismatch").otherwise(F.col("message"))
+    rows = rows.withColumn("message", message).withColumn("suggestion", advice)
+    return rows.select("page_id", "form_id", "ord", shown_name().alias("field_name"), "rule", "valid", "message", "suggestion", F.when(~F.col("valid"), F.concat(shown_name(), F.lit(": "), told)).alias("issue"))
 
 
 def summarise_validation(validated: DataFrame) -> DataFrame:

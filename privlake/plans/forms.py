@@ -45,6 +45,18 @@ _PLACEHOLDER = r"(trim({0}) = '' OR regexp_matches(lower(trim({0})), '^(--.*--|-
 _CONTROL = ", ".join(f"'{x}'" for x in f.CONTROL_TYPES)
 
 
+_SAID = "CASE rule " + " ".join(f"WHEN '{c}' THEN '{m}'" for c, (m, _) in f.ADVICE.items()) + " END"
+_ADVISED = "CASE rule " + " ".join(f"WHEN '{c}' THEN '{a}'" for c, (_, a) in f.ADVICE.items()) + " END"
+
+
+@query(_VALIDATED + f""", m AS (SELECT w.*, ff.max_length AS most, length(ff.value) AS n, ff.pattern, CASE WHEN rule = 'required' THEN 'This field is required' WHEN rule = 'optional' THEN 'Optional field, empty is OK' WHEN rule = 'maxLength' THEN concat('Maximum ', ff.max_length, ' characters (currently ', length(ff.value), ')') WHEN rule = 'pattern' THEN 'Value doesn''t match required format'
+ WHEN rule = 'none' THEN 'No validation rules for this field' WHEN valid THEN concat('Valid ', rule, ' format') ELSE {_SAID} END AS message FROM w JOIN ff USING (page_id, form_id, ord))
+SELECT page_id, form_id, ord, field_name, rule, valid, message, CASE WHEN rule = 'maxLength' THEN concat('Trim ', n - most, ' characters') WHEN rule = 'pattern' THEN pattern WHEN NOT valid THEN {_ADVISED} END AS suggestion,
+ CASE WHEN NOT valid THEN concat(field_name, ': ', CASE rule WHEN 'required' THEN 'required but empty' WHEN 'maxLength' THEN 'too long' WHEN 'pattern' THEN 'format mismatch' ELSE message END) END AS issue FROM m""")
+def validation_messages(spark, sf_dir):
+    return f.explain_fields(form_fields(spark, sf_dir))
+
+
 @query(f"""WITH ff AS ({FORM_FIELDS}), ud AS ({USER_DATA}), k AS (SELECT DISTINCT page_id, regexp_replace(lower(key), '[^a-z0-9]', '', 'g') AS key FROM ud WHERE value <> ''),
 o AS (SELECT *, {_SELECTOR} AS selector FROM ff WHERE required AND type NOT IN ({_CONTROL}) AND (value = '' OR (type = 'select' AND {_PLACEHOLDER.format('value')})))
 SELECT page_id, form_id, ord, CASE WHEN label <> '' THEN label WHEN name <> '' THEN name ELSE id END AS label, selector,

@@ -123,3 +123,46 @@ def test_data_source(spark):
     rows = spark.createDataFrame([("Given Name", "", ""), ("Field 1", "email", ""), ("nothing", "", "")], "l string, n string, i string")
     got = [r[0] for r in rows.select(intents.data_source(F.col("l"), F.col("n"), F.col("i"))).collect()]
     assert [(g.source, g.confidence) if g else None for g in got] == [("firstName", 0.95), ("email", 0.85), None]
+
+
+PATTERNS = [
+    # pattern, values that it takes, values that it refuses; None: the pattern is left out
+    (r"^(?<y>\d{4})$", ["2024"], ["abcd", "2024\n"]),
+    (r"[a-z]+(\.[a-z]+)*@x$", ["a.b@x"], ["a.b@xy"]),
+    (r"^(\d+-)*\d$", ["12-3-4"], ["12--4"]),
+    (r"a{2", ["xa{2"], ["aa"]),
+    (r"^[[]x]$", ["[x]"], ["x]"]),
+    (r"^[^]$", ["\n"], [""]),
+    (r"^\p{L}$", ["p{L}"], ["a"]),
+    (r"^.$", ["\x85"], ["\u2028"]),
+    (r"^\s\S$", ["\ufeffa"], ["ab"]),
+    (r"\bcat\b", ["a cat!"], ["cats"]),
+    (r"^(a)(?<b_1>b)\k<b_1>\1$", ["abba"], ["abab"]),
+    (r"^[a-z&&[b]]$", ["&]", "[]"], ["b"]),
+    (r"^\u0041\x42\cJ$", ["AB\n"], ["ABJ"]),
+    ("^(a+)+$", None, None), ("(?i)a", None, None), ("a++", None, None), ("(", None, None), ("*a", None, None), ("[z-a]", None, None), ("\\", None, None), (r"(a)\2", None, None), ("^(?:(a*)+b)*$", None, None), ("^(a|a?)+$", ["aaa"], ["a" * 40 + "!"]), ("(?<n>a)(?<n>b)", None, None),
+]
+
+
+def test_patterns_of_pages(spark):
+    rows, want = [], {}
+    for k, (pattern, good, bad) in enumerate(PATTERNS):
+        for n, (value, fits) in enumerate([(v, True) for v in good or ["a" * 40 + "!"]] + [(v, False) for v in bad or [] if v]):
+            rows.append(field("Code", value=value, pattern=pattern, ord=n, page=k))
+            want[k, n] = "none" if fits else "pattern"
+    rows.append(field("Code", value="b" * 1001, pattern="^a$", page=99))
+    got = {(r.page_id, r.ord): r.rule for r in forms.validate_fields(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got.pop((99, 0)) == "none"
+    assert got == want
+
+
+def test_messages(spark):
+    rows = [field("PIN code", value="12", ord=0), field("Pan card", value="ABCPE1234F", ord=1), field("Code", value="abc", max_length=2, ord=2), field("Code", value="x", pattern="^[0-9]$", ord=3), field("Code", required=True, ord=4), field("", name="n", ord=5), field("x", value="v", ord=6)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r.ord: (r.valid, r.message, r.suggestion, r.issue) for r in forms.explain_fields(frame).collect()}
+    assert got[0] == (False, "PIN code must be 6 digits", "Check your area PIN code", "PIN code: PIN code must be 6 digits")
+    assert got[1] == (True, "Valid pan format", None, None) and got[6] == (True, "No validation rules for this field", None, None)
+    assert got[2] == (False, "Maximum 2 characters (currently 3)", "Trim 1 characters", "Code: too long")
+    assert got[3][2:] == ("^[0-9]$", "Code: format mismatch") and got[4][3] == "Code: required but empty" and got[5][:2] == (True, "Optional field, empty is OK")
+    placed = frame.where("ord = 6").withColumn("placeholder", F.lit("your e-mail"))
+    assert [r.rule for r in forms.validate_fields(placed).collect()] == ["email"] and forms.explain_fields(frame.limit(0)).count() == 0
