@@ -117,10 +117,15 @@ def all_regions(*sources: DataFrame, threshold: float = 0.5) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources).where(F.col("confidence") >= threshold)
 
 
+def _values() -> Column:
+    """The values of a page's regions in the order in which they were found, each once."""
+    found = F.collect_list(F.when(F.col("text_value") != "", F.struct(*_PLACE, "text_value")))
+    return F.array_distinct(F.transform(F.sort_array(found), lambda x: x["text_value"]))
+
+
 def _known(regions: DataFrame) -> DataFrame:
     """Per page: the values that were found, in order, each once."""
-    values = regions.where("text_value <> ''").groupBy("page_id", "text_value").agg(F.min(F.struct(*_PLACE)).alias("at"))
-    return values.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("at", "text_value"))).getField("text_value").alias("values"))
+    return regions.groupBy("page_id").agg(_values().alias("values"))
 
 
 def _scrubbed(text: Column) -> Column:
@@ -142,9 +147,9 @@ def sanitised_elements(elements: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def sanitised_pages(texts: DataFrame, regions: DataFrame) -> DataFrame:
-    """Page texts, scrubbed, with the number of regions and their categories."""
-    facts = regions.groupBy("page_id").agg(F.count("*").alias("total"), F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_set("strategy")).alias("strategies"))
-    return texts.join(_known(regions), "page_id", "left").join(facts, "page_id", "left").select("page_id", _scrubbed(F.col("text")).alias("text"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce(F.array_join("categories", ","), F.lit("")).alias("categories"), F.coalesce(F.array_join("strategies", ","), F.lit("")).alias("strategies"))
+    """Page texts, scrubbed, with the number of regions and their categories: regions are aggregated once."""
+    facts = regions.groupBy("page_id").agg(_values().alias("values"), F.count("*").alias("total"), F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_set("strategy")).alias("strategies"))
+    return texts.join(facts, "page_id", "left").select("page_id", _scrubbed(F.col("text")).alias("text"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce(F.array_join("categories", ","), F.lit("")).alias("categories"), F.coalesce(F.array_join("strategies", ","), F.lit("")).alias("strategies"))
 
 
 def review_fields(fields: DataFrame, regions: DataFrame) -> DataFrame:
