@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from privlake.plans import detector, forms, ledger, pages, planning, reports, runs, spatial, stores, text, untrusted
+from privlake.plans import detector, forms, geometry, ledger, pages, planning, reports, runs, spatial, stores, text, untrusted
 from privlake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "detector", "flagship", "forms", "ledger", "pages", "planning", "reports", "runs", "spatial", "stores", "text", "untrusted"]
+__all__ = ["ORACLES", "QUERIES", "detector", "flagship", "forms", "geometry", "ledger", "pages", "planning", "reports", "runs", "spatial", "stores", "text", "untrusted"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
