@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import functools
 import shutil
 import tempfile
@@ -38,15 +40,52 @@ def _own_folder() -> str:
 
 #: Makes Spark delete the shuffle files of a query that has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders that durable() wrote, in the innermost scratch() block of this thread; those outside of any go at the end of the process.
+_tables: contextvars.ContextVar[list[str]] = contextvars.ContextVar("tables")
+_until_exit: list[str] = []
 
 
-def durable(df: DataFrame) -> DataFrame:
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@functools.cache
+def _at_exit(spark: SparkSession) -> None:
+    def clear():
+        with contextlib.suppress(Exception):  # a JVM that has gone can't be asked any more
+            _delete(spark, _until_exit)
+
+    atexit.register(clear)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that operators wrote outside of scratch() blocks: what they returned can't be computed after that."""
+    _delete(spark, _until_exit)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that durable() writes in the block are deleted when it ends, however it ends; what operators return must be used or written inside. Blocks nest, and each thread has its own."""
+    folders: list[str] = []
+    token = _tables.set(folders)
+    try:
+        yield
+    finally:
+        _tables.reset(token)
+        _delete(spark, folders)
+
+
+def durable(df: DataFrame, outlive: bool = False) -> DataFrame:
     """`df` written to the shared folder and read again: what follows depends on no executor's memory or disk, and computes `df` once.
 
-    The shuffle files of the write go once it has ended.
+    The shuffle files of the write go once it has ended. The table goes with the scratch() block around the call, or at the end of the process; with `outlive`, with the latter.
     """
     spark = df.sparkSession
     path, before = f"{shared_folder(spark)}/privlake-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP)
+    _at_exit(spark)
+    (_until_exit if outlive else _tables.get(_until_exit)).append(path)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)

@@ -9,8 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from privlake.llm import audio, packing, toxicity
-from privlake.llm.common import components
+from privlake.llm import audio, common, packing, toxicity
+from privlake.llm.common import components, durable, release, scratch
 from privlake.llm.decontaminate import decontaminate
 from privlake.llm.html_text import extract_text, html_text
 from privlake.llm.langid import Settings, held_out, train_language_model
@@ -488,3 +488,28 @@ def test_ids_of_other_kinds(spark, kind):
     assert [r.n_removed > 0 for r in drop_repeated_bytes(docs).orderBy("doc_id").collect()] == [True, True, False]
     for out in (ngram_components(docs), packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False), audio.audio_columns(docs)):
         assert dict(out.dtypes)["doc_id"] == kind and out.select("doc_id").distinct().count() == 3
+
+
+def test_written_tables_go(spark, tmp_path, monkeypatch):
+    import threading
+
+    there = lambda: sum(1 for x in tmp_path.iterdir() if x.name.startswith("privlake-"))
+    release(spark)
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}")
+    with scratch(spark):
+        found = drop_repeated_units(frame(spark))
+        assert there() and found.count() == len(ROWS)
+        kept = durable(frame(spark), outlive=True)
+        other = threading.Thread(target=lambda: durable(spark.range(3)))
+        other.start()
+        other.join()
+        with scratch(spark):
+            durable(spark.range(1))
+            before = there()
+        assert there() == before - 1
+    assert there() == 2 and kept.count() == len(ROWS)
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        durable(spark.range(1)).count() / 0
+    assert there() == 2
+    release(spark)
+    assert there() == 0
