@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privlake.llm.common import durable
+from privlake.llm.common import durable, scratch
 from privlake.llm.decontaminate import decontaminate
 from privlake.llm.langid import UNKNOWN, held_out, train_language_model
 from privlake.llm.line_templates import drop_recurring_lines
@@ -83,10 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents; each stage's rows are written to the shared folder and read by the next."""
+    """Applies all stages to documents; each stage's rows are written to the shared folder and read by the next. What a stage wrote for itself goes once its rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = durable(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs = durable(stage(spark, docs, sf_dir), outlive=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
