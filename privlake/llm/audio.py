@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -142,10 +143,10 @@ def _encode(s: Settings, id_type: pa.DataType):
                     x = resample((samples.astype(np.float64) - 128) / 128, s.rate // divisor, s.stored_rate // divisor)
                     mel, energy = log_mel(x, s)
                     found = [{"start": p * s.hop / s.rate, "end": ((q - 1) * s.hop + s.frame) / s.rate} for p, q in segments(energy, s)]
-                    rows.append((n, media, len(mel), [float(v) for v in np.round(mel.mean(axis=0), 2)], found, _tensors(mel, s)))
+                    rows.append((n, media, len(mel), [float(v) for v in np.round(mel.mean(axis=0), 2)], found, _tensors(mel, s), zlib.crc32(mel.astype("<f4").tobytes())))
                 columns = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.float64()), span, pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("_doc").cast(id_type), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["_doc", "n_bytes", "media", "frames", "mean_log_mel", "segments", "tensors"])
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.float64()), span, pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("_doc").cast(id_type), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["_doc", "n_bytes", "media", "frames", "mean_log_mel", "segments", "tensors", "mel_crc32"])
 
     return run
 
@@ -157,11 +158,11 @@ def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     resampled by a polyphase filter, cut into overlapping frames and brought to log-mel energies. Frames' energies are cut into segments by two
     thresholds. The log-mel energies are stored as Arrow fixed-shape tensors of `chunk` frames, each with its time span; see read_tensors().
 
-    Result, a row per input row: `id_col`, n_bytes, media (the file), frames, mean_log_mel, segments (array of start, end in seconds), tensors.
+    Result, a row per input row: `id_col`, n_bytes, media (the file), frames, mean_log_mel, segments (array of start, end in seconds), tensors, mel_crc32 (of the energies as little-endian 32-bit floats, frame by frame, whatever stores them).
     Null text is empty: 64 zero samples. Equal texts give equal values; repeated rows stay. Other columns are not looked at. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     id_type = arrow_type(docs, id_col)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    schema = f"_doc {kind}, n_bytes long, media binary, frames long, mean_log_mel array<double>, segments array<struct<start: double, end: double>>, tensors binary"
+    schema = f"_doc {kind}, n_bytes long, media binary, frames long, mean_log_mel array<double>, segments array<struct<start: double, end: double>>, tensors binary, mel_crc32 long"
     return texts.mapInArrow(_encode(settings, id_type), schema).withColumnRenamed("_doc", id_col)

@@ -57,7 +57,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as 8-bit audio; digests of the stored file, of the samples read back from it, and of its features."""
     out = audio_columns(_table(spark, sf_dir, "documents")).withColumn("payload", F.expr(f"substring(media, {HEADER + 1})"))
     spans = F.array_join(F.transform("segments", lambda x: F.concat_ws("-", F.format_number(x["start"], 2), F.format_number(x["end"], 2))), " ")
-    feature = F.concat_ws("|", "frames", F.array_join(F.transform("mean_log_mel", lambda x: F.format_number(x, 2)), " "), F.size("segments"), F.crc32(F.encode(spans, "UTF-8")), F.crc32("tensors"))
+    feature = F.concat_ws("|", "frames", F.array_join(F.transform("mean_log_mel", lambda x: F.format_number(x, 2)), " "), F.size("segments"), F.crc32(F.encode(spans, "UTF-8")), "mel_crc32")
     return out.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 
 

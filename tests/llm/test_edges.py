@@ -513,3 +513,38 @@ def test_written_tables_go(spark, tmp_path, monkeypatch):
     assert there() == 2
     release(spark)
     assert there() == 0
+
+
+def test_audio_features_by_brute_force():
+    s, r = audio.Settings(), np.random.default_rng(7)
+    divisor = int(np.gcd(s.rate, s.stored_rate))
+    for n in (1, 64, 1000, 4999):
+        x = r.uniform(-1, 1, n)
+        for up, down in ((s.rate // divisor, s.stored_rate // divisor), (3, 2), (2, 5), (1, 1)):
+            h, stuffed = audio._filter(up, down), np.zeros(n * up)
+            stuffed[::up] = x
+            whole = np.convolve(stuffed, h)
+            want = [whole[len(h) // 2 + m * down] for m in range(-(-n * up // down))]
+            assert np.allclose(audio.resample(x, up, down), want, atol=1e-9)
+        mel, energy = audio.log_mel(x, s)
+        padded = np.concatenate([x, np.zeros(max(0, s.frame - n))])
+        assert len(mel) == max(1, 1 + (n - s.frame) // s.hop)
+        for k in (0, len(mel) // 2, len(mel) - 1):
+            frame = padded[k * s.hop : k * s.hop + s.frame] * np.hanning(s.frame)
+            bins, power = np.arange(s.fft // 2 + 1), []
+            for b in bins:
+                angle = -2 * np.pi * b * np.arange(s.frame) / s.fft
+                power.append(np.sum(frame * np.cos(angle)) ** 2 + np.sum(frame * np.sin(angle)) ** 2)
+            assert np.allclose(mel[k], np.log(np.array(power) @ audio._mel(s) + 1e-6), atol=2e-3)
+            assert abs(energy[k] - 10 * np.log10(np.mean(frame**2) + 1e-9)) < 1e-6
+    for _ in range(50):
+        energy = np.cumsum(r.normal(0, 4, 80))
+        found, run, middle = [], [], np.median(energy)
+        for k, e in enumerate([*energy, -np.inf]):
+            if e > middle + s.low_db:
+                run.append((k, e))
+            else:
+                if any(e > middle + s.high_db for _, e in run):
+                    found.append((run[0][0], k))
+                run = []
+        assert audio.segments(energy, s) == found
