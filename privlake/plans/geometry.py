@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from privlake.operators import geometry as g
+from privlake.operators import pixels
 from privlake.plans.registry import query
 from privlake.sources.tables import BOXES, derived
 
@@ -57,3 +58,21 @@ def quad_means(spark, sf_dir):
 def painted_boxes(spark, sf_dir):
     found = g.text_boxes(_painted(spark, sf_dir), WIDTH, HEIGHT, WIDTH * CELL, HEIGHT * CELL)
     return found.select("page_id", "box", F.round("score", 6).alias("score"), *(F.col("quad")[k][c].alias(f"{c}{k}") for k in range(4) for c in "xy"))
+
+
+#: What is redacted on each page's grid: a blur of one pass, a pixelation beside it, and in every third page a black box over parts of both.
+REGIONS = f"SELECT page_id, k AS ord, CASE k WHEN 0 THEN 'blur' WHEN 1 THEN 'pixelate' ELSE 'black_box' END AS strategy, CAST(CASE k WHEN 0 THEN 3 WHEN 1 THEN 21 ELSE 10 END AS DOUBLE) AS x, CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 6 END AS DOUBLE) AS y, CAST(CASE k WHEN 0 THEN 18 ELSE 19 END AS DOUBLE) AS w, CAST(CASE k WHEN 2 THEN 2 ELSE 11 END AS DOUBLE) AS h FROM (SELECT DISTINCT page_id FROM ({BOXES}) b0) p CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE k < 2 OR page_id % 3 = 0"
+
+
+@query(f"""WITH b AS ({BOXES}), cells AS (SELECT page_id, cx, cy FROM (SELECT DISTINCT page_id FROM b), range({WIDTH}) AS r1(cx), range({HEIGHT}) AS r2(cy)),
+v AS (SELECT cells.page_id, cx, cy, coalesce(max(round(confidence * 255)), 0) AS v FROM cells LEFT JOIN b ON b.page_id = cells.page_id AND cx * {CELL} + {CELL / 2} BETWEEN x AND x + w AND cy * {CELL} + {CELL / 2} BETWEEN y AND y + h GROUP BY ALL),
+s AS (SELECT page_id, cx, cy, v, CASE WHEN cx BETWEEN 3 AND 20 AND cy BETWEEN 2 AND 12 THEN 1 WHEN cx BETWEEN 21 AND 39 AND cy BETWEEN 1 AND 11 THEN 2 ELSE 0 END AS k, CASE WHEN cx >= 21 THEN (cx - 21) // 8 * 10 + (cy - 1) // 8 END AS block FROM v),
+row_ AS (SELECT *, sum(v) OVER (PARTITION BY page_id, k, cy ORDER BY cx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS sx, count(*) OVER (PARTITION BY page_id, k, cy ORDER BY cx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS nx FROM s),
+both_ AS (SELECT *, sum(sx) OVER o / sum(nx) OVER o AS blurred, avg(v) OVER (PARTITION BY page_id, k, block) AS mean FROM row_ WINDOW o AS (PARTITION BY page_id, k, cx ORDER BY cy ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+r AS (SELECT page_id, cy * {WIDTH} + cx AS place, CASE WHEN page_id % 3 = 0 AND cx BETWEEN 10 AND 28 AND cy BETWEEN 6 AND 7 THEN 0 WHEN k = 1 THEN round_even(blurred, 0) WHEN k = 2 THEN floor(mean + 0.5) ELSE v END AS v FROM both_)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 3 ELSE 2 END AS redacted, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (place + 1)) AS BIGINT) AS weighted FROM r GROUP BY page_id""")
+def redacted_grids(spark, sf_dir):
+    grids = _painted(spark, sf_dir).withColumn("grid", F.transform("grid", lambda v: F.round(v * 255)))
+    out = pixels.redact_grids(grids, derived(spark, sf_dir, REGIONS, "lineitem"), WIDTH, HEIGHT, blur_passes=1)
+    whole = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v).cast("long")
+    return out.select("page_id", "redacted", whole("grid").alias("total"), whole(F.transform("grid", lambda v, k: v * (k + 1))).alias("weighted"))
