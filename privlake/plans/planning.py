@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from privlake.operators import intents, planning, redaction, spatial
 from privlake.plans.forms import _FOUND, _source_sql
 from privlake.plans.registry import query
+from privlake.plans.spatial import _IOU, _folded
 from privlake.sources.tables import BOXES, FORM_FIELDS, derived, form_fields, table
 
 _KEYS = ", ".join(f"('{s}')" for s in dict.fromkeys(s for s, _ in intents.DATA_SOURCES))
@@ -82,7 +83,18 @@ def step_times(spark, sf_dir):
     return redaction.step_times(table(spark, sf_dir, "events"), "user_id", "event_type", "value", ["ts", "event_id"], {"planning": "click", "execution": "purchase", "capture": "capture"})
 
 
-@query()
+_KINDS = ", ".join(f"'{k}'" for k in spatial.SOURCES)
+_SOURCED = BOXES.replace("CASE WHEN l_suppkey % 2 = 0 THEN 'dom' ELSE 'vision' END AS source", "0 AS none_")
+_FUSED = _folded(
+    f"list_position([{_KINDS}], source), ord",
+    f"n.source <> 'dom' AND CASE WHEN n.source = 'ocr' THEN a.source = 'dom' AND {_IOU} > 0.5 ELSE {_IOU} > 0.4 END",
+    source="CASE WHEN n.source = 'vit' THEN 'fused' ELSE a.source END",
+    confidence="least(1.0, CASE n.source WHEN 'ocr' THEN a.confidence + 0.05 WHEN 'vit' THEN greatest(a.confidence, n.confidence) + 0.1 ELSE a.confidence END)",
+    text="CASE WHEN n.source = 'ocr' THEN coalesce(nullif(a.text, ''), n.text) WHEN n.source = 'vit' AND length(n.text) > length(coalesce(a.text, '')) THEN n.text ELSE a.text END",
+).replace(f"b AS ({BOXES})", f"b AS (SELECT * REPLACE (CASE WHEN source = 'dom' THEN {spatial.DOM_CONFIDENCE} ELSE confidence END AS confidence) FROM (SELECT *, [{_KINDS}][ord % 4 + 1] AS source FROM ({_SOURCED}) b1) b2)")
+
+
+@query(f"SELECT page_id, ord, category, source, confidence, text FROM ({_FUSED}) fused_")
 def source_fusion(spark, sf_dir):
     kinds = F.element_at(F.array(*map(F.lit, spatial.SOURCES)), (F.col("ord") % 4 + 1).cast("int"))
     boxes = derived(spark, sf_dir, BOXES, "lineitem").withColumn("source", kinds)

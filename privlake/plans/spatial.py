@@ -18,17 +18,34 @@ def _out(rows):
     return rows.select("page_id", "ord", "category", "source", F.round("confidence", 6).alias("confidence"), "text")
 
 
-@query()
+_BOTH = "(greatest(0.0, least(a.x + a.w, n.x + n.w) - greatest(a.x, n.x)) * greatest(0.0, least(a.y + a.h, n.y + n.h) - greatest(a.y, n.y)))"
+_SMALLER = f"coalesce({_BOTH} / nullif(least(a.w * a.h, n.w * n.h), 0), 0)"
+_IOU = f"coalesce({_BOTH} / nullif(a.w * a.h + n.w * n.h - {_BOTH}, 0), 0)"
+_COLUMNS = ("category", "source", "x", "y", "w", "h", "confidence", "text", "ord")
+
+
+def _folded(order: str, meets: str, **new: str) -> str:
+    """SQL of a fold over a page's boxes: the next box n goes to the first kept box a that it meets, whose columns become `new`, or else is kept; the state is a list, a step a round of recursion."""
+    box = "{" + ", ".join(f"'{c}': {c}" for c in _COLUMNS) + "}"
+    changed = "{" + ", ".join(f"'{c}': {new.get(c, f'a.{c}')}" for c in _COLUMNS) + "}"
+    return f"""WITH RECURSIVE b AS ({BOXES}), p AS (SELECT page_id, list({box} ORDER BY {order}) AS boxes FROM b GROUP BY page_id),
+f AS (SELECT page_id, boxes, 1 AS i, boxes[1:1] AS kept FROM p
+ UNION ALL SELECT page_id, boxes, i + 1, CASE WHEN met IS NULL OR met = 0 THEN list_append(kept, n) ELSE list_transform(kept, lambda a, k: CASE WHEN k = met THEN {changed} ELSE a END) END
+ FROM (SELECT *, list_position(list_transform(kept, lambda a: {meets}), true) AS met FROM (SELECT *, boxes[i + 1] AS n FROM f WHERE i < len(boxes)) g) h)
+SELECT page_id, r.ord AS ord, r.category AS category, r.source AS source, round(r.confidence, 6) AS confidence, r.text AS text FROM (SELECT page_id, unnest(kept) AS r FROM f WHERE i = len(boxes)) o"""
+
+
+@query(_folded("ord", f"a.category = n.category AND {_SMALLER} > 0.3", source="'combined'", confidence="least(1.0, greatest(a.confidence, n.confidence) + 0.05)", text="CASE WHEN n.confidence > a.confidence THEN coalesce(nullif(n.text, ''), a.text) ELSE a.text END"))
 def region_merge(spark, sf_dir):
     return _out(s.merge_regions(_boxes(spark, sf_dir)))
 
 
-@query()
+@query(_folded("confidence DESC, ord", f"{_SMALLER} > 0.4"))
 def face_suppression(spark, sf_dir):
     return _out(s.suppress(_boxes(spark, sf_dir)))
 
 
-@query()
+@query(_folded("ord", f"{_IOU} > 0.5", confidence="greatest(a.confidence, n.confidence)", text="CASE WHEN n.confidence > a.confidence THEN n.text ELSE a.text END"))
 def text_block_dedupe(spark, sf_dir):
     return _out(s.dedupe_text_blocks(_boxes(spark, sf_dir)))
 
