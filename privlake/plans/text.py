@@ -146,7 +146,23 @@ def task_intents(spark, sf_dir):
     return tasks.select("task_id", intents.is_question(F.col("task")).alias("is_question"), intents.is_extraction(F.col("task")).alias("is_extraction"))
 
 
-@query()
+_PARTS = "[t]"
+for _sep in intents.SEPARATORS:
+    _PARTS = f"list_filter(flatten(list_transform({_PARTS}, lambda p: string_split_regex(p, '(?i){_sep}'))), lambda p: trim(p) <> '')"
+_ACTS, _READS, _VETO = (f"regexp_matches(lower({{0}}), '{p.replace(intents.B, chr(92) + 'b')}')" for p in (intents.ACTION_VERBS, intents.READ_VERBS, intents.EXTRACTION_VETO))
+_VERB = f"({_ACTS} OR {_READS})"
+
+
+@query(f"""WITH RECURSIVE tk AS ({_TASKS}), w AS (SELECT task_id, trim(coalesce(task, '')) AS t FROM tk), q AS (SELECT task_id, t, {_PARTS} AS parts FROM w WHERE t <> ''),
+g AS (SELECT task_id, k, string_split_regex(parts[k], '(?i) and ') AS pieces FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM q)),
+f AS (SELECT task_id, k, pieces, 1 AS i, CAST([] AS VARCHAR[]) AS done, pieces[1] AS now_ FROM g
+ UNION ALL SELECT task_id, k, pieces, i + 1, CASE WHEN cut THEN list_append(done, now_) ELSE done END, CASE WHEN cut THEN pieces[i + 1] ELSE concat(now_, ' and ', pieces[i + 1]) END
+ FROM (SELECT *, {_VERB.format('now_')} AND {_VERB.format("array_to_string(pieces[i + 1:], ' and ')")} AS cut FROM f WHERE i < len(pieces)) x),
+c AS (SELECT task_id, k, unnest(list_append(done, now_)) AS d, unnest(range(1, len(done) + 2)) AS n FROM f WHERE i = len(pieces)),
+d AS (SELECT task_id, k, n, trim(d) AS d FROM c WHERE trim(d) <> '' UNION ALL SELECT task_id, 0, 0, t FROM q WHERE task_id NOT IN (SELECT task_id FROM c WHERE trim(d) <> '')),
+e AS (SELECT *, CASE WHEN (NOT {_VETO.format('d')} AND ({_E.replace('contains(t,', 'contains(lower(d),')})) OR ({_READS.format('d')} AND NOT {_ACTS.format('d')}) THEN 'extract' ELSE 'action' END AS kind FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_id, kind ORDER BY k, n) AS of_kind FROM e)
+SELECT task_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY k, n) - 1 AS INT) AS ordinal, kind, d AS description FROM r WHERE kind <> 'extract' OR of_kind = 1""")
 def decompose_tasks(spark, sf_dir):
     tasks = derived(spark, sf_dir, _TASKS, "conversations")
     return tasks.select("task_id", F.posexplode(intents.decompose(F.col("task"))).alias("ordinal", "c")).select("task_id", "ordinal", "c.kind", "c.description")
