@@ -23,13 +23,13 @@ def answer(questions: DataFrame, fields: DataFrame, elements: DataFrame) -> Data
     """Questions (page_id, question) with text, confidence and needs_vision.
 
     The first that applies: where something is; files attached; what to fill; a field named by its label; completeness; sensitive data (fields with
-    categories); else unanswered. A page's fields and elements come to its questions as arrays; questions of pages without any are answered as of empty pages.
+    categories); else unanswered. A page's fields and elements come to its questions as arrays; questions of pages without any are answered as of empty pages. Elements may have an aria_label, which is searched for what a question names like their label and text.
     """
     per_field = fields.withColumn("sensitive", F.size(_categories()) > 0).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*_FIELD))).alias("f"), F.count_if("sensitive").alias("sensitive"))
-    per_element = elements.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*_ELEMENT))).alias("e"))
+    per_element = elements.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*_ELEMENT, (F.col("aria_label") if "aria_label" in elements.columns else F.lit("")).alias("aria")))).alias("e"))
     rows = questions.join(per_field, "page_id", "left").join(per_element, "page_id", "left").withColumn("q", F.lower(F.coalesce("question", F.lit(""))))
     none_f, none_e = F.expr("filter(f, x -> false)"), F.expr("filter(e, x -> false)")
-    rows = rows.withColumn("f", F.coalesce("f", none_f, F.array().cast("array<struct<ord: int, name: string, label: string, type: string, value: string, required: boolean>>"))).withColumn("e", F.coalesce("e", none_e, F.array().cast("array<struct<ord: int, tag: string, text: string, label: string, type: string, x: double, y: double, w: double, h: double>>")))
+    rows = rows.withColumn("f", F.coalesce("f", none_f, F.array().cast("array<struct<ord: int, name: string, label: string, type: string, value: string, required: boolean>>"))).withColumn("e", F.coalesce("e", none_e, F.array().cast("array<struct<ord: int, tag: string, text: string, label: string, type: string, x: double, y: double, w: double, h: double, aria: string>>")))
     q = F.col("q")
     say = lambda text, confidence, vision=False: F.struct(text.alias("text"), F.lit(confidence).alias("confidence"), F.lit(vision).alias("needs_vision"))
     of_type = lambda x: F.lower(F.coalesce(x["type"], F.lit("")))
@@ -38,7 +38,7 @@ def answer(questions: DataFrame, fields: DataFrame, elements: DataFrame) -> Data
     bare = lambda x: F.trim(F.regexp_replace(x, r"\s*\*\z", ""))
 
     words = F.filter(F.split(F.regexp_replace(q, r"[^a-z0-9\s]", " "), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*NOISE))
-    scored = F.transform("e", lambda x: F.struct((-F.size(F.filter(words, lambda w: F.contains(F.lower(F.concat_ws(" ", F.coalesce(x["label"], F.lit("")), F.coalesce(x["text"], F.lit("")), F.coalesce(x["type"], F.lit("")))), w)))).alias("s"), x["ord"].alias("ord"), x.alias("x")))
+    scored = F.transform("e", lambda x: F.struct((-F.size(F.filter(words, lambda w: F.contains(F.lower(F.concat_ws(" ", F.coalesce(x["label"], F.lit("")), F.coalesce(x["text"], F.lit("")), F.coalesce(x["aria"], F.lit("")), F.coalesce(x["type"], F.lit("")))), w)))).alias("s"), x["ord"].alias("ord"), x.alias("x")))
     best = F.get(F.sort_array(F.filter(scored, lambda t: t["s"] < 0)), F.lit(0))["x"]
     shown = F.left(F.trim(F.coalesce(F.nullif(best["label"], F.lit("")), F.nullif(best["text"], F.lit("")), best["tag"])), F.lit(60))
     where = F.when(_word(q, "where"), F.when(best.isNotNull(), say(F.concat(F.lit('"'), shown, F.lit('" is '), position_words(best["x"], best["y"], best["w"], best["h"]), F.lit(".")), 0.92)).otherwise(say(F.lit("I could not find anything on this page matching that."), 0.6, True)))

@@ -109,13 +109,13 @@ DATA_SOURCES = (
 )
 
 
-def data_source(label: Column, name: Column, id_: Column) -> Column:
+def data_source(label: Column, name: Column, id_: Column, placeholder: Column | None = None) -> Column:
     """Struct source, confidence of the saved value that a field wants, or null: the first pattern that finds it with 0.95, else the first with 0.85.
 
     A match has 0.85 if the first single word that fits the pattern is not part of the label, else 0.95.
     """
-    label, name, id_ = (F.coalesce(x, F.lit("")) for x in (label, name, id_))
-    context = F.lower(F.concat_ws(" ", label, name, id_, F.lit("")))
+    label, name, id_, placeholder = (F.coalesce(x, F.lit("")) for x in (label, name, id_, F.lit("") if placeholder is None else placeholder))
+    context = F.lower(F.concat_ws(" ", label, name, id_, placeholder))
     words = F.split(context, " ")
     sure, fair = [], []
     for source, patterns in DATA_SOURCES:

@@ -25,11 +25,11 @@ def _text(name: str) -> Column:
 def fill_plan(fields: DataFrame, saved: DataFrame) -> DataFrame:
     """Steps that fill the empty fields of each page: `select` where a value is one of the options, else `click` and `type`.
 
-    `saved` has page_id, key (a data source) and value. Result: page_id, step (from 0), ord (of the field), action, target, value, confidence, risk.
+    What a field wants is told by its label, name, id and, if there is such a column, placeholder. `saved` has page_id, key (a data source) and value. Result: page_id, step (from 0), ord (of the field), action, target, value, confidence, risk.
     A step that types into a field with a category has risk `high`.
     """
     open_ = fields.where(~F.lower(_text("type")).isin(*UNFILLED) & (F.trim(_text("value")) == ""))
-    source = intents.data_source(F.col("label"), F.col("name"), F.col("id"))
+    source = intents.data_source(F.col("label"), F.col("name"), F.col("id"), F.col("placeholder") if "placeholder" in fields.columns else None)
     rows = open_.withColumn("_s", source).where("_s is not null").select("page_id", "form_id", "ord", "name", "id", "type", "options", "_s.source", "_s.confidence", (F.size(field_categories()) > 0).alias("private"))
     known = saved.where(_text("value") != "").groupBy("page_id", F.col("key").alias("source")).agg(F.min("value").alias("saved"))
     rows = rows.join(known, ["page_id", "source"])

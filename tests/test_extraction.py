@@ -57,6 +57,7 @@ def test_answers(spark, question, fields, text, confidence):
 def test_where(spark):
     elements = [element(0, "a", "Help"), element(1, "button", "Submit Update Request", x=1200.0, y=800.0)]
     assert ask(spark, "where is the submit button", elements=elements)[0] == '"Submit Update Request" is near the bottom of the visible page, on the right.'
+    assert ask(spark, "where is the basket", elements=[*elements, element(2, "a", "View", aria="Shopping basket")])[0].startswith('"View" is')
     assert ask(spark, "where is my photo", elements=elements) == ("I could not find anything on this page matching that.", 0.6, True)
 
 

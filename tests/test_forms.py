@@ -123,6 +123,8 @@ def test_data_source(spark):
     rows = spark.createDataFrame([("Given Name", "", ""), ("Field 1", "email", ""), ("nothing", "", "")], "l string, n string, i string")
     got = [r[0] for r in rows.select(intents.data_source(F.col("l"), F.col("n"), F.col("i"))).collect()]
     assert [(g.source, g.confidence) if g else None for g in got] == [("firstName", 0.95), ("email", 0.85), None]
+    by_hint = rows.select(intents.data_source(F.col("l"), F.col("n"), F.col("i"), F.when(F.col("l") == "nothing", "your PIN code"))).collect()
+    assert by_hint[2][0].source == "pincode" and by_hint[0][0].source == "firstName"
 
 
 PATTERNS = [
