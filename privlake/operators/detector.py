@@ -34,6 +34,9 @@ CHECKED = (("aadhaar", 0.98), ("pan", 0.97), ("financial", 0.99), ("ifsc", 0.95)
 CHECKED_PATTERNS = {"aadhaar": r"\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}\b", "pan": r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "financial": r"\b[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}\b", "ifsc": r"\b[A-Z]{4}0[A-Z0-9]{6}\b", "phone": r"\b[0-9]{10}\b"}
 #: Categories that are blacked out; the others' text is masked.
 BLACK_BOX = ("password", "aadhaar", "pan", "bank_account", "financial", "medical")
+#: What every text with a match holds, for each of the patterns above: cheaper to look for, and absent from most texts.
+_TEXT_SIGNS = ("@", "@", "@", "[0-9][/-][0-9]", r"[0-9]\.[0-9]")
+_CHECKED_SIGNS = {"aadhaar": "[0-9]{4}", "pan": "[A-Z]{5}[0-9]{4}", "financial": "[0-9]{4}", "ifsc": "[A-Z]{4}0", "phone": "[0-9]{10}"}
 _PLACE = ("branch", "i", "k", "m")
 
 
@@ -46,6 +49,12 @@ def _pattern(p: str) -> Column:
     return F.lit(p.replace(r"\b", B))
 
 
+def _gated(sign: str, found: Column) -> Column:
+    """`found` where the text has the sign, else null."""
+    text = F.col("text")
+    return F.when(F.contains(text, F.lit(sign)) if len(sign) == 1 else text.rlike(sign), found)
+
+
 def _passing(category: str, found: Column) -> Column:
     check = {"aadhaar": v.verhoeff_valid, "pan": v.pan_valid, "financial": v.luhn_valid, "ifsc": v.ifsc_valid, "phone": v.phone_valid}[category]
     return F.filter(found, lambda x: check(F.regexp_replace(x, r"\s", "")))
@@ -68,7 +77,7 @@ def field_regions(fields: DataFrame, elements: DataFrame) -> DataFrame:
 
 def element_regions(elements: DataFrame) -> DataFrame:
     """A region per element and pattern: its first match."""
-    tried = F.array(*(F.struct(F.lit(c).alias("category"), F.nullif(F.regexp_extract("text", p.replace(r"\b", B), 0), F.lit("")).alias("found")) for c, p in TEXT_PATTERNS))
+    tried = F.array(*(F.struct(F.lit(c).alias("category"), F.nullif(_gated(sign, F.regexp_extract("text", p.replace(r"\b", B), 0)), F.lit("")).alias("found")) for (c, p), sign in zip(TEXT_PATTERNS, _TEXT_SIGNS, strict=True)))
     rows = elements.select("page_id", F.col("ord").alias("i"), "id", F.struct(*(F.col(c).cast("double").alias(c) for c in "xywh")).alias("rect"), F.posexplode(tried).alias("k", "r")).where("r.found is not null")
     method = F.concat(F.lit('Text "'), F.left(F.col("r.found"), F.lit(20)), F.lit('..." matched '), "r.category", F.lit(" regex"))
     return rows.select("page_id", F.lit(2).alias("branch"), "i", "k", F.lit(0).alias("m"), "r.category", F.col("r.found").alias("text_value"), F.when(F.col("id") != "", F.concat(F.lit("#"), "id")).alias("field_selector"), F.lit(0.85).alias("confidence"), method.alias("method"), "rect")
@@ -79,7 +88,7 @@ _NO_RECT = "struct<x: double, y: double, w: double, h: double>"
 
 def text_regions(texts: DataFrame) -> DataFrame:
     """All matches of each pattern in a page's text."""
-    tried = F.array(*(F.struct(F.lit(c).alias("category"), F.regexp_extract_all("text", _pattern(p), F.lit(0)).alias("found")) for c, p in TEXT_PATTERNS))
+    tried = F.array(*(F.struct(F.lit(c).alias("category"), _gated(sign, F.regexp_extract_all("text", _pattern(p), F.lit(0))).alias("found")) for (c, p), sign in zip(TEXT_PATTERNS, _TEXT_SIGNS, strict=True)))
     rows = texts.select("page_id", F.posexplode(tried).alias("k", "r")).select("page_id", "k", "r.category", F.posexplode("r.found").alias("m", "text_value"))
     method = F.concat(F.lit("Page text matched "), "category", F.lit(" regex"))
     return rows.select("page_id", F.lit(3).alias("branch"), F.lit(0).alias("i"), "k", "m", "category", "text_value", F.lit(None).cast("string").alias("field_selector"), F.lit(0.7).alias("confidence"), method.alias("method"), F.lit(None).cast(_NO_RECT).alias("rect"))
@@ -94,7 +103,7 @@ def page_corpus(fields: DataFrame, elements: DataFrame, texts: DataFrame) -> Dat
 
 def checked_regions(corpus: DataFrame) -> DataFrame:
     """The first match of each checked pattern, if it passes; of phones, all that do."""
-    found = lambda c: F.regexp_extract_all("text", _pattern(CHECKED_PATTERNS[c]), F.lit(0))
+    found = lambda c: _gated(_CHECKED_SIGNS[c], F.regexp_extract_all("text", _pattern(CHECKED_PATTERNS[c]), F.lit(0)))
     tried = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(p).alias("confidence"), _passing(c, found(c) if c == "phone" else F.slice(found(c), 1, 1)).alias("found")) for c, p in CHECKED))
     rows = corpus.select("page_id", F.posexplode(tried).alias("k", "r")).select("page_id", "k", "r.category", "r.confidence", F.posexplode("r.found").alias("m", "text_value"))
     return rows.select("page_id", F.lit(4).alias("branch"), F.lit(0).alias("i"), "k", "m", "category", "text_value", F.lit(None).cast("string").alias("field_selector"), "confidence", F.concat("category", F.lit(" verified")).alias("method"), F.lit(None).cast(_NO_RECT).alias("rect"))
