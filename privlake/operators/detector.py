@@ -126,6 +126,21 @@ def all_regions(*sources: DataFrame, threshold: float = 0.5) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources).where(F.col("confidence") >= threshold)
 
 
+def summarise_regions(regions: DataFrame) -> DataFrame:
+    """Per page: total, regions of each severity, maps of how many there are by category and by source, and the mean confidence. A page's names are gathered, never more."""
+    counted = lambda c: F.map_from_entries(F.transform(F.array_distinct(F.collect_list(c)), lambda x: F.struct(x, F.size(F.filter(F.collect_list(c), lambda y: y == x)).cast("long"))))
+    level = {f"{s}_count": F.count_if(F.col("sensitivity") == s) for s in ("critical", "high", "medium", "low")}
+    return regions.groupBy("page_id").agg(F.count("*").alias("total"), *(c.alias(n) for n, c in level.items()), counted("category").alias("by_category"), counted("source").alias("by_source"), F.avg("confidence").alias("confidence"))
+
+
+def region_lists(regions: DataFrame) -> DataFrame:
+    """A row per page and category, numbered in the order in which a page's categories were found first: page_id, number, category, regions (ids in order of place)."""
+    place = F.struct(*_PLACE)
+    lists = regions.groupBy("page_id", "category").agg(F.min(place).alias("_first"), F.transform(F.sort_array(F.collect_list(F.struct(*_PLACE, "region_id"))), lambda x: x["region_id"]).alias("regions"))
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("_first")) - 1
+    return lists.select("page_id", number.alias("number"), "category", "regions")
+
+
 def _values() -> Column:
     """The values of a page's regions in the order in which they were found, each once."""
     found = F.collect_list(F.when(F.col("text_value") != "", F.struct(*_PLACE, "text_value")))

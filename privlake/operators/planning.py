@@ -47,6 +47,16 @@ def fill_plan(fields: DataFrame, saved: DataFrame) -> DataFrame:
     return steps.select("page_id", number.alias("step"), "ord", "s.action", "s.target", "s.value", "confidence", "s.risk")
 
 
+def unmapped_fields(fields: DataFrame, saved: DataFrame) -> DataFrame:
+    """Required fields that are empty and that fill_plan() can't fill, as nothing is saved for what they want, or nothing tells what that is: page_id, form_id, ord, field_name. Null pages are left out of the match, so their fields are unmapped."""
+    open_ = fields.where(~F.lower(_text("type")).isin(*UNFILLED) & (F.trim(_text("value")) == "") & F.coalesce("required", F.lit(False)))
+    hint = F.col("placeholder") if "placeholder" in fields.columns else None
+    wants = intents.data_source(F.col("label"), F.col("name"), F.col("id"), hint)["source"]
+    known = saved.where(_text("value") != "").select("page_id", F.col("key").alias("source")).distinct()
+    left = open_.withColumn("source", wants).join(known, ["page_id", "source"], "left_anti")
+    return left.select("page_id", "form_id", "ord", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.col("id")).alias("field_name"))
+
+
 def submit_targets(fields: DataFrame, elements: DataFrame) -> DataFrame:
     """Per page, what submits it: its first field of type submit, by id, name or label; else the first button whose words say so, by id or text."""
     blank = lambda c: F.nullif(F.col(c), F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from privlake.operators import detector as d
 from privlake.operators import selectors
+from privlake.operators.scan import SEVERITY
 from privlake.plans.detector import _DETECTED, _SCRUB, _masked
 from privlake.plans.registry import query
 from privlake.sources import forms_html, nodes
@@ -111,3 +112,17 @@ def pages_detected(spark, sf_dir):
 def pages_sanitised(spark, sf_dir):
     fields, elements, texts = _inputs(spark, sf_dir)
     return d.sanitised_pages(texts, d.detect_page(fields, elements, texts))
+
+
+@query(_on_pages(f"""WITH {_DETECTED}, l AS (SELECT *, CASE category {" ".join(f"WHEN '{c}' THEN '{x}'" for c, x in SEVERITY.items())} END AS level FROM regions), k AS (SELECT page_id, string_agg(category || '=' || n, ',' ORDER BY category) AS by_category FROM (SELECT page_id, category, count(*) AS n FROM l GROUP BY ALL) GROUP BY page_id)
+SELECT page_id, count(*) AS total, count_if(level = 'critical') AS critical_count, count_if(level = 'high') AS high_count, count_if(level = 'medium') AS medium_count, count_if(level = 'low') AS low_count, any_value(by_category) AS by_category, 'dom=' || count(*) AS by_source, round(avg(confidence), 6) AS confidence FROM l JOIN k USING (page_id) GROUP BY page_id"""))
+def region_summaries(spark, sf_dir):
+    out = d.summarise_regions(d.detect_page(*_inputs(spark, sf_dir)))
+    told = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return out.select("page_id", "total", "critical_count", "high_count", "medium_count", "low_count", told("by_category"), told("by_source"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(_on_pages(f"""WITH {_DETECTED}, l AS (SELECT page_id, category, min(branch * 1000000 + i * 1000 + k * 100 + m) AS f, string_agg(region_id, ',' ORDER BY branch, i, k, m) AS regions FROM regions GROUP BY ALL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY f) - 1 AS INT) AS number, category, regions FROM l"""))
+def region_lists(spark, sf_dir):
+    return d.region_lists(d.detect_page(*_inputs(spark, sf_dir))).withColumn("regions", F.array_join("regions", ","))

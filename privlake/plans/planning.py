@@ -26,6 +26,11 @@ def fill_plans(spark, sf_dir):
     return planning.fill_plan(form_fields(spark, sf_dir), derived(spark, sf_dir, _SAVED, "customer"))
 
 
+@query(_PLANNED[: _PLANNED.index("\no AS (")].rstrip(",") + " SELECT page_id, form_id, ord, CASE WHEN label <> '' THEN label WHEN name <> '' THEN name ELSE id END AS field_name FROM b WHERE required AND NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = b.page_id AND m.form_id = b.form_id AND m.ord = b.ord)")
+def unmapped_fields(spark, sf_dir):
+    return planning.unmapped_fields(form_fields(spark, sf_dir), derived(spark, sf_dir, _SAVED, "customer"))
+
+
 _BUTTONS = "SELECT c_custkey AS page_id, t.ord AS ord, t.tag AS tag, t.role AS role, CASE WHEN t.ord = 1 AND c_custkey % 3 = 0 THEN 'Save draft and continue' WHEN t.ord = 2 AND c_custkey % 4 = 0 THEN 'Read more' ELSE t.text END AS text, t.label AS label, t.id AS id FROM customer CROSS JOIN (VALUES (0, 'a', '', 'Submit a story', '', 'x'), (1, 'button', '', 'Go', 'confirm order', ''), (2, 'div', 'button', 'Proceed', '', 'p2')) AS t(ord, tag, role, text, label, id)"
 _SUBMITS = "SELECT c_custkey AS page_id, 'f1' AS form_id, 1 AS ord, 'Submit' AS type, '' AS id, CASE WHEN c_custkey % 2 = 0 THEN 'send' ELSE '' END AS name, 'Send it' AS label FROM customer WHERE c_custkey % 5 = 0"
 

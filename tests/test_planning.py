@@ -50,3 +50,26 @@ def test_outcome_line(spark):
     assert line(5, 5, 0, 0) == "5/5 steps done — nothing outstanding."
     assert line(4, 5, 2, 2) == "4/5 steps done — 2 required fields still need a value from you."
     assert line(0, 0, 1, 1) == "nothing to do — 1 required field still needs a value from you."
+
+
+def test_unmapped_fields(spark):
+    schema = "page_id long, form_id string, ord int, name string, id string, type string, label string, value string, required boolean, max_length int, pattern string, options array<string>, checked boolean"
+    row = lambda page, k, label, kind="text", value="", required=True, name="": (page, "f", k, name, "", kind, label, value, required, 0, "", [], False)
+    fields = spark.createDataFrame([row(1, 0, "Email"), row(1, 1, "Given Name"), row(1, 2, "Colour"), row(1, 3, "Email", value="x"), row(1, 4, "Colour", required=None), row(1, 5, "Go", kind="submit"), row(None, 0, "Email"), row(2, 0, None, name="odd")], schema)
+    saved = spark.createDataFrame([(1, "email", "a@b"), (1, "email", "c@d"), (1, "firstName", ""), (2, "email", "x")], "page_id long, key string, value string")
+    got = {(r.page_id, r.ord, r.field_name) for r in planning.unmapped_fields(fields, saved).collect()}
+    assert got == {(1, 1, "Given Name"), (1, 2, "Colour"), (None, 0, "Email"), (2, 0, "odd")}
+    assert planning.unmapped_fields(fields.limit(0), saved).count() == 0 and planning.unmapped_fields(fields, saved.limit(0)).count() == 5
+
+
+def test_region_summaries(spark):
+    from privlake.operators import detector
+
+    rows = [(1, 2, 0, 0, 0, "r3", "email", "high", "dom", 0.5), (1, 1, 0, 0, 0, "r1", "pan", "critical", "dom", 0.9), (1, 1, 1, 0, 0, "r2", "email", "high", "vision", 0.7), (1, 1, 1, 0, 0, "r2", "email", "high", "vision", 0.7), (2, 1, 0, 0, 0, "q", "odd", None, None, None)]
+    regions = spark.createDataFrame(rows, "page_id long, branch int, i int, k int, m int, region_id string, category string, sensitivity string, source string, confidence double")
+    got = {r.page_id: r for r in detector.summarise_regions(regions).collect()}
+    assert (got[1].total, got[1].critical_count, got[1].high_count, got[1].by_category, got[1].by_source) == (4, 1, 3, {"pan": 1, "email": 3}, {"dom": 2, "vision": 2}) and abs(got[1].confidence - 0.7) < 1e-12
+    assert (got[2].total, got[2].high_count, got[2].by_category, got[2].by_source, got[2].confidence) == (1, 0, {"odd": 1}, {}, None)
+    lists = [(r.page_id, r.number, r.category, r.regions) for r in detector.region_lists(regions).orderBy("page_id", "number").collect()]
+    assert lists == [(1, 0, "pan", ["r1"]), (1, 1, "email", ["r2", "r2", "r3"]), (2, 0, "odd", ["q"])]
+    assert detector.summarise_regions(regions.limit(0)).count() == 0
