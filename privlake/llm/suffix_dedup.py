@@ -277,7 +277,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     choose. Anchors that occur once are left out: their windows do too. The windows of one anchor occurrence, with all their bytes, are a context;
     equal contexts are counted and all their windows repeat. An anchor that has contexts occurring once, beside others, has all its contexts
     gathered in one suffix array, built by linear grouping, which shows the windows they share. An anchor with more than `hot_contexts`
-    different contexts has them cut into single windows, which meet by their own bytes. Filters of at most `filter_rows` hashes, which are counted, only
+    different contexts has them cut into single windows, which meet by their own digests and need no array. Filters of at most `filter_rows` hashes, which are counted, only
     select before exact joins; where there are more, joins by shuffle select instead. Texts and contexts are told apart by 128-bit hashes, the windows in a suffix array by their bytes.
 
     Result, a row per input row: `id_col`, n_bytes, n_removed, removed (array of start, end: maximal removed runs, in bytes), kept (binary). Null text is empty.
@@ -323,6 +323,9 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         held, kinds = (whole.join(crowded, "anchor", "left_anti").unionByName(cut) for whole, cut in zip((held, kinds), found(hot, hot), strict=True))
         held, kinds = durable(held), durable(kinds)
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("all"), F.count_if(F.col("n") == 1).alias("lone")).where("all > 1 and lone > 0").select("anchor")
+    if hot:
+        # single windows that are equal have been counted as equal, so the others have nothing to share
+        mixed = mixed.join(crowded, "anchor", "left_anti")
     known = durable(kinds.join(mixed, "anchor", "left_semi"))
     number = known.count()
     if number <= filter_rows:
