@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,12 +165,17 @@ def unclipped(rect: Column, ratio: float = 1.5) -> Column:
     return F.when(rect.isNotNull(), moved)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def ordered_quad(corners: Column) -> Column:
     """Four points as top left, top right, bottom right, bottom left: the two leftmost, then the two others, each by height."""
     by_x = F.array_sort(F.transform(corners, lambda p, i: F.struct(p["x"].alias("k"), i.alias("i"), p.alias("p"))))
     by_y = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["p"]["y"].alias("k"), s["k"].alias("j"), s["i"].alias("i"), s["p"].alias("p")))), lambda s: s["p"])
-    left, right = by_y(F.slice(by_x, 1, 2)), by_y(F.slice(by_x, 3, 2))
-    return F.array(left[0], right[0], right[1], left[1])
+    sides = lambda a: F.struct(by_y(F.slice(a, 1, 2)).alias("left"), by_y(F.slice(a, 3, 2)).alias("right"))
+    return _let(by_x, lambda a: _let(sides(a), lambda s: F.array(s["left"][0], s["right"][0], s["right"][1], s["left"][1])))
 
 
 def homographies(quads: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

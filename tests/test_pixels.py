@@ -56,3 +56,28 @@ def test_grids_as_rows(spark):
     crops = {r.page_id: r.crop and (r.crop.width, r.crop.height, [round(v, 6) for v in r.crop.pixels]) for r in p.warp_grids(quads, 4, 3).collect()}
     assert crops == {1: (2, 2, [10, 20, 50, 60]), 2: None, 3: None, 4: (2, 2, [0, 0, 0, 0]), None: (2, 2, [10, 20, 50, 60])}
     assert {r.crop for r in p.warp_grids(quads, 4, 3, most=3).collect()} == {None}
+
+
+def test_painted_boxes_by_loops(spark):
+    r = np.random.default_rng(3)
+    boxes = [(int(k % 5), *(float(v) for v in r.uniform(-30, 130, 2)), *(float(v) for v in r.uniform(0, 60, 2)), float(r.random())) for k in range(60)]
+    boxes += [(7, 21.0, 31.0, 2.0, 2.0, 0.5), (8, None, 0.0, 50.0, 50.0, 0.5), (8, 0.0, float("nan"), 50.0, 50.0, 0.5), (9, 0.0, 0.0, 50.0, 50.0, None), (9, 5.0, 5.0, 10.0, 0.0, -0.25), (None, 0.0, 0.0, 20.0, 10.0, 0.75)]
+    rows = p.gather_boxes(spark.createDataFrame(boxes, "page_id int, x double, y double, w double, h double, v double"), 11, 7, 10, F.col("v"), ("x",))
+    got = {r.page_id: r.grid for r in p.paint_grids(rows, 11, 7).collect()}
+
+    def cell(page, cx, cy):
+        held = [v for of, x, y, w, h, v in boxes if of == page and None not in (x, y, v) and x <= cx * 10 + 5 <= x + w and y <= cy * 10 + 5 <= y + h]
+        return max(held, default=0.0)
+
+    assert got == {page: [cell(page, cx, cy) for cy in range(7) for cx in range(11)] for page in {b[0] for b in boxes}}
+    crowd = spark.range(20000).selectExpr("1 as page_id", "double(id % 3) as x", "0d as y", "50d as w", "20d as h", "id / 20000 as v")
+    assert [len(r.boxes) for r in p.gather_boxes(crowd, 11, 7, 10, F.col("v")).collect()] == [1]  # equal ranges of cells are one
+
+
+def test_no_grid_is_shuffled(spark):
+    from privlake.plans.catalogue import QUERIES
+
+    for name in ("painted_boxes", "quad_means", "redacted_grids"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        at = lambda *kinds: [k for k, line in enumerate(plan) if any(f"{kind} " in line for kind in kinds)]  # noqa: B023, E731
+        assert "Generate " not in " ".join(plan) and max(at("MapInArrow")) < min(at("Join", "Aggregate", "Window")), name
