@@ -139,3 +139,21 @@ def test_pages_of_many_tags_take_time_in_proportion():
         return time.process_time() - now
 
     assert seconds(80_000) < 4 * 8 * seconds(10_000) + 1
+
+
+def test_texts_that_sql_reads_in_its_own_way(spark, tmp_path):
+    import duckdb
+
+    from privlake.plans.catalogue import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    # a heading that was cut off within a reference, and links with a sharp s
+    con.execute("CREATE VIEW given AS SELECT * REPLACE (replace(replace(html, '</h1>', ' &copy&amp</h1>'), '</a>', 'ßx</a>') AS html) FROM '/root/testdata/sf0.001/pages.parquet' ORDER BY page_id LIMIT 6")
+    con.execute(f"COPY given TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    for name in ("page_states", "pages_sanitised", "found_nodes"):
+        got = QUERIES[name](spark, str(tmp_path))
+        run = con.execute(ORACLES[name])
+        names = [d[0] for d in run.description]
+        want = sorted(run.fetchall(), key=str)
+        assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=str) == want and want, name
