@@ -168,3 +168,32 @@ def test_messages(spark):
     assert got[3][2:] == ("^[0-9]$", "Code: format mismatch") and got[4][3] == "Code: required but empty" and got[5][:2] == (True, "Optional field, empty is OK")
     placed = frame.where("ord = 6").withColumn("placeholder", F.lit("your e-mail"))
     assert [r.rule for r in forms.validate_fields(placed).collect()] == ["email"] and forms.explain_fields(frame.limit(0)).count() == 0
+
+
+def test_forms_are_dealt_over_tasks(spark):
+    from privlake.sources.tables import form_fields, spread
+
+    # one file with one group of rows: its forms were made, and searched, by one task
+    counts = [r["count"] for r in form_fields(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) > 1 and sum(counts) == 16 * 150 and max(counts) < sum(counts) / 2
+    assert spread(spark, "/root/testdata/sf0.001", "pages").groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_fields_without_a_pattern_do_not_meet(spark, monkeypatch):
+    from privlake.operators import forms
+    from privlake.sources.tables import form_fields
+
+    fields = form_fields(spark, "/root/testdata/sf0.001")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = forms.validate_fields(fields)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().sparkPlan().toString()  # few patterns are counted and broadcast
+        want = sorted(few.collect(), key=str)
+        monkeypatch.setattr(forms, "FEW", 0)
+        many = forms.validate_fields(fields)
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [pattern" in plan and "_at#" in plan
+        assert sorted(many.collect(), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
