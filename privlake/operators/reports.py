@@ -137,11 +137,11 @@ def standalone_labels(elements: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def written(review: DataFrame, targets: DataFrame) -> DataFrame:
-    """Review rows that a target (page_id, target) names by selector, by selector without #, or by label in any case."""
-    keys = review.select("page_id", "form_id", "ord", F.explode(F.array("selector", F.regexp_replace("selector", "^#", ""), F.concat(F.lit("\0"), F.lower("label")))).alias("key"))
-    named = targets.select("page_id", F.explode(F.array("target", F.concat(F.lit("\0"), F.lower("target")))).alias("key")).distinct()
-    found = keys.join(named, ["page_id", "key"], "left_semi").select("page_id", "form_id", "ord").distinct()
-    return review.join(found, ["page_id", "form_id", "ord"], "left_semi")
+    """Review rows that a target (page_id, target) names by selector, by selector without #, or by label in any case. A page's targets are gathered, never more; review rows are made once."""
+    named = targets.groupBy("page_id").agg(F.collect_set("target").alias("_named"), F.collect_set(F.lower("target")).alias("_low"))
+    keys = F.array_compact(F.array("selector", F.regexp_replace("selector", "^#", "")))
+    hit = F.arrays_overlap("_named", keys) | F.coalesce(F.array_contains("_low", F.lower("label")), F.lit(False))
+    return review.join(named, "page_id").where(hit).select(review.columns)
 
 
 def bounding_box(points: Column) -> Column:
