@@ -22,6 +22,12 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def _saved_by_page(saved: DataFrame) -> DataFrame:
+    """Per page, a map from sources to the least value saved; fields are joined with it by page alone, so tables that lie by page needn't move. A page's values are gathered, never more."""
+    known = saved.where((_text("value") != "") & F.col("key").isNotNull()).groupBy("page_id", "key").agg(F.min("value").alias("value"))
+    return known.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_saved"))
+
+
 def fill_plan(fields: DataFrame, saved: DataFrame) -> DataFrame:
     """Steps that fill the empty fields of each page: `select` where a value is one of the options, else `click` and `type`.
 
@@ -31,8 +37,7 @@ def fill_plan(fields: DataFrame, saved: DataFrame) -> DataFrame:
     open_ = fields.where(~F.lower(_text("type")).isin(*UNFILLED) & (F.trim(_text("value")) == ""))
     source = intents.data_source(F.col("label"), F.col("name"), F.col("id"), F.col("placeholder") if "placeholder" in fields.columns else None)
     rows = open_.withColumn("_s", source).where("_s is not null").select("page_id", "form_id", "ord", "name", "id", "type", "options", "_s.source", "_s.confidence", (F.size(field_categories()) > 0).alias("private"))
-    known = saved.where(_text("value") != "").groupBy("page_id", F.col("key").alias("source")).agg(F.min("value").alias("saved"))
-    rows = rows.join(known, ["page_id", "source"])
+    rows = rows.join(_saved_by_page(saved), "page_id").withColumn("saved", F.try_element_at("_saved", F.col("source"))).where("saved is not null").drop("_saved")
     option = F.get(F.filter("options", lambda o: F.lower(o) == F.lower("saved")), 0)
     place = F.concat(F.lit("["), F.col("ord"), F.lit("]"))
     named = F.nullif(F.col("name"), F.lit(""))
@@ -52,8 +57,7 @@ def unmapped_fields(fields: DataFrame, saved: DataFrame) -> DataFrame:
     open_ = fields.where(~F.lower(_text("type")).isin(*UNFILLED) & (F.trim(_text("value")) == "") & F.coalesce("required", F.lit(False)))
     hint = F.col("placeholder") if "placeholder" in fields.columns else None
     wants = intents.data_source(F.col("label"), F.col("name"), F.col("id"), hint)["source"]
-    known = saved.where(_text("value") != "").select("page_id", F.col("key").alias("source")).distinct()
-    left = open_.withColumn("source", wants).join(known, ["page_id", "source"], "left_anti")
+    left = open_.join(_saved_by_page(saved), "page_id", "left").where(F.try_element_at("_saved", wants).isNull())
     return left.select("page_id", "form_id", "ord", F.coalesce(F.nullif(F.col("label"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.col("id")).alias("field_name"))
 
 
