@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from privlake.functions.text import mask_value
@@ -17,10 +17,11 @@ def extract_fields(fields: DataFrame) -> DataFrame:
     fields share a selector, the last category counts. Checkboxes show whether they are checked.
     """
     kind, value = F.lower(_text("type")), _text("value")
-    found = fields.withColumn("selector", selector()).where("selector is not null").select("page_id", "selector", "ord", F.posexplode(field_categories()).alias("k", "category"))
-    declared = found.groupBy("page_id", "selector").agg(F.max_by("category", F.struct("ord", "k")).alias("declared"))
+    # windowed, so that fields that lie by page needn't move
+    last = F.max_by(F.try_element_at("_cats", F.lit(-1)), F.when(F.size("_cats") > 0, F.struct("ord", F.size("_cats")))).over(Window.partitionBy("page_id", "selector"))
+    declared = F.when(F.col("page_id").isNotNull() & F.col("selector").isNotNull(), last)
     label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("id"), F.lit("")), F.lit("(unlabeled)"))
-    rows = fields.withColumn("selector", selector()).where(kind != "radio").join(declared, ["page_id", "selector"], "left").withColumn("hits", scan_spans(value))
+    rows = fields.withColumn("selector", selector()).withColumn("_cats", field_categories()).withColumn("declared", declared).where(kind != "radio").withColumn("hits", scan_spans(value))
     personal = F.size("hits") > 0
     mask = (value != "") & (personal | (F.col("declared").isNotNull() & (F.length(value) > 4)))
     category = F.coalesce("declared", F.get("hits", F.lit(0))["category"])
