@@ -16,6 +16,8 @@ RECT = T.StructType([T.StructField(c, T.DoubleType()) for c in ("center_x", "cen
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 #: Places that one numpy step may hold: polygons times the most points of one, or boxes times cells.
 ROOM = 1 << 21
+#: Places of a step that is gone over many times.
+CACHED = 1 << 16
 
 
 def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +51,18 @@ def _steps(offsets: np.ndarray) -> Iterator[slice]:
         yield slice(first, first := first + max(1, fits))
 
 
+def _alike(*sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """All rows, in steps of such that are alike in every size (within a factor of 1.5) and fit in a core's cache, and in ROOM, when padded."""
+    sizes = [np.maximum(a, 1) for a in sizes]
+    kind = np.zeros(len(sizes[0]), np.int64)
+    for a in sizes:
+        kind = kind * 128 + np.ceil(2 * np.log2(a)).astype(np.int64)
+    order = np.argsort(kind, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+        step = max(1, min(ROOM, CACHED) // int(np.prod([a[rows].max(initial=1) for a in sizes])))
+        yield from (rows[k : k + step] for k in range(0, len(rows), step))
+
+
 def _chain(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One half of a hull for many rows of sorted points at once: a stack of places per row, from which points that don't turn left go when a further one comes."""
     rows, stack, top = np.arange(len(p)), np.zeros(p.shape[:2], np.int64), np.zeros(len(p), np.int64)
@@ -71,18 +85,30 @@ def hulls(xy: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     good = np.isfinite(xy).all(axis=1)
     distinct = np.unique(np.column_stack([row[good], xy[good]]), axis=0)  # sorted by row, x, y
-    xy, offsets = distinct[:, 1:], np.searchsorted(distinct[:, 0], np.arange(len(offsets)))
-    out, sizes = [], []
+    return sorted_hulls(distinct[:, 1:], np.searchsorted(distinct[:, 0], np.arange(len(offsets))))
+
+
+def sorted_hulls(xy: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hulls() of points that are finite, different within their row, and sorted by row, x and y."""
+    # the lower half is one of each column's lowest points, the upper half one of its highest
+    change = np.diff(xy[:, 0]) != 0
+    change[offsets[(offsets > 0) & (offsets < len(xy))] - 1] = True
+    low, high = np.flatnonzero(np.append(True, change)[: len(xy)]), np.flatnonzero(np.append(change, True)[: len(xy)])
+    offsets = np.searchsorted(low, offsets)
+    back = np.repeat(offsets[:-1] + offsets[1:] - 1, np.diff(offsets)) - np.arange(len(low))
+    out, sizes = [np.zeros((0, 2))], [np.zeros(0, np.int64)]
     for part in _steps(offsets):
-        p, n = _padded(xy, offsets[part.start : part.stop + 1])
-        back = np.where(np.arange(p.shape[1]) < n[:, None], np.maximum(n[:, None] - 1, 0) - np.arange(p.shape[1]), 0)
-        reverse = np.take_along_axis(p, back[:, :, None], axis=1)
-        (low, a), (high, b) = _chain(p, n), _chain(reverse, n)
-        a, b = np.where(n > 1, a - 1, a), np.where(n > 1, b - 1, 0)  # each half leaves its last point to the other
-        for k in range(len(n)):
-            out += [p[k, low[k, : a[k]]], reverse[k, high[k, : b[k]]]]
-        sizes.append(a + b)
-    return np.concatenate(out) if out else np.zeros((0, 2)), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        rows, k = offsets[part.start : part.stop + 1], np.arange(max(1, np.diff(offsets[part.start : part.stop + 1]).max(initial=1)))
+        (p, n), (q, _) = _padded(xy[low], rows), _padded(xy[high[back]], rows)
+        (p_at, a), (q_at, b) = _chain(p, n), _chain(q, n)
+        p, q = np.take_along_axis(p, p_at[:, :, None], axis=1), np.take_along_axis(q, q_at[:, :, None], axis=1)
+        # a half's end that is the other's beginning counts once
+        every = np.arange(len(n))
+        first = (p[every, np.maximum(a - 1, 0)] == q[:, 0]).all(axis=1).astype(np.int64)
+        end = b - (q[every, np.maximum(b - 1, 0)] == p[:, 0]).all(axis=1)
+        out.append(np.concatenate([p, q], axis=1)[np.concatenate([k < a[:, None], (k >= first[:, None]) & (k < end[:, None])], axis=1)])
+        sizes.append(a + np.maximum(end - first, 0))
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def areas(xy: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -96,8 +122,10 @@ def rectangles(xy: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The smallest rectangle around each hull, which lies along one of its edges, the first of equal ones: rows of center, axis, size and four corners (14 numbers), NaN for hulls of less than two points."""
     out = np.full((len(offsets) - 1, 14), np.nan)
     n = np.diff(offsets)
-    for part in _steps(np.concatenate([[0], np.cumsum(n * n)])):
-        p, m = _padded(xy, offsets[part.start : part.stop + 1])
+    for part in _alike(n, n):
+        m = n[part]
+        at = offsets[part, None] + np.minimum(np.arange(max(1, m.max())), np.maximum(m - 1, 0)[:, None])
+        p = xy[np.minimum(at, len(xy) - 1)] if len(xy) else np.zeros((*at.shape, 2))
         last = np.arange(p.shape[1]) == np.maximum(m - 1, 0)[:, None]
         edge = np.where(last[:, :, None], p[:, :1], np.roll(p, -1, axis=1)) - p
         length = np.hypot(edge[..., 0], edge[..., 1])
@@ -223,21 +251,21 @@ def quad_means(grids: np.ndarray, which: np.ndarray, quads: np.ndarray) -> np.nd
     low = np.clip(np.floor(finite.min(axis=1)).astype(np.int64), 0, None)
     high = np.minimum(np.ceil(finite.max(axis=1)).astype(np.int64), [w - 1, h - 1])
     size = np.maximum(high - low + 1, 0)
-    cells = size[:, 0] * size[:, 1]
-    out = np.zeros(len(quads))
-    for part in _steps(np.concatenate([[0], np.cumsum(cells)])):
-        of = np.repeat(np.arange(part.start, min(part.stop, len(quads))), cells[part])
-        k = np.arange(len(of)) - np.repeat(np.cumsum(cells[part]) - cells[part], cells[part])
-        width = np.maximum(size[of, 0], 1)
-        x, y = low[of, 0] + k % width, low[of, 1] + k // width
-        left = right = np.zeros(len(of), dtype=bool)
+    out, flat = np.zeros(len(quads)), grids.ravel()
+    for part in _alike(size[:, 1], size[:, 0]):
+        q, (wide, high) = quads[part], size[part].max(axis=0, initial=0)
+        i, j = np.arange(wide), np.arange(high)
+        x, y = low[part, 0, None] + i + 0.5, low[part, 1, None] + j + 0.5
+        left = right = np.zeros((len(q), high, wide), dtype=bool)
         for e in range(4):
-            (ax, ay), (bx, by) = quads[of, e].T, quads[of, (e + 1) % 4].T
-            side = (bx - ax) * (y + 0.5 - ay) - (by - ay) * (x + 0.5 - ax)
-            left, right = left | (side > 0), right | (side < 0)
-        inside = ~(left & right)
-        sums, count = np.bincount(of[inside], grids[which[of[inside]], y[inside], x[inside]], len(quads)), np.bincount(of[inside], minlength=len(quads))
-        out += np.divide(sums, count, out=np.zeros(len(quads)), where=count > 0)
+            # the side of an edge on which a cell lies is a number of its line against one of its column
+            a, b = q[:, e, :, None], q[:, (e + 1) % 4, :, None]
+            down, over = ((b[:, 0] - a[:, 0]) * (y - a[:, 1]))[:, :, None], ((b[:, 1] - a[:, 1]) * (x - a[:, 0]))[:, None, :]
+            left, right = left | (down > over), right | (down < over)
+        of, line, column = np.nonzero(~(left & right) & (j < size[part, 1, None])[:, :, None] & (i < size[part, 0, None])[:, None, :])
+        at = ((which[part] * h + low[part, 1]) * w + low[part, 0])[of] + line * w + column
+        sums, count = np.bincount(of, flat[at], len(q)), np.bincount(of, minlength=len(q))
+        out[part] = np.divide(sums, count, out=np.zeros(len(q)), where=count > 0)
     return out
 
 
@@ -291,9 +319,8 @@ def text_boxes(grids: DataFrame, width: int, height: int, source_width: int, sou
 
     A map is an array of height * width probabilities, line by line. Cells above rules.on make 8-connected components, whose edge cells are put in their smallest rectangle; those that are too small,
     or whose mean probability inside is too low, go; the others are pushed out, scaled and held within the source. box is the component's number among those kept. A map of another length,
-    or null, has no boxes; null or NaN cells count as 0. A row per map goes through a task by itself; an empty table gives no rows.
+    or null, has no boxes; null or NaN cells count as 0. A row per map goes through a task by itself; an empty table gives no rows. Maps that are painted from boxes need not be made: pixels.painted_text_boxes().
     """
-    schema = T.StructType([grids.select(F.col(f"`{id_col}`").alias("_id")).schema[0], T.StructField("box", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("rect", RECT)])
     step = max(1, ROOM // (width * height))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,17 +331,47 @@ def text_boxes(grids: DataFrame, width: int, height: int, source_width: int, sou
                 rows = np.flatnonzero(fits)
                 cells = batch.column(1).filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False)
                 maps = np.nan_to_num(np.asarray(cells, np.float64)).reshape(len(rows), height, width)
-                xy, offsets, of = _components(maps > rules.on)
-                # of each map the first components alone are looked at, until enough boxes are kept
-                rects = rectangles(*hulls(xy, offsets)) if len(of) else np.zeros((0, 14))
-                score = quad_means(maps, of, np.nan_to_num(rects[:, 6:]).reshape(-1, 4, 2)) if len(of) else np.zeros(0)
-                less = np.minimum(rects[:, 4], rects[:, 5])
-                out = 2 * rects[:, 4] * rects[:, 5] * rules.ratio / np.maximum(2 * (rects[:, 4] + rects[:, 5]), 1e-9)
-                good = np.flatnonzero((less >= rules.side) & (score >= rules.mean) & (less + out >= rules.side + 2))
-                number = np.arange(len(good)) - np.searchsorted(of[good], of[good])
-                good, number = good[number < rules.most], number[number < rules.most]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[of[good]])), pa.array(number, pa.int32()), pa.array(score[good]), _rect_array(rects[good])], names=["_id", "box", "score", "rect"])
-
-    found = grids.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{grid_col}`").cast("array<double>").alias("_grid")).mapInArrow(run, schema)
-    scaled = lambda p: F.struct(F.greatest(F.lit(0.0), F.least(F.lit(float(source_width)), F.floor(p["x"] * (source_width / width) + 0.5).cast("double"))).alias("x"), F.greatest(F.lit(0.0), F.least(F.lit(float(source_height)), F.floor(p["y"] * (source_height / height) + 0.5).cast("double"))).alias("y"))
-    return found.select(F.col("_id").alias(id_col), "box", "score", ordered_quad(F.transform(unclipped(F.col("rect"), rules.ratio)["corners"], scaled)).alias("quad"))
+                of, *found = boxes_of_maps(maps, rules)
+                yield box_rows(batch.column(0).take(pa.array(rows[of])), *found, (width, height), (source_width, source_height), rules)
+
+    found = grids.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{grid_col}`").cast("array<double>").alias("_grid"))
+    return found.mapInArrow(run, box_schema(found.schema["_id"])).withColumnRenamed("_id", id_col)
+
+
+def boxes_of_maps(maps: np.ndarray, rules: BoxRules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Boxes of maps (n, h, w): their map, number, score and smallest rectangle."""
+    xy, offsets, of = _components(maps > rules.on)
+    return kept_boxes(hulls(xy, offsets), of, lambda which, quads: quad_means(maps, which, quads), rules)
+
+
+def kept_boxes(hull: tuple[np.ndarray, np.ndarray], of: np.ndarray, mean: Callable[[np.ndarray, np.ndarray], np.ndarray], rules: BoxRules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of components, given by their hulls and, in order, their maps: map, number, score and rectangle of those that `rules` keep. `mean` of maps and quads is asked for those that are large enough."""
+    rects = rectangles(*hull)
+    less = np.minimum(rects[:, 4], rects[:, 5])
+    out = 2 * rects[:, 4] * rects[:, 5] * rules.ratio / np.maximum(2 * (rects[:, 4] + rects[:, 5]), 1e-9)
+    large = np.flatnonzero((less >= rules.side) & (less + out >= rules.side + 2))
+    score = mean(of[large], rects[large, 6:].reshape(-1, 4, 2)) if len(large) else np.zeros(0)
+    good, score = large[score >= rules.mean], score[score >= rules.mean]
+    # of each map the first components alone are looked at, until enough boxes are kept
+    number = np.arange(len(good)) - np.searchsorted(of[good], of[good])
+    first = number < rules.most
+    return of[good][first], number[first], score[first], rects[good][first]
+
+
+def box_schema(id_field: T.StructField) -> T.StructType:
+    return T.StructType([id_field, T.StructField("box", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("quad", POINTS)])
+
+
+def box_rows(ids: pa.Array, number: np.ndarray, score: np.ndarray, rects: np.ndarray, grid: tuple[int, int], source: tuple[int, int], rules: BoxRules) -> pa.RecordBatch:
+    """Boxes as a batch of box_schema(): rectangles on a grid (width, height) are pushed out, scaled to a source, held within it, and ordered. The same numbers as those of unclipped() and ordered_quad()."""
+    cx, cy, ux, uy, w, h = rects[:, :6].T
+    round_ = 2 * (w + h)
+    by = np.where(round_ < 1e-9, 0.0, w * h * rules.ratio / np.where(round_ < 1e-9, 1.0, round_))
+    half_w, half_h = w / 2 + by, h / 2 + by
+    corners = np.array([[cx + s * half_w * ux - t * half_h * uy, cy + s * half_w * uy + t * half_h * ux] for s, t in ((-1, -1), (1, -1), (1, 1), (-1, 1))]).transpose(2, 0, 1)
+    corners = np.clip(np.floor(corners * [source[0] / grid[0], source[1] / grid[1]] + 0.5), 0.0, [float(source[0]), float(source[1])])
+    by_x = np.take_along_axis(corners, np.argsort(corners[..., 0], axis=1, kind="stable")[:, :, None], axis=1)
+    pairs = by_x.reshape(-1, 2, 2, 2)
+    pairs = np.where((pairs[:, :, :1, 1] > pairs[:, :, 1:, 1])[..., None], pairs[:, :, ::-1], pairs)
+    quad = pairs.reshape(-1, 4, 2)[:, [0, 2, 3, 1]].reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int32()), pa.array(score, pa.float64()), _arrays(quad, np.arange(0, len(quad) + 1, 4))], names=["_id", "box", "score", "quad"])

@@ -157,3 +157,18 @@ def test_painted_boxes_are_found_again(spark):
     assert {r.page_id: r["mean"] and round(r["mean"], 6) for r in means.collect()} == {1: 0.225, 2: 0.9, 3: 0.05625, 4: 0.0, 5: None, 6: None, 7: 0.0, 8: 0.4}
     assert got[2][0][2] == [(0, 0), (120, 0), (120, 80), (0, 80)]
     assert g.text_boxes(frame.limit(0), width, height, 120, 80).count() == 0
+
+
+def test_quads_as_by_columns(spark):
+    r = np.random.default_rng(9)
+    turn = r.uniform(0, 2 * np.pi, 200)
+    rects = np.column_stack([r.uniform(-5, 45, 200), r.uniform(-5, 25, 200), np.cos(turn), np.sin(turn), *r.integers(0, 12, (2, 200)), np.zeros((200, 8))])
+    rects[:80, 2:4] = np.array([[1, 0], [0, 1], [-1, 0], [0, -1]])[r.integers(0, 4, 80)]
+    rects[:80, :2] = np.round(rects[:80, :2])
+    rows = [(k, dict(zip(("center_x", "center_y", "axis_x", "axis_y", "width", "height"), map(float, a[:6]), strict=True))) for k, a in enumerate(rects)]
+    frame = spark.createDataFrame(rows, "id int, rect struct<center_x: double, center_y: double, axis_x: double, axis_y: double, width: double, height: double>")
+    for ratio, source in ((1.5, (400, 140)), (0.7, (333, 77))):
+        scaled = lambda p: F.struct(*(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.floor(p[c] * (most / n) + 0.5).cast("double"))).alias(c) for c, most, n in zip("xy", source, (40, 20), strict=True)))  # noqa: B023, E731
+        want = {k: [tuple(q) for q in quad] for k, quad in frame.select("id", g.ordered_quad(F.transform(g.unclipped(F.col("rect"), ratio)["corners"], scaled))).collect()}
+        got = g.box_rows(g.pa.array(range(200)), np.zeros(200), np.zeros(200), rects, (40, 20), source, g.BoxRules(ratio=ratio)).to_pylist()
+        assert {b["_id"]: [(q["x"], q["y"]) for q in b["quad"]] for b in got} == want

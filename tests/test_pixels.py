@@ -1,8 +1,10 @@
 """Blur, pixelation and warps against plain loops."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from privlake.operators import geometry as g
 from privlake.operators import pixels as p
 
 
@@ -81,3 +83,69 @@ def test_no_grid_is_shuffled(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
         at = lambda *kinds: [k for k, line in enumerate(plan) if any(f"{kind} " in line for kind in kinds)]  # noqa: B023, E731
         assert "Generate " not in " ".join(plan) and max(at("MapInArrow")) < min(at("Join", "Aggregate", "Window")), name
+
+
+def test_boxes_are_found_without_their_grids(spark):
+    r = np.random.default_rng(11)
+    value = lambda: float(r.choice([0.1, 0.3, 0.5, 0.7, 0.9, 1.5]))
+    boxes = [(int(r.integers(0, 60)), *(float(v) for v in r.uniform(-30, 300, 2)), *(float(v) for v in r.uniform(0, 90, 2)), value()) for _ in range(400)]
+    boxes += [(100, *(float(v) for v in r.uniform(0, 300, 2)), *(float(v) for v in r.uniform(0, 60, 2)), value()) for _ in range(200)]  # a page with many boxes
+    boxes += [(101, 0.0, 0.0, 90.0, 90.0, 0.9), (101, 50.0, 50.0, 20.0, 20.0, float("nan")), (102, 0.0, 0.0, 90.0, 90.0, float("inf")), (103, None, 0.0, 50.0, 50.0, 0.5), (104, 0.0, 0.0, 50.0, 50.0, None), (None, 0.0, 0.0, 80.0, 70.0, 0.75)]
+    boxes += [(105, 0.0, 0.0, 40.0, 40.0, 0.9), (105, 40.0, 40.0, 50.0, 50.0, 0.9), (105, 0.0, 200.0, 60.0, 60.0, 0.9), (105, 100.0, 150.0, 5.0, 5.0, 0.9)]  # by a corner; in the order of first cells
+    frame = spark.createDataFrame(boxes, "page_id int, x double, y double, w double, h double, v double").repartition(3)
+    width, height, size = 31, 29, (310, 300)
+    maps = p.paint_grids(p.gather_boxes(frame, width, height, 10, F.col("v")), width, height).localCheckpoint()
+    ranges = p.cell_ranges(frame, width, height, 10, F.col("v")).localCheckpoint()
+    rows = lambda found: sorted((str(b.page_id), b.box, b.score, tuple(map(tuple, b.quad))) for b in found.collect())
+    for rules in (g.BoxRules(), g.BoxRules(on=0.0, mean=0.2, side=2.0), g.BoxRules(on=0.6, mean=0.0, side=4.5, ratio=0.5, most=2), g.BoxRules(side=1.0, mean=0.1)):
+        got = p.painted_text_boxes(ranges, width, height, *size, rules)
+        want = g.text_boxes(maps, width, height, *size, rules=rules)
+        assert got.schema == want.schema and rows(got) == rows(want) and got.count() > 10, rules
+    assert p.painted_text_boxes(ranges.limit(0), width, height, *size).count() == 0
+    want = rows(g.text_boxes(maps, width, height, *size))
+    spark.conf.set("spark.sql.requireAllClusterKeysForDistribution", "true")
+    try:
+        assert rows(p.painted_text_boxes(ranges, width, height, *size, tasks=5)) == want
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForDistribution")
+
+
+def test_hulls_of_ranges():
+    r = np.random.default_rng(13)
+    for width, height, most, side in ((40, 14, 6, 3.0), (40, 14, 40, 3.0), (9, 50, 25, 2.0), (5, 5, 12, 1.6)):
+        row = np.sort(r.integers(0, 80, 80 * most // 2))
+        x1, y1 = r.integers(0, width, len(row)), r.integers(0, height, len(row))
+        x2, y2 = np.minimum(x1 + r.integers(0, width // 3 + 1, len(row)), width - 1), np.minimum(y1 + r.integers(0, height // 3 + 1, len(row)), height - 1)
+        at = ((y1 * height + y2) * width + x1) * width + x2
+        maps = p.painted(row, at, np.ones(len(row)), 80, width, height).reshape(-1, height, width)
+        means = lambda which, quads: g.quad_means(maps, which, quads)  # noqa: B023, E731
+        got, want = g.kept_boxes(*p._range_hulls(row, at, width, height, side), means, g.BoxRules(side=side, mean=0.0)), g.boxes_of_maps(maps, g.BoxRules(side=side, mean=0.0))
+        assert len(got[0]) > 10 and all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_pages_over_many_batches(monkeypatch):
+    r = np.random.default_rng(12)
+    for rows, batch, most in ((400, 7, 5), (400, 50, 16), (300, 300, 1 << 14), (0, 1, 4)):
+        monkeypatch.setattr(p, "ROWS", most)
+        page = np.sort(r.choice([0, 1, 2, 3, 7, 8], rows, p=[0.02, 0.5, 0.02, 0.4, 0.03, 0.03]))
+        at, v = r.integers(0, 30, rows), r.random(rows)
+        for ids in (pa.array(page, pa.int64(), mask=page == 7), pa.array([None if k == 7 else f"p{k}" for k in page], pa.string()), pa.array(np.where(page == 7, np.nan, page))):
+            all_ = pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(v)], names=["page", "at", "v"])
+            got, pages = {}, []
+            for found, row, ats, vs in p._whole_pages(iter([all_.slice(k, batch) for k in range(0, rows, batch)])):
+                names = [str(f) for f in found.to_pylist()]
+                pages += names
+                assert (np.diff(row) >= 0).all() and set(row) == set(range(len(found)))
+                for k, a, x in zip(row, ats, vs, strict=True):
+                    got.setdefault(names[k], []).append((a, x))
+            want = {}
+            for k, a, x in zip(ids.to_pylist(), at, v, strict=True):
+                want.setdefault(str(k), []).append((a, x))
+            assert len(pages) == len(set(pages)) and got == want
+
+
+def test_no_grid_of_painted_boxes_leaves_its_task(spark):
+    from privlake.plans.catalogue import QUERIES
+
+    plan = QUERIES["painted_boxes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == plan.count("RepartitionByExpression") == 1 and "array_sort" not in plan and "collect_list" not in plan
